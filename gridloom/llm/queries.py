@@ -6,9 +6,10 @@ from gridloom.llm.bpe import op8_bpe
 from gridloom.llm.common import table
 from gridloom.llm.dac import op10_token_files
 from gridloom.llm.fst import op2_token_counts
-from gridloom.llm import rules
+from gridloom.llm import rules, warc
 
 QUERIES = {
+    "op5_warc": warc.op5_warc,
     "op4_quality_rules": lambda spark, d: rules.op4_quality_rules(table(spark, d, "documents")),
     "op2_token_counts": lambda spark, d: op2_token_counts(table(spark, d, "documents")),
     "op8_bpe": lambda spark, d: op8_bpe(table(spark, d, "documents")),
@@ -16,4 +17,4 @@ QUERIES = {
 }
 
 #: DuckDB SQL of those that SQL can express.
-ORACLES: dict[str, str] = {"op4_quality_rules": rules.ORACLE}
+ORACLES: dict[str, str] = {"op4_quality_rules": rules.ORACLE, "op5_warc": warc.ORACLE}
