@@ -36,7 +36,7 @@ from gridloom.llm.common import remote, saved, slices, text_bytes, text_of, toke
 MAGIC = b"DAC1"
 BLOCK = 512
 SHARD_IDS = 4_000_000
-CACHE_MAX = 400_000
+CACHE_MAX = 600_000
 SLICE_BYTES = 6_000_000
 MANIFEST = "shard long, part long, n_docs long, n_ids long, path string"
 
@@ -45,10 +45,14 @@ class WordEncoder:
     """The tokenizers library on whole texts, by way of distinct words.
 
     The vocabulary's normalizer and pre-tokenizer drop white space and never look across it, so a text's ids are the ids
-    of its parts between spaces, tabs and line ends, one after the other; each distinct part is encoded once by the
-    library and kept in a bounded cache.
+    of its parts between spaces, tabs and line ends, one after the other. Its pattern also ends a token between a letter
+    and the punctuation after it, and it lower-cases, so a part's closing punctuation is coded apart from the rest and
+    ASCII parts are lower-cased first; parts with '<', which may hold a special token, are left alone. Each distinct part
+    that results is encoded once by the library and kept in a bounded cache.
     """
 
+    TAIL = ".,;:!?%*#$&|"
+
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
@@ -56,18 +60,31 @@ class WordEncoder:
         self.library = Tokenizer.from_file(path)
         self.cache: dict[str, tuple[int, ...]] = {}
 
+    def parts(self, word: str) -> tuple[str, str]:
+        core = word.rstrip(self.TAIL)
+        tail = word[len(core) :]
+        if tail and not (core and core[-1].lower().isalpha()):
+            core, tail = word, ""
+        return (core.lower() if core.isascii() and "<" not in core else core), tail
+
     def ids(self, texts: list[str]) -> list[list[int]]:
         cut = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        new = set(chain.from_iterable(cut)).difference(self.cache)
+        words = set(chain.from_iterable(cut))
+        words.discard("")
+        split = {w: self.parts(w) for w in words}
+        new = set(chain.from_iterable(split.values())).difference(self.cache)
         if len(self.cache) + len(new) > CACHE_MAX:
             self.cache = {}
-            new = set(chain.from_iterable(cut))
-        words = list(new)
-        for k in range(0, len(words), 50_000):
-            part = words[k : k + 50_000]
-            coded = self.library.encode_batch(part, add_special_tokens=False)
+            new = set(chain.from_iterable(split.values()))
+        todo = list(new)
+        for k in range(0, len(todo), 20_000):
+            part = todo[k : k + 20_000]
+            coded = self.library.encode_batch_fast(part, add_special_tokens=False)
             self.cache.update((w, tuple(e.ids)) for w, e in zip(part, coded, strict=True))
-        of = self.cache.__getitem__
+        known = self.cache
+        of_word = {w: known[a] + known[b] if b else known[a] for w, (a, b) in split.items()}
+        of_word[""] = ()
+        of = of_word.__getitem__
         return [list(chain.from_iterable(map(of, words))) for words in cut]
 
 
@@ -223,7 +240,8 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                     columns = [pa.array(names[k : k + step], pa.int64()), pa.array(s[:-1] + base), pa.array(np.diff(s)), part]
                     yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids"])
 
-    files = based.select("path", "base").repartition(F.col("path"))
+    # A fixed number of partitions: adaptive execution would put the short rows of this table into one task.
+    files = based.select("path", "base").repartition(max(1, manifest.count()), "path")
     return files.mapInArrow(run, "doc_id long, start long, n_tokens long, ids array<int>")
 
 
