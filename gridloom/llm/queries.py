@@ -6,9 +6,10 @@ from gridloom.llm.bpe import op8_bpe
 from gridloom.llm.common import table
 from gridloom.llm.dac import op10_token_files
 from gridloom.llm.fst import op2_token_counts
-from gridloom.llm import mixing, rules, warc
+from gridloom.llm import classify, mixing, rules, warc
 
 QUERIES = {
+    "op9_quality": lambda spark, d: classify.op9_quality(table(spark, d, "documents"), table(spark, d, "labels")),
     "op7_mix": lambda spark, d: mixing.op7_mix(table(spark, d, "documents")),
     "op5_warc": warc.op5_warc,
     "op4_quality_rules": lambda spark, d: rules.op4_quality_rules(table(spark, d, "documents")),
