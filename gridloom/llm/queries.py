@@ -6,9 +6,10 @@ from gridloom.llm.bpe import op8_bpe
 from gridloom.llm.common import table
 from gridloom.llm.dac import op10_token_files
 from gridloom.llm.fst import op2_token_counts
-from gridloom.llm import classify, mixing, rules, warc
+from gridloom.llm import classify, mips, mixing, rules, warc
 
 QUERIES = {
+    "op6_topk": lambda spark, d: mips.op6_topk(table(spark, d, "embeddings")),
     "op9_quality": lambda spark, d: classify.op9_quality(table(spark, d, "documents"), table(spark, d, "labels")),
     "op7_mix": lambda spark, d: mixing.op7_mix(table(spark, d, "documents")),
     "op5_warc": warc.op5_warc,
@@ -19,4 +20,4 @@ QUERIES = {
 }
 
 #: DuckDB SQL of those that SQL can express.
-ORACLES: dict[str, str] = {"op4_quality_rules": rules.ORACLE, "op5_warc": warc.ORACLE}
+ORACLES: dict[str, str] = {"op4_quality_rules": rules.ORACLE, "op5_warc": warc.ORACLE, "op6_topk": mips.ORACLE}
