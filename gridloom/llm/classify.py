@@ -1,15 +1,17 @@
 """Quality classifier: naive Bayes support vectors.
 
 Features of a text are indicators of hashed n-grams (one and two tokens). Tokens are a word's letters, its closing or
-opening punctuation and its shape, so that rare words still share features. Fit: every feature's log-count ratio between
+opening punctuation and its shape, so that rare words still share features; the share of words that repeat one of the two before
+them counts as so many features. Fit: every feature's log-count ratio between
 the classes, from the indicator counts of all training rows (smoothed); the indicators, scaled by the ratios, go into a
 linear model with hinge loss, fitted by dual coordinate descent; its margins on the sample are turned into scores by a
-logistic curve. Training rows are counted by all tasks; the descent runs in one task on a sample of at most
-``FIT_ROWS`` labelled rows of at most ``FIT_FEATURES`` features together.
+logistic curve. The fit takes a sample of at most ``FIT_ROWS`` labelled rows of at most ``FIT_FEATURES`` features
+together: tasks turn its texts into features, one task fits.
 
 Defined cases: null text is the empty text, which has the feature of an empty text alone and gets a score like any other;
 texts of any length are read whole; repeated rows get equal scores; rows with null doc_id are held out; with labels of
-one class or none, every score is that class's share (0.5 for none); an empty table gives an empty table.
+one class or none, every score is that class's share (0.5 for none); an empty table gives an empty table; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -24,14 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import saved, slices, text_bytes, text_of
+from gridloom.llm.common import slices, text_bytes, text_of
 
 #: Hash buckets of the n-grams: the model's size, whatever the corpus.
 BITS = 18
 DIM = 1 << BITS
-#: Labelled rows for the descent at most, and their features together at most.
-FIT_ROWS = 8_000
-FIT_FEATURES = 4_000_000
+#: Labelled rows of a fit at most, and their features together at most.
+FIT_ROWS = 6_000
+FIT_FEATURES = 12_000_000
 SMOOTH = 1.0
 COST = 0.1
 EPOCHS = 30
@@ -77,15 +79,22 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     parts, owner = [w, s], [doc, doc]
     if len(w) > 1:
         parts += [(w[:-1] * MIX + w[1:])[pair], (s[:-1] * MIX + s[1:] + np.uint64(1))[pair]]
-        same = (w[:-1] == w[1:])[pair].astype(np.uint64) + np.uint64(77)
-        parts.append(same)
-        owner += [doc[1:][pair]] * 3
+        owner += [doc[1:][pair]] * 2
+        # How many of a text's words equal one of the two before, in percent, as that many features.
+        like = np.append(False, (w[1:] == w[:-1]) & pair)
+        like[2:] |= (w[2:] == w[:-2]) & (doc[2:] == doc[:-2])
+        percent = np.bincount(doc[like].astype(np.int64), minlength=len(cut)) * 100 // np.maximum(n, 1)
+        owner.append(np.repeat(np.arange(len(cut), dtype=np.uint64), percent))
+        parts.append((np.arange(int(percent.sum())) - np.repeat(np.cumsum(percent) - percent, percent) + 1000).astype(np.uint64))
     parts.append(np.where(n == 0, 5, 6).astype(np.uint64))  # an empty text, or not
     owner.append(np.arange(len(cut), dtype=np.uint64))
     ids = (np.concatenate(parts) * MIX) >> np.uint64(64 - BITS)
-    keys = np.unique(np.concatenate(owner) << np.uint64(BITS) | ids)
-    ends = np.searchsorted(keys, np.arange(len(cut) + 1, dtype=np.uint64) << np.uint64(BITS))
-    return ends, (keys & np.uint64(DIM - 1)).astype(np.int64)
+    keys = np.concatenate(owner) << np.uint64(BITS) | ids
+    keys = keys.astype(np.uint32) if len(cut) <= 1 << (32 - BITS) else keys
+    keys.sort()
+    keys = keys[np.append(True, keys[1:] != keys[:-1])] if len(keys) else keys
+    ends = np.searchsorted(keys, (np.arange(len(cut) + 1, dtype=np.uint64) << np.uint64(BITS)).astype(np.uint64))
+    return ends, (keys & keys.dtype.type(DIM - 1)).astype(np.int64)
 
 
 def descend(ends: np.ndarray, ids: np.ndarray, y: np.ndarray, scale: np.ndarray) -> np.ndarray:
@@ -156,76 +165,65 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(True))
 
 
-def fit(labelled: DataFrame, rows: int = FIT_ROWS, most: int = FIT_FEATURES) -> bytes:
-    """A pickled model from (text, label 0/1, key): key orders the sample, smallest first."""
-    data = labelled.where("label IN (0, 1)").select(
-        text_of().alias("text"), F.col("label").cast("int").alias("label"), F.xxhash64(F.lit(23), "key").alias("key")
+def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, most: int = FIT_FEATURES) -> bytes:
+    """A pickled model from docs (doc_id, text) and labels (doc_id, label): at most ``rows`` of the labels with label 0 or
+    1, those of the least hashes. Their number is bounded, so they go to the tasks that read the texts by broadcast; only
+    feature ids of these texts reach the one task that fits."""
+    picked = (
+        labels.where("label IN (0, 1)")
+        .select(F.col("doc_id").cast("long").alias("id"), F.col("label").cast("int").alias("label"))
+        .withColumn("key", F.xxhash64(F.lit(23), "id"))
+        .orderBy("key", "id", "label")
+        .limit(rows)
     )
-    data = saved(data, "labelled")
-    per = {r["label"]: r["count"] for r in data.groupBy("label").count().collect()}
-    if len(per) < 2:
-        only = float(next(iter(per), 0.5))
-        return pickle.dumps(only)
-
-    def count(batches):
-        total = np.zeros((2, DIM), dtype=np.int32)
-        for batch in slices(batches, text_bytes("text"), SLICE_BYTES):
-            ends, ids = features(batch.column(0).to_pylist())
-            label = np.repeat(np.array(batch.column(1).to_pylist()), np.diff(ends))
-            for c in (0, 1):
-                total[c] += np.bincount(ids[label == c], minlength=DIM).astype(np.int32)
-        some = np.flatnonzero(total.any(axis=0))
-        yield pa.RecordBatch.from_pydict({"f": some, "neg": total[0][some].astype(np.int64), "pos": total[1][some].astype(np.int64)})
-
-    counts = (
-        data.select("text", "label")
-        .mapInArrow(count, "f long, neg long, pos long")
-        .groupBy("f")
-        .agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
+    known = F.broadcast(picked)
+    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).join(
+        known, F.col("doc_id") == F.col("id")
     )
-    # At most DIM short rows, then one sample of bounded size.
-    table = counts.select(F.lit(0).alias("g"), "f", "neg", "pos", F.lit("").alias("text"), F.lit(0).alias("label"), F.lit(0).cast("long").alias("key"))
-    share = min(1.0, rows / sum(per.values()))
-    bound = min(2**63 - 1, int(-(2**63) + share * 2**64))
-    picked = data.where(F.col("key") <= F.lit(bound)).select(
-        F.lit(1).alias("g"), F.lit(0).cast("long").alias("f"), F.lit(0).cast("long").alias("neg"), F.lit(0).cast("long").alias("pos"), "text", "label", "key"
-    )
-    n_pos, n_neg = per[1], per[0]
+
+    def learn(batches):
+        for batch in slices(batches, text_bytes("text"), SLICE_BYTES):
+            ends, ids = features(batch.column(2).to_pylist())
+            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], ["key", "label", "ids"])
 
     def train(batches):
-        pos, neg = np.zeros(DIM), np.zeros(DIM)
         sample: list[tuple[int, int, np.ndarray]] = []
-        for batch in slices(batches, text_bytes("text"), SLICE_BYTES):
-            g, f, a, b, text, label, key = (c.to_pylist() for c in batch.columns)
-            rows_ = [k for k, x in enumerate(g) if x == 0]
-            at = [f[k] for k in rows_]
-            neg[at], pos[at] = [a[k] for k in rows_], [b[k] for k in rows_]
-            rest = [k for k, x in enumerate(g) if x == 1]
-            if rest:
-                ends, ids = features([text[k] for k in rest])
-                for k, s, e in zip(rest, ends[:-1], ends[1:], strict=True):
-                    sample.append((key[k], label[k], ids[s:e].astype(np.int32)))
-        sample.sort(key=lambda x: x[0])
+        for batch in batches:
+            column = batch.column(2)
+            flat, ends = column.values.to_numpy(), column.offsets.to_numpy()
+            for k, (key, label) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                sample.append((key, label, flat[ends[k] : ends[k + 1]].copy()))
+        sample.sort(key=lambda x: (x[0], x[1], len(x[2])))
         kept, total = [], 0
-        for x in sample[:rows]:
-            if total + len(x[2]) > most:
-                break
-            kept.append(x)
-            total += len(x[2])
-        scale = np.log((pos + SMOOTH) / (n_pos + 2 * SMOOTH)) - np.log((neg + SMOOTH) / (n_neg + 2 * SMOOTH))
+        for x in sample:
+            if total + len(x[2]) <= most:
+                kept.append(x)
+                total += len(x[2])
         y = np.array([1.0 if x[1] else -1.0 for x in kept])
-        ends = np.concatenate([[0], np.cumsum([len(x[2]) for x in kept])]).astype(np.int64)
-        ids = np.concatenate([x[2] for x in kept] or [np.zeros(0, np.int32)]).astype(np.int64)
-        weights = descend(ends, ids, y, scale)
-        owner = np.repeat(np.arange(len(y)), np.diff(ends))
-        top = np.bincount(owner, weights=(weights[:-1] * scale)[ids], minlength=len(y))
-        norm = np.sqrt(np.bincount(owner, weights=scale[ids] ** 2, minlength=len(y)))
-        margin = top / (norm + 1e-9) + weights[-1]
-        model = Model(scale, weights, *curve(margin, y))
+        if len(set(y.tolist())) < 2:
+            model: Model | float = float((y > 0).mean()) if len(y) else 0.5
+        else:
+            model = fitted(y, [x[2] for x in kept])
         yield pa.RecordBatch.from_pydict({"model": pa.array([zlib.compress(pickle.dumps(model), 1)], pa.binary())})
 
-    both = table.unionByName(picked).repartition(1)
-    return zlib.decompress(both.mapInArrow(train, "model binary").first()[0])
+    coded = joined.select("key", "label", "text").mapInArrow(learn, "key long, label int, ids array<int>")
+    found = coded.repartition(1).mapInArrow(train, "model binary").first()
+    return zlib.decompress(found[0]) if found else pickle.dumps(0.5)
+
+
+def fitted(y: np.ndarray, lists: list[np.ndarray]) -> Model:
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
+    ids = np.concatenate(lists).astype(np.int64)
+    owner = np.repeat(np.arange(len(y)), np.diff(ends))
+    pos = np.bincount(ids[y[owner] > 0], minlength=DIM)
+    neg = np.bincount(ids[y[owner] < 0], minlength=DIM)
+    share = lambda count, n: np.log((count + SMOOTH) / (n + 2 * SMOOTH))
+    scale = share(pos, (y > 0).sum()) - share(neg, (y < 0).sum())
+    weights = descend(ends, ids, y, scale)
+    top = np.bincount(owner, weights=(weights[:-1] * scale)[ids], minlength=len(y))
+    norm = np.sqrt(np.bincount(owner, weights=scale[ids] ** 2, minlength=len(y)))
+    return Model(scale, weights, *curve(top / (norm + 1e-9) + weights[-1], y))
 
 
 def scored(docs: DataFrame, model: bytes) -> DataFrame:
@@ -246,9 +244,7 @@ def scored(docs: DataFrame, model: bytes) -> DataFrame:
 
 def train_on(docs: DataFrame, labels: DataFrame) -> bytes:
     """Fit on documents with a quality label that are not held out."""
-    known = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("quality").alias("label")).where(~held_out("id"))
-    joined = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(known, "id")
-    return fit(joined.select("text", "label", F.col("id").alias("key")))
+    return fit(docs, labels.where(~held_out("doc_id")).select("doc_id", F.col("quality").alias("label")))
 
 
 def op9_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -260,9 +256,9 @@ def op9_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
-def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+def keep_quality(docs: DataFrame, model: bytes, threshold: float = 0.5) -> DataFrame:
     """The rows of docs that score ``threshold`` or more, with their columns; scored where they are, without a join."""
-    shared = docs.sparkSession.sparkContext.broadcast(train_on(docs, labels))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
     def run(batches):
