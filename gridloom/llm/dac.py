@@ -35,9 +35,9 @@ from gridloom.llm.common import remote, saved, slices, text_bytes, text_of, toke
 
 MAGIC = b"DAC1"
 BLOCK = 512
-SHARD_IDS = 4_000_000
-CACHE_MAX = 600_000
-SLICE_BYTES = 6_000_000
+SHARD_IDS = 2_000_000
+CACHE_MAX = 250_000
+SLICE_BYTES = 3_000_000
 MANIFEST = "shard long, part long, n_docs long, n_ids long, path string"
 
 
