@@ -6,9 +6,10 @@ from gridloom.llm.bpe import op8_bpe
 from gridloom.llm.common import table
 from gridloom.llm.dac import op10_token_files
 from gridloom.llm.fst import op2_token_counts
-from gridloom.llm import classify, dedup, mips, mixing, rules, warc
+from gridloom.llm import classify, dedup, mips, mixing, rules, sitetree, warc
 
 QUERIES = {
+    "op3_main_text": lambda spark, d: sitetree.op3_main_text(table(spark, d, "pages")),
     "op1_near_duplicates": lambda spark, d: dedup.op1_near_duplicates(table(spark, d, "documents")),
     "op6_topk": lambda spark, d: mips.op6_topk(table(spark, d, "embeddings")),
     "op9_quality": lambda spark, d: classify.op9_quality(table(spark, d, "documents"), table(spark, d, "labels")),
