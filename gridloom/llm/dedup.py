@@ -45,7 +45,7 @@ M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: Bits of the map of nodes whose sets are needed.
 MAP_BITS = 1 << 26
 #: Rows of a cell on either side.
-OTHERS, ALL = 64, 128
+OTHERS, ALL = 192, 384
 PERCENT = 80
 
 _words: dict[str, int] = {}
