@@ -1,0 +1,350 @@
+"""Each operator against the library or a brute-force version, on odd rows: nulls, empty and long texts, ties, copies."""
+
+import collections
+import gzip
+import hashlib
+import html
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from gridloom.llm import bpe, classify, dac, dedup, fst, mips, mixing, rules, sitetree, warc
+from gridloom.llm.common import tokenizer_path, work_dir
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+DOCS = "doc_id long, text string, source string, n_tokens string, score string"
+rnd = random.Random(3)
+
+
+def prose(n, words=400):
+    return " ".join(f"w{rnd.randrange(words)}" + rnd.choice(["", "", ",", ".\n"]) for _ in range(n))
+
+
+BASE = prose(120)
+TEXTS = [
+    None, "", " \n\t ", "one", "one two", BASE, BASE, BASE + " end", BASE.replace("w1", "v1", 1), prose(300), "The " * 40,
+    "A | b | " * 30, "ALL CAPS WORDS!! " * 12, "x" * 5000, prose(9000), "é́  日本 \x00 <s> <|endoftext|> it's\x1c",
+    "same line here\n" * 9, "ﬁ ▁a  b\r\n" * 4, prose(40).upper(), "#$% &*" * 9,
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(k, t, ["b", "a", None, "c"][k % 4], "clash", "clash") for k, t in enumerate(TEXTS)]
+    rows += [(5, BASE, "a", "clash", "clash"), (None, BASE, "b", "clash", "clash"), (None, None, None, None, None)]
+    return spark.createDataFrame(rows, DOCS).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def by_id(df):
+    return {r["doc_id"]: r for r in df.where("doc_id IS NOT NULL").collect()}
+
+
+def test_token_counts(docs, none):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path("piece_bpe_32k.model"))
+    got = by_id(fst.op2_token_counts(docs))
+    for k, t in enumerate(TEXTS):
+        assert got[k]["n_tokens"] == len(sp.encode(t or "")), ascii((t or "")[:40])
+        assert got[k]["n_bytes"] == len((t or "").encode())
+        assert got[k]["over_limit"] == (got[k]["n_tokens"] > 4096)
+    assert fst.op2_token_counts(none).count() == 0
+
+
+def test_transducer_on_odd_strings():
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path("piece_bpe_32k.model"))
+    machine = fst.transducer("piece_bpe_32k.model")
+    pieces = [p for p in machine.score]
+    texts = ["".join(rnd.choice(" etaoin") for _ in range(rnd.randint(1, 900))) for _ in range(100)]
+    texts += ["".join(rnd.choice(pieces) for _ in range(rnd.randint(1, 30))) for _ in range(200)]
+    texts += [rnd.choice(pieces) * rnd.randint(1, 900) for _ in range(60)] + ["a" * 5000, " " * 3000]
+    assert machine.counts(texts).tolist() == [len(sp.encode(t)) for t in texts]
+
+
+def test_bpe_round_trip(docs, none):
+    import tiktoken
+    import public_tokenizers
+
+    codec = bpe.codec("byte_bpe_50k.tiktoken", None)
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=codec.ranks, special_tokens={})
+    got = by_id(bpe.op8_bpe(docs))
+    for k, t in enumerate(TEXTS):
+        ids = enc.encode_ordinary(t or "")
+        assert got[k]["n_tokens"] == len(ids)
+        assert got[k]["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert got[k]["decoded_sha256"] == hashlib.sha256((t or "").encode()).hexdigest()
+    assert bpe.op8_bpe(none).count() == 0
+    odd = ["".join(rnd.choice("ab") for _ in range(rnd.randint(1, 2000))) for _ in range(60)] + ["a" * 3000]
+    assert codec.ids(odd) == [enc.encode_ordinary(t) for t in odd]
+
+
+def test_quality_rules(docs, none, spark):
+    got = by_id(rules.op4_quality_rules(docs))
+    for k, t in enumerate(TEXTS):
+        t = t or ""
+        words = WORD.findall(t)
+        lines = [x for x in t.split("\n") if WORD.search(x)]
+        windows = collections.Counter(tuple(words[i : i + 8]) for i in range(len(words) - 7))
+        inside = {j for i in range(len(words) - 7) if windows[tuple(words[i : i + 8])] > 1 for j in range(i, i + 8)}
+        r = got[k]
+        assert (r["n_words"], r["word_chars"]) == (len(words), sum(map(len, words)))
+        assert r["n_symbols"] == sum(c in "#*$%&|<>" for c in t)
+        assert r["n_dup_lines"] == len(lines) - len(set(lines))
+        assert r["n_repeat_words"] == len(inside)
+        assert r["base_failed"] == (len(words) < 20 or 100 * len(inside) > 30 * len(words))
+        assert not (r["base_failed"] and r["kept"])
+    assert got[5]["kept"] and got[14]["kept"] and not got[11]["kept"] and not got[18]["kept"]
+    kept = rules.keep_good(docs)
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} - {None} == {k for k, r in got.items() if r["kept"]}
+    assert rules.op4_quality_rules(none).count() == 0
+    first = rules.cascade(F.col("text"), {"a": lambda t: t == "x", "b": lambda t: F.raise_error(F.lit("not short-circuit")) == t}, ["a", "b"])
+    assert spark.createDataFrame([("x",)], "text string").select(first).first()[0] == "a"
+
+
+PAGES = "page_id long, url string, html string, text string"
+
+
+def test_warc(spark):
+    long = "é" * 700
+    rows = [(1, "http://a/x", None), (2, None, ""), (3, "http://a/1", long), (4, "http://b/2", long), (7, "http://c/3", long),
+            (5, "u\r\n1", "short"), (6, "u2", "short"), (None, "u3", "n" * 2000), (8, "u4", "q" * 300_000)]
+    folder = work_dir(spark, "test-warc")
+    pages = spark.createDataFrame([(*r, "clash") for r in rows], PAGES)
+    files = warc.write_warc(warc.with_revisits(pages), folder).collect()
+    assert sum(f["n_records"] for f in files) == len(rows)
+    for f in files:
+        data = gzip.open(f["path"].removeprefix("file://")).read()
+        assert data.count(b"WARC/1.1\r\n") == f["n_records"]
+    got = {r["page_id"]: r for r in warc.read_warc(spark, folder).collect()}
+    for i, _, h in rows:
+        raw = (h or "").encode()
+        assert got[i]["payload_bytes"] == len(raw) and got[i]["digest"] == hashlib.sha1(raw).hexdigest()
+        revisit = i in (3, 4)
+        assert got[i]["record_type"] == ("revisit" if revisit else "response")
+        assert got[i]["refers_to"] == (7 if revisit else None)
+        assert got[i]["payload"] == (b"" if revisit else raw)
+    slim = warc.read_warc(spark, folder, ["page_id", "record_type"]).where("page_id >= 4 AND record_type = 'response'")
+    assert sorted(r["page_id"] for r in slim.collect()) == [5, 6, 7, 8]
+    empty = work_dir(spark, "test-warc")
+    warc.write_warc(warc.with_revisits(pages.limit(0)), empty).collect()
+    assert warc.read_warc(spark, empty).count() == 0
+
+
+def test_warc_reader_on_foreign_members(tmp_path):
+    """Members without the sl field, as other writers make them."""
+    import pyarrow as pa
+
+    path = tmp_path / "x.warc.gz"
+    path.write_bytes(
+        b"".join(gzip.compress(gzip.decompress(warc.record(k, "u", bytes(70_000 * k), "00" * 20, None, False))) for k in (1, 2, 3))
+    )
+    reader = warc.WarcReader(None, {"path": f"file://{tmp_path}"})
+    with pa.OSFile(str(path)) as f:
+        assert [len(r["payload"]) for r in reader.records(f, True)] == [70_000, 140_000, 210_000]
+    with pa.OSFile(str(path)) as f:
+        assert [r["page_id"] for r in reader.records(f, False)] == [1, 2, 3]
+
+
+def test_top_products(spark):
+    rng = np.random.default_rng(2)
+    rows = [(k, [float(x) for x in rng.normal(size=8) * rng.choice([0.2, 1, 3])]) for k in range(400)]
+    rows += [(400 + k, rows[50][1]) for k in range(30)]
+    rows += [(450, None), (500, [1.0, None] + [0.0] * 6), (550, [float("nan")] * 8), (600, [float("inf")] * 8), (650, [0.5] * 3), (651, [0.25] * 3)]
+    df = spark.createDataFrame([(*r, "clash") for r in rows], "vec_id long, embedding array<float>, score string").repartition(3)
+    good = {k: np.floor(256 * np.array(v, dtype=np.float32).astype(float)).astype(int) for k, v in rows if v and all(x is not None and math.isfinite(x) for x in v)}
+    want = set()
+    for q, x in good.items():
+        if q % 50 == 0:
+            best = sorted((-int(x @ y), k) for k, y in good.items() if k != q and len(y) == len(x))[:5]
+            want |= {(q, r + 1, k, -s) for r, (s, k) in enumerate(best)}
+    assert {tuple(r) for r in mips.op6_topk(df).collect()} == want
+    assert mips.op6_topk(df.limit(0)).count() == 0
+
+
+def test_mixing(docs, none, spark):
+    rows = [(k, prose(rnd.choice([3, 10, 60, 300])), "abcdef"[k % 6] if k % 3 else "hot") for k in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.op7_mix(df).collect()
+    again = mixing.op7_mix(df.repartition(7)).collect()
+    assert sorted(got) == sorted(again)
+    size = {k: len(WORD.findall(t)) for k, t, _ in rows}
+    total = sum(size.values())
+    names = sorted({s for *_, s in rows})
+    own = {s: sum(size[k] for k, _, x in rows if x == s) for s in names}
+    weight = {s: (1, 2, 3)[i % 3] for i, s in enumerate(names)}
+    capped: set = set()
+    while True:
+        free = [s for s in names if s not in capped]
+        left = total - sum(3 * own[s] for s in capped)
+        target = {s: 3 * own[s] if s in capped else left * weight[s] / sum(weight[x] for x in free) for s in names}
+        over = {s for s in free if target[s] > 3 * own[s]}
+        if not over:
+            break
+        capped |= over
+    source = {k: s for k, _, s in rows}
+    taken = collections.Counter()
+    for r in got:
+        s = source[r["doc_id"]]
+        assert r["size"] == size[r["doc_id"]] and r["source_size"] == own[s] and abs(r["target"] - target[s]) < 1e-6 * total
+        assert r["taken"] % max(r["size"], 1) == 0 and r["taken"] <= 3 * r["size"]
+        taken[s] += r["taken"]
+    for s in names:
+        assert abs(taken[s] - target[s]) <= max(20, 0.01 * target[s]), (s, taken[s], target[s])
+    assert len(mixing.op7_mix(docs).collect()) == docs.count() and mixing.op7_mix(none).count() == 0
+    mixed = mixing.mix(docs)
+    assert mixed.columns == docs.columns and mixing.mix(none).count() == 0
+
+
+def test_targets_with_caps(spark):
+    rows = [("a", 1), ("b", 1000), ("c", 10), (None, 0)]
+    got = {r["source"]: r["target"] for r in mixing.targets(spark.createDataFrame(rows, "source string, source_size long")).collect()}
+    assert got["a"] == 3 and got["c"] == 30 and got[None] == 0 and abs(got["b"] - 978) < 1e-9
+
+
+def test_classifier(docs, none, spark):
+    good = [(k, prose(80), 1) for k in range(150)]
+    bad = [(k, "a | b | " * 20 + prose(10) if k % 2 else "BUY NOW!! " * 20, 0) for k in range(150, 230)]
+    df = spark.createDataFrame(good + bad, "doc_id long, text string, quality int")
+    got = {r["doc_id"]: r for r in classify.op9_quality(df.select("doc_id", "text"), df.select("doc_id", "quality")).collect()}
+    held = {k for k in got if zlib.crc32(str(k).encode()) % 3 == 1}
+    assert {k for k, r in got.items() if r["held_out"]} == held
+    right = [got[k]["predicted"] == y for k, _, y in good + bad if k in held]
+    assert sum(right) >= 0.95 * len(right)
+    scores = classify.op9_quality(docs, df.select("doc_id", "quality")).collect()
+    assert len(scores) == docs.count() and all(0 <= r["score"] <= 1 for r in scores)
+    assert classify.op9_quality(none, df.select("doc_id", "quality")).count() == 0
+    one = classify.op9_quality(df.select("doc_id", "text"), df.where("quality = 1").select("doc_id", "quality")).first()
+    assert one["score"] == 1.0
+
+
+def shingles(text, width, lower=str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")):
+    w = WORD.findall((text or "").translate(lower))
+    return frozenset(tuple(w[i : i + width]) for i in range(len(w) - width + 1)) or (frozenset([tuple(w)]) if w else frozenset())
+
+
+def brute_components(rows, width):
+    sets = [shingles(t, width) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            n = len(sets[i] & sets[j])
+            if sets[i] and sets[j] and 100 * n >= 80 * (len(sets[i]) + len(sets[j]) - n):
+                root[find(i)] = find(j)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            least[find(k)] = min(least.get(find(k), i), i)
+    return [(i, len(s), least.get(find(k)) if s else i) for k, ((i, _), s) in enumerate(zip(rows, sets))]
+
+
+@pytest.mark.parametrize("width", [2, 5])
+def test_near_duplicates(docs, none, spark, width):
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    base = [f"t{k}" for k in range(150)]
+    for k in range(1000, 1120):  # a group whose members are close to some and not to others
+        w = list(base)
+        for at in rnd.sample(range(150), rnd.randint(0, 12)):
+            w[at] = f"x{rnd.randrange(40)}"
+        rows.append((k, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = dedup.near_duplicates(df, width)
+    want = brute_components(rows, width)
+    key = lambda x: tuple((v is not None, v) for v in x)
+    assert sorted(((r["doc_id"], r["n"], r["component_id"]) for r in got.collect()), key=key) == sorted(want, key=key)
+    kept = dedup.keep_one(df, width)
+    heads = {c for i, n, c in want if n and c is not None}
+    heads |= {i for i, n, _ in want if not n and i is not None}
+    assert sorted(r["doc_id"] for r in kept.where("doc_id IS NOT NULL").collect()) == sorted(heads)
+    assert dedup.op1_near_duplicates(none).count() == 0 and dedup.keep_one(none).count() == 0
+
+
+def test_pigeonhole():
+    rng = np.random.default_rng(4)
+    a = rng.integers(0, 1 << 16, (200, dedup.HASHES)).astype(np.uint16)
+    b = a.copy()
+    for row in b:
+        row[rng.choice(dedup.HASHES, dedup.RADIUS, replace=False)] += 1
+    assert (dedup.chunk_keys(a) == dedup.chunk_keys(b)).any(axis=1).all()
+
+
+def test_components(spark):
+    edges = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(1000, 1040)]
+    got = {r["node"]: r["comp"] for r in dedup.components(spark.createDataFrame(edges, "node long, hub long")).collect()}
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+    assert got == {x: find(x) for x in list(root)}
+
+
+def test_main_text(spark):
+    article = "<article><h1>T &amp; x</h1><p><b>One&nbsp;two<br>three<p>four <span class='ad'>no</span>five</p><ul><li>a<li>b</ul>{}</article>"
+    body = "<html><head><title>t</title><style>p{{}}</style></head><body><header>H</header><nav>n</nav>{}<aside>s</aside><form>f</form>" \
+           "<div id='comments'><article>c</article></div><script>if (a<b) '</p>'</script><footer>f</footer></body></html>"
+    want = "T & x\nOne two three\nfour five\na\nb"
+    rows = [(1, "http://h/1", body.format(article.format(""))), (2, "http://h/2", None), (3, None, ""), (4, "odd", "plain <b>text"),
+            (5, "http://h/3", "<p>a < b<p hidden>z</p><!-- c --> d &amp &#233; &bogus;")]
+    rows += [(10 + k, f"http://site/{k}", f"<body><div class=x><p>Story {k} alone</p></div><div class=y>Always the same</div></body>") for k in range(6)]
+    pages = spark.createDataFrame([(*r, "clash") for r in rows], PAGES)
+    got = {r["page_id"]: r for r in sitetree.op3_main_text(pages).collect()}
+    assert [got[k]["text"] for k in range(1, 6)] == [want, "", "", "plain text", "a < b\nd & é &bogus;"]
+    assert all(got[10 + k]["text"] == f"Story {k} alone" for k in range(6))
+    assert got[1]["n_chars"] == len(want) and got[1]["url"] == "http://h/1"
+    assert sitetree.op3_main_text(pages.limit(0)).count() == 0
+    assert sitetree.Page("<p>" + "x " * 200_000).text() == " ".join("x" * 200_000)
+    assert html.unescape("&amp") == "&"
+
+
+def test_token_files(docs, none, spark):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
+    manifest = dac.write_shards(docs, work_dir(spark, "test-dac")).collect()
+    got = dac.op10_token_files(docs, spark).collect()
+    rows = sorted(((r["doc_id"], r["text"] or "") for r in docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    start = 0
+    want = []
+    for i, t in rows:
+        ids = library.encode(t, add_special_tokens=False).ids + [2]
+        want.append((i, start, len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes())))
+        start += len(ids)
+    assert sorted((tuple(r) for r in got), key=lambda r: r[1]) == want
+    for m in manifest:
+        shard = dac.Shard(m["path"])
+        ids = shard.all()
+        assert len(ids) == m["n_ids"]
+        for i in rnd.sample(range(len(ids)), min(50, len(ids))):
+            assert shard.token(i) == ids[i]
+    assert dac.op10_token_files(none, spark).count() == 0
+    big = np.array([0, 255, 256, 65535, 65536, 2**32 - 1] * 300, dtype=np.uint32)
+    path = work_dir(spark, "test-dac").removeprefix("file://")
+    with open(path, "wb") as f:
+        f.write(dac.to_bytes([None, 7], np.array([0, 5, len(big)]), big))
+    shard = dac.Shard("file://" + path)
+    assert shard.all().tolist() == big.tolist() == [shard.token(i) for i in range(len(big))]
+    assert shard.documents()[0] == [None, 7]
