@@ -411,7 +411,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT) ->
     comps = components(links)
 
     named = nodes.select("node", "doc_id").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    least = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    named = saved(named, "dedup-named")
+    # Written first: then both sides of the join come from plain exchanges, whose hot keys can be split.
+    least = saved(named.groupBy("comp").agg(F.min("doc_id").alias("component_id")), "dedup-least")
     of_node = named.join(least, "comp").select(F.col("node").alias("set_node"), "component_id")
     out = rows.select("doc_id", "node", "n").join(of_node, F.col("node") == F.col("set_node"), "left")
     return out.select("doc_id", "node", "n", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
