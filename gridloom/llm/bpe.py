@@ -23,12 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import slices, text_bytes, text_of, tokenizer_path
+from gridloom.llm.common import own_cache, slices, text_bytes, text_of, tokenizer_path
 
 NONE = np.int32(2**31 - 1)
 MATRIX_MAX = 512
-CACHE_MAX = 400_000
-SLICE_BYTES = 6_000_000
+CACHE_MAX = 300_000
+SLICE_BYTES = 3_000_000
 
 
 class PairTable:
@@ -98,17 +98,15 @@ class ByteBPE:
         left, right, rank = (np.array(x, dtype=np.int32) for x in zip(*pairs, strict=True))
         self.pairs = PairTable(left, right, rank)
         self.single = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int32)
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.name = f"bpe {path}"
 
     def ids(self, texts: list[str]) -> list[list[int]]:
         """Token ids of each text."""
         cut = [self.split(t) for t in texts]
-        new = set(chain.from_iterable(cut)).difference(self.cache)
-        if new:
-            if len(self.cache) + len(new) > CACHE_MAX:
-                self.cache = {}
-                new = set(chain.from_iterable(cut))
-            self._learn(new)
+        pieces = set(chain.from_iterable(cut))
+        self.cache = own_cache(self.name, CACHE_MAX)
+        self.cache = own_cache(self.name, CACHE_MAX, len(pieces.difference(self.cache)))
+        self._learn(pieces.difference(self.cache))
         of = self.cache.__getitem__
         return [list(chain.from_iterable(map(of, pieces))) for pieces in cut]
 

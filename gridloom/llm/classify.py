@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import slices, text_bytes, text_of
+from gridloom.llm.common import own_cache, slices, text_bytes, text_of
 
 #: Hash buckets of the n-grams: the model's size, whatever the corpus.
 BITS = 18
@@ -37,14 +37,11 @@ FIT_FEATURES = 12_000_000
 SMOOTH = 1.0
 COST = 0.1
 EPOCHS = 30
-SLICE_BYTES = 6_000_000
-CACHE_MAX = 300_000
+SLICE_BYTES = 1_500_000
+CACHE_MAX = 250_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 PART = re.compile(r"^(\W*)(.*?)(\W*)$", re.DOTALL)
 
-_codes: dict[str, tuple[int, ...]] = {}
-
-
 def _hash(text: str) -> int:
     data = text.encode()
     return zlib.crc32(data) << 31 ^ zlib.adler32(data) ^ len(data) << 20
@@ -60,18 +57,15 @@ def word_codes(word: str) -> tuple[int, ...]:
 
 def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(ends, ids): distinct features of each text, ids[ends[k]:ends[k + 1]]."""
-    global _codes
     cut = [t.split() for t in texts]
     words = set(chain.from_iterable(cut))
-    new = words.difference(_codes)
-    if len(_codes) + len(new) > CACHE_MAX:
-        _codes = {}
-        new = words
-    for w in new:
-        _codes[w] = word_codes(w)
+    codes = own_cache("classify", CACHE_MAX)
+    codes = own_cache("classify", CACHE_MAX, len(words.difference(codes)))
+    for w in words.difference(codes):
+        codes[w] = word_codes(w)
     n = np.fromiter(map(len, cut), dtype=np.int64, count=len(cut))
     flat = np.fromiter(
-        chain.from_iterable(map(_codes.__getitem__, chain.from_iterable(cut))), dtype=np.uint64, count=int(n.sum()) * 2
+        chain.from_iterable(map(codes.__getitem__, chain.from_iterable(cut))), dtype=np.uint64, count=int(n.sum()) * 2
     ).reshape(-1, 2)
     doc = np.repeat(np.arange(len(cut), dtype=np.uint64), n)
     w, s = flat[:, 0], flat[:, 1]

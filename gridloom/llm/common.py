@@ -65,18 +65,25 @@ def remote(uri: str):
 
 
 def slices(batches, size_of, limit: int):
-    """Cut Arrow batches so that no piece has rows of more than ``limit`` bytes together (one row at least)."""
+    """Cut Arrow batches so that no piece has rows of more than ``limit`` bytes together (one row at least).
+
+    At the end of the batches, which is the end of the task, this worker's caches are emptied: idle workers hold nothing.
+    """
     import numpy as np
 
-    for batch in batches:
-        sizes = size_of(batch)
-        ends = np.cumsum(sizes)
-        start = 0
-        while start < batch.num_rows:
-            base = ends[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(ends, base + limit, side="right")))
-            yield batch.slice(start, stop - start)
-            start = stop
+    try:
+        for batch in batches:
+            ends = np.cumsum(size_of(batch))
+            start = 0
+            while start < batch.num_rows:
+                base = ends[start - 1] if start else 0
+                stop = max(start + 1, int(np.searchsorted(ends, base + limit, side="right")))
+                yield batch.slice(start, stop - start)
+                start = stop
+    finally:
+        for cache in _caches.values():
+            cache.clear()
+        trim()
 
 
 def text_bytes(column: str):
@@ -90,3 +97,26 @@ def text_bytes(column: str):
         return np.asarray(n, dtype=np.int64) + 1
 
     return size_of
+
+
+_caches: dict[str, dict] = {}
+
+
+def own_cache(name: str, most: int, more: int = 0) -> dict:
+    """This worker's cache of that name, emptied if ``more`` entries would take it over ``most``."""
+    cache = _caches.setdefault(name, {})
+    if len(cache) + more > most:
+        cache.clear()
+    return cache
+
+
+def trim() -> None:
+    """Give free memory back to the system."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)

@@ -31,10 +31,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import saved, slices, text_bytes, text_of
+from gridloom.llm.common import own_cache, saved, slices, text_bytes, text_of
 
-SLICE_BYTES = 4_000_000
-CACHE_MAX = 400_000
+SLICE_BYTES = 1_500_000
+CACHE_MAX = 300_000
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SPACES = str.maketrans("\t\n\x0b\x0c\r", "     ")
 #: Minimum hashes of a signature, bits kept of each, signature distance (positions that differ) to guarantee, chunks.
@@ -48,8 +48,6 @@ MAP_BITS = 1 << 26
 OTHERS, ALL = 192, 384
 PERCENT = 80
 
-_words: dict[str, int] = {}
-
 
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective mixing of 64-bit numbers."""
@@ -66,18 +64,14 @@ def shingle_sets(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
     """
     import xxhash
 
-    global _words
     cut = [t.translate(SPACES).translate(LOWER).split(" ") if not t.isascii() else t.translate(SPACES).lower().split(" ") for t in texts]
     words = set(chain.from_iterable(cut))
     words.discard("")
-    new = words.difference(_words)
-    if len(_words) + len(new) > CACHE_MAX:
-        _words = {}
-        new = words
+    known = own_cache("dedup", CACHE_MAX)
+    known = own_cache("dedup", CACHE_MAX, len(words.difference(known)))
     code = xxhash.xxh64_intdigest
-    for w in new:
-        _words[w] = code(w) | 1
-    known = _words
+    for w in words.difference(known):
+        known[w] = code(w) | 1
     known[""] = 0
     flat = np.fromiter(map(known.__getitem__, chain.from_iterable(cut)), dtype=np.uint64, count=sum(map(len, cut)))
     owner = np.repeat(np.arange(len(cut)), np.fromiter(map(len, cut), dtype=np.int64, count=len(cut)))
