@@ -23,6 +23,7 @@ import os
 import struct
 import uuid
 import zlib
+from array import array
 from functools import lru_cache
 from itertools import chain
 
@@ -31,12 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import remote, saved, slices, text_bytes, text_of, tokenizer_path, work_dir
+from gridloom.llm.common import own_cache, remote, saved, slices, text_bytes, text_of, tokenizer_path, work_dir
 
 MAGIC = b"DAC1"
 BLOCK = 512
 SHARD_IDS = 2_000_000
-CACHE_MAX = 250_000
+CACHE_MAX = 500_000
 SLICE_BYTES = 3_000_000
 MANIFEST = "shard long, part long, n_docs long, n_ids long, path string"
 
@@ -45,10 +46,10 @@ class WordEncoder:
     """The tokenizers library on whole texts, by way of distinct words.
 
     The vocabulary's normalizer and pre-tokenizer drop white space and never look across it, so a text's ids are the ids
-    of its parts between spaces, tabs and line ends, one after the other. Its pattern also ends a token between a letter
-    and the punctuation after it, and it lower-cases, so a part's closing punctuation is coded apart from the rest and
-    ASCII parts are lower-cased first; parts with '<', which may hold a special token, are left alone. Each distinct part
-    that results is encoded once by the library and kept in a bounded cache.
+    of its parts between spaces, tabs and line ends, one after the other. It lower-cases character by character, so texts
+    are lower-cased first (but for the two letters where that is not the same, and where a special token may stand). Its
+    pattern ends a token between a letter and the punctuation after it, so a part's closing punctuation is coded apart.
+    Each distinct part that results is encoded once by the library and kept, as bytes of 32-bit ids, in a bounded cache.
     """
 
     TAIL = ".,;:!?%*#$&|"
@@ -58,34 +59,35 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.name = f"dac {path}"
 
     def parts(self, word: str) -> tuple[str, str]:
+        """(the word without its closing punctuation, that), as far as these are coded apart."""
         core = word.rstrip(self.TAIL)
-        tail = word[len(core) :]
-        if tail and not (core and core[-1].lower().isalpha()):
-            core, tail = word, ""
-        return (core.lower() if core.isascii() and "<" not in core else core), tail
+        if len(core) < len(word) and core and core[-1].isalpha() and core[-1] != "İ":
+            return core, word[len(core) :]
+        return word, ""
 
-    def ids(self, texts: list[str]) -> list[list[int]]:
-        cut = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+    def words(self, text: str) -> list[str]:
+        if "<|" not in text and "Σ" not in text and "İ" not in text:
+            text = text.lower()
+        return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        cut = [self.words(t) for t in texts]
         words = set(chain.from_iterable(cut))
-        words.discard("")
-        split = {w: self.parts(w) for w in words}
-        new = set(chain.from_iterable(split.values())).difference(self.cache)
-        if len(self.cache) + len(new) > CACHE_MAX:
-            self.cache = {}
-            new = set(chain.from_iterable(split.values()))
-        todo = list(new)
+        known = own_cache(self.name, CACHE_MAX)
+        known = own_cache(self.name, CACHE_MAX, len(words.difference(known)) * 2)
+        known[""] = b""
+        split = [(w, *self.parts(w)) for w in words.difference(known)]
+        todo = list({p for _, core, tail in split for p in (core, tail)}.difference(known))
         for k in range(0, len(todo), 20_000):
             part = todo[k : k + 20_000]
             coded = self.library.encode_batch_fast(part, add_special_tokens=False)
-            self.cache.update((w, tuple(e.ids)) for w, e in zip(part, coded, strict=True))
-        known = self.cache
-        of_word = {w: known[a] + known[b] if b else known[a] for w, (a, b) in split.items()}
-        of_word[""] = ()
-        of = of_word.__getitem__
-        return [list(chain.from_iterable(map(of, words))) for words in cut]
+            known.update((w, array("I", e.ids).tobytes()) for w, e in zip(part, coded, strict=True))
+        known.update((w, known[core] + known[tail]) for w, core, tail in split if tail)
+        of = known.__getitem__
+        return [np.frombuffer(b"".join(map(of, words)), dtype=np.uint32) for words in cut]
 
 
 @lru_cache(maxsize=2)
@@ -188,6 +190,7 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str = "word_bpe_49k.j
         names: list = []
         held: list[np.ndarray] = []
         sizes: list[int] = []
+        end, total = np.array([end_id], dtype=np.uint32), 0
 
         def close():
             starts = np.concatenate([[0], np.cumsum(np.array(sizes, dtype=np.int64))])
@@ -206,13 +209,13 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str = "word_bpe_49k.j
         for batch in slices(batches, text_bytes("text"), SLICE_BYTES):
             each = encoder(vocabulary).ids(batch.column(1).to_pylist())
             for name, ids in zip(batch.column(0).to_pylist(), each, strict=True):
-                ids.append(end_id)
                 names.append(name)
-                held.append(np.array(ids, dtype=np.uint32))
-                sizes.append(len(ids))
-            if sum(sizes) >= SHARD_IDS:
+                held += [ids, end]
+                sizes.append(len(ids) + 1)
+                total += len(ids) + 1
+            if total >= SHARD_IDS:
                 yield close()
-                names, held, sizes, part = [], [], [], part + 1
+                names, held, sizes, part, total = [], [], [], part + 1, 0
         if names:
             yield close()
 
@@ -221,8 +224,11 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str = "word_bpe_49k.j
     return ordered.mapInArrow(run, MANIFEST)
 
 
-def read_shards(manifest: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids array<int>) of every document of the manifest's files, one file at a time."""
+def read_shards(manifest: DataFrame, checksums: bool = False) -> DataFrame:
+    """(doc_id, start, n_tokens, ids array<int>) of every document of the manifest's files, one file at a time.
+
+    With ``checksums``, ids_crc32 instead of ids: the CRC-32 of the ids as little-endian unsigned 32-bit integers.
+    """
     order = Window.orderBy("shard", "part").rowsBetween(Window.unboundedPreceding, -1)
     # One row a file: the running sum needs their order alone.
     based = manifest.withColumn("base", F.coalesce(F.sum("n_ids").over(order), F.lit(0).cast("long")))
@@ -232,34 +238,25 @@ def read_shards(manifest: DataFrame) -> DataFrame:
             for path, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 shard = Shard(path)
                 names, starts = shard.documents()
-                ids = shard.all().astype(np.int32)
+                ids = shard.all()
                 step = 2_000
                 for k in range(0, len(names), step):
                     s = starts[k : k + step + 1]
-                    part = pa.ListArray.from_arrays(pa.array((s - s[0]).astype(np.int32)), pa.array(ids[s[0] : s[-1]]))
-                    columns = [pa.array(names[k : k + step], pa.int64()), pa.array(s[:-1] + base), pa.array(np.diff(s)), part]
-                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids"])
+                    if checksums:
+                        flat = ids.astype("<u4")
+                        last = pa.array([zlib.crc32(flat[a:b]) for a, b in zip(s[:-1], s[1:], strict=True)], pa.int64())
+                    else:
+                        flat = ids[s[0] : s[-1]].astype(np.int32)
+                        last = pa.ListArray.from_arrays(pa.array((s - s[0]).astype(np.int32)), pa.array(flat))
+                    columns = [pa.array(names[k : k + step], pa.int64()), pa.array(s[:-1] + base), pa.array(np.diff(s)), last]
+                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32" if checksums else "ids"])
 
     # A fixed number of partitions: adaptive execution would put the short rows of this table into one task.
     files = based.select("path", "base").repartition(max(1, manifest.count()), "path")
-    return files.mapInArrow(run, "doc_id long, start long, n_tokens long, ids array<int>")
-
-
-def with_crc32(coded: DataFrame) -> DataFrame:
-    """Replace ``ids`` by the CRC-32 of the ids as little-endian unsigned 32-bit integers."""
-
-    def run(batches):
-        for batch in batches:
-            ids = batch.column(3)
-            ends, flat = ids.offsets.to_numpy(), ids.values.to_numpy().astype("<u4")
-            crc = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"]
-            )
-
-    return coded.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    last = "ids_crc32 long" if checksums else "ids array<int>"
+    return files.mapInArrow(run, f"doc_id long, start long, n_tokens long, {last}")
 
 
 def op10_token_files(docs: DataFrame, spark: SparkSession) -> DataFrame:
     manifest = saved(write_shards(docs, work_dir(spark, "token-files")), "token-manifest")
-    return with_crc32(read_shards(manifest))
+    return read_shards(manifest, checksums=True)

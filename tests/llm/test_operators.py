@@ -329,8 +329,10 @@ def test_token_files(docs, none, spark):
     rows = sorted(((r["doc_id"], r["text"] or "") for r in docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
     start = 0
     want = []
+    plain = {(r["doc_id"], r["start"]): r["ids"] for r in dac.read_shards(spark.createDataFrame(manifest, dac.MANIFEST)).collect()}
     for i, t in rows:
         ids = library.encode(t, add_special_tokens=False).ids + [2]
+        assert plain[i, start] == ids
         want.append((i, start, len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes())))
         start += len(ids)
     assert sorted((tuple(r) for r in got), key=lambda r: r[1]) == want
