@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from gridloom.plans import relational
+
+QUERIES: dict = dict(relational.QUERIES)
+ORACLES: dict[str, str] = dict(relational.ORACLES)
