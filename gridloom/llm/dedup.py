@@ -7,9 +7,10 @@
    errors (each choice of positions left out is a key) guarantees that all such pairs share a bucket.
 3. In each bucket every node is paired with the least node, if their signatures are within RADIUS; pairs are confirmed
    on full sets. The links give first components. A bucket that is then within one component holds no other news.
-4. The other buckets are gathered by their main component, each node once for it. Nodes outside the component meet all
-   that are gathered there, in cells of bounded size, by signature and then by full sets; only links leave a cell. So
-   every pair in a bucket is either in one component or compared, and no pairs within a group are emitted.
+4. The other buckets are gathered by their largest component, each node once for it. Nodes outside the component meet
+   all that are gathered there, in cells of bounded size, by signature and then by full sets; only links leave a cell.
+   Buckets of unlinked nodes that meet in this way already are passed over. So every pair in a bucket is either in one
+   component or compared, and no pairs within a group are emitted.
 5. Components of all links, by alternating large and small stars; a component's id is its smallest doc_id.
 
 No step brings documents, links or components to the driver. Sets are needed only for nodes in buckets with others; a
@@ -45,7 +46,7 @@ M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: Bits of the map of nodes whose sets are needed.
 MAP_BITS = 1 << 26
 #: Rows of a cell on either side.
-OTHERS, ALL = 192, 384
+OTHERS, ALL = 128, 256
 PERCENT = 80
 
 
@@ -392,14 +393,25 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT) ->
     links = saved(confirmed(pairs, sets, percent), "dedup-links")
     first = components(links)
 
+    size = first.groupBy("comp").agg(F.count(F.lit(1)).alias("comp_size"))
     inside = wide.select("key", "node").unionByName(wide.select("key", F.col("hub").alias("node")).distinct())
-    inside = inside.join(first, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
+    inside = inside.join(first, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    inside = inside.join(size, "comp", "left").select("key", "node", "comp", F.coalesce("comp_size", F.lit(1)).alias("comp_size"))
     split = (
-        inside.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("size"))
-        .groupBy("key").agg(F.max(F.struct("size", "comp"))["comp"].alias("main"), F.count(F.lit(1)).alias("comps"))
-        .where("comps > 1")
+        inside.groupBy("key").agg(F.max(F.struct("comp_size", "comp")).alias("main"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+        .where("low != high").select("key", F.col("main.comp").alias("main"), F.col("main.comp_size").alias("main_size"))
     )
-    members = saved(inside.join(split, "key").select("main", "node", "comp").distinct(), "dedup-members")
+    open_ = saved(inside.join(split, "key").select("key", "main", "main_size", "node", "comp"), "dedup-open")
+    grouped = open_.where("main_size > 1")
+    # Nodes that are gathered for one component meet there: a bucket of such nodes alone holds no other pairs.
+    home = grouped.groupBy("node").agg(F.max(F.struct("main_size", "main"))["main"].alias("home"))
+    alone = open_.where("main_size = 1").join(home, "node", "left")
+    left = alone.groupBy("key").agg(
+        F.min("home").alias("low"), F.max("home").alias("high"), F.count("home").alias("homes"), F.count(F.lit(1)).alias("rows")
+    )
+    left = left.where("homes < rows OR low != high").select("key")
+    members = grouped.unionByName(open_.where("main_size = 1").join(left, "key", "left_semi"))
+    members = saved(members.select("main", "node", "comp").distinct(), "dedup-members")
     met = cells(members).join(sig, "node").join(sets, "node")
     links = links.unionByName(links_in_cells(met, percent))
     comps = components(links)
