@@ -19,6 +19,7 @@ text; rows with null doc_id come first; an empty table writes no files and reads
 
 from __future__ import annotations
 
+import gc
 import os
 import struct
 import uuid
@@ -37,7 +38,8 @@ from gridloom.llm.common import own_cache, remote, saved, slices, text_bytes, te
 MAGIC = b"DAC1"
 BLOCK = 512
 SHARD_IDS = 2_000_000
-CACHE_MAX = 500_000
+CACHE_MAX = 700_000
+WORDS_MAX = 500_000
 SLICE_BYTES = 3_000_000
 MANIFEST = "shard long, part long, n_docs long, n_ids long, path string"
 
@@ -60,6 +62,8 @@ class WordEncoder:
 
         self.library = Tokenizer.from_file(path)
         self.name = f"dac {path}"
+        #: Parts' ids, kept from task to task (at most CACHE_MAX, some 150 MB); whole words' only within a task.
+        self.known: dict[str, bytes] = {"": b""}
 
     def parts(self, word: str) -> tuple[str, str]:
         """(the word without its closing punctuation, that), as far as these are coded apart."""
@@ -76,17 +80,22 @@ class WordEncoder:
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         cut = [self.words(t) for t in texts]
         words = set(chain.from_iterable(cut))
-        known = own_cache(self.name, CACHE_MAX)
-        known = own_cache(self.name, CACHE_MAX, len(words.difference(known)) * 2)
-        known[""] = b""
-        split = [(w, *self.parts(w)) for w in words.difference(known)]
-        todo = list({p for _, core, tail in split for p in (core, tail)}.difference(known))
+        of_word = own_cache(self.name, WORDS_MAX)
+        of_word = own_cache(self.name, WORDS_MAX, len(words.difference(of_word)))
+        split = [(w, *self.parts(w)) for w in words.difference(of_word)]
+        parts = {core for _, core, _ in split}
+        parts.update(tail for *_, tail in split)
+        todo = list(parts.difference(self.known))
+        if len(self.known) + len(todo) > CACHE_MAX:
+            self.known = {"": b""}
+            todo = list(parts)
+        known = self.known
         for k in range(0, len(todo), 20_000):
             part = todo[k : k + 20_000]
             coded = self.library.encode_batch_fast(part, add_special_tokens=False)
             known.update((w, array("I", e.ids).tobytes()) for w, e in zip(part, coded, strict=True))
-        known.update((w, known[core] + known[tail]) for w, core, tail in split if tail)
-        of = known.__getitem__
+        of_word.update((w, known[core] + known[tail] if tail else known[core]) for w, core, tail in split)
+        of = of_word.__getitem__
         return [np.frombuffer(b"".join(map(of, words)), dtype=np.uint32) for words in cut]
 
 
@@ -206,6 +215,7 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str = "word_bpe_49k.j
                 ["shard", "part", "n_docs", "n_ids", "path"],
             )
 
+        gc.disable()  # the caches hold no cycles, and walking them takes a fifth of the time
         for batch in slices(batches, text_bytes("text"), SLICE_BYTES):
             each = encoder(vocabulary).ids(batch.column(1).to_pylist())
             for name, ids in zip(batch.column(0).to_pylist(), each, strict=True):
@@ -216,6 +226,7 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str = "word_bpe_49k.j
             if total >= SHARD_IDS:
                 yield close()
                 names, held, sizes, part, total = [], [], [], part + 1, 0
+        gc.enable()
         if names:
             yield close()
 
