@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridloom.plans import relational
+from gridloom.plans import graphs, relational
 
-QUERIES: dict = dict(relational.QUERIES)
-ORACLES: dict[str, str] = dict(relational.ORACLES)
+QUERIES: dict = relational.QUERIES | graphs.QUERIES
+ORACLES: dict[str, str] = relational.ORACLES | graphs.ORACLES
