@@ -41,6 +41,8 @@ SHARD_IDS = 2_000_000
 CACHE_MAX = 700_000
 WORDS_MAX = 500_000
 SLICE_BYTES = 3_000_000
+#: Files that a task reads, one after the other.
+FILES_A_TASK = 3
 MANIFEST = "shard long, part long, n_docs long, n_ids long, path string"
 
 
@@ -249,13 +251,12 @@ def read_shards(manifest: DataFrame, checksums: bool = False) -> DataFrame:
             for path, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 shard = Shard(path)
                 names, starts = shard.documents()
-                ids = shard.all()
+                ids = shard.all().astype("<u4")
                 step = 2_000
                 for k in range(0, len(names), step):
                     s = starts[k : k + step + 1]
                     if checksums:
-                        flat = ids.astype("<u4")
-                        last = pa.array([zlib.crc32(flat[a:b]) for a, b in zip(s[:-1], s[1:], strict=True)], pa.int64())
+                        last = pa.array([zlib.crc32(ids[a:b]) for a, b in zip(s[:-1], s[1:], strict=True)], pa.int64())
                     else:
                         flat = ids[s[0] : s[-1]].astype(np.int32)
                         last = pa.ListArray.from_arrays(pa.array((s - s[0]).astype(np.int32)), pa.array(flat))
@@ -263,7 +264,7 @@ def read_shards(manifest: DataFrame, checksums: bool = False) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32" if checksums else "ids"])
 
     # A fixed number of partitions: adaptive execution would put the short rows of this table into one task.
-    files = based.select("path", "base").repartition(max(1, manifest.count()), "path")
+    files = based.select("path", "base").repartition(-(-manifest.count() // FILES_A_TASK) or 1, "path")
     last = "ids_crc32 long" if checksums else "ids array<int>"
     return files.mapInArrow(run, f"doc_id long, start long, n_tokens long, {last}")
 
