@@ -412,7 +412,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT) ->
     left = left.where("homes < rows OR low != high").select("key")
     members = grouped.unionByName(open_.where("main_size = 1").join(left, "key", "left_semi"))
     members = saved(members.select("main", "node", "comp").distinct(), "dedup-members")
-    met = cells(members).join(sig, "node").join(sets, "node")
+    # One table with all that a cell needs of a node, so that its rows are joined once.
+    known = saved(sets.join(sig, "node"), "dedup-known")
+    met = cells(members).join(known, "node")
     links = links.unionByName(links_in_cells(met, percent))
     comps = components(links)
 
