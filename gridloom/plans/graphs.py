@@ -258,7 +258,7 @@ def structure_tensor_eigenvalues(spark, d):
 
 
 MATRIX = [(0.8, 0.1, 3.3), (-0.2, 0.9, 20.7)]
-AT = "tg AS (SELECT node_id, y * 0.8e0 + x * 0.1e0 + 3.3e0 AS cy, y * -0.2e0 + x * 0.9e0 + 20.7e0 AS cx FROM px)"
+AT = "tg AS (SELECT node_id, 3.3e0 + y * 0.8e0 + x * 0.1e0 AS cy, 20.7e0 + y * -0.2e0 + x * 0.9e0 AS cx FROM px)"
 
 
 def warp_targets(px):
