@@ -27,6 +27,7 @@ import zlib
 from array import array
 from functools import lru_cache
 from itertools import chain
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -40,12 +41,26 @@ BLOCK = 512
 SHARD_IDS = 2_000_000
 CACHE_MAX = 700_000
 WORDS_MAX = 500_000
-SLICE_BYTES = 3_000_000
+SLICE_BYTES = 5_000_000
 #: Files that a task reads, one after the other.
 FILES_A_TASK = 3
 MANIFEST = "shard long, part long, n_docs long, n_ids long, path string"
 
 
+class ByteLetters(dict):
+    """Code point -> the characters that stand for its UTF-8 bytes: a printable Latin-1 character for itself, the other
+    bytes, in order, for the code points from 256 on."""
+
+    def __init__(self):
+        printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+        rest = [b for b in range(256) if b not in printable]
+        self.letter = [chr(b) if b in printable else chr(256 + rest.index(b)) for b in range(256)]
+
+    def __missing__(self, point: int) -> str:
+        self[point] = out = "".join(self.letter[b] for b in chr(point).encode())
+        return out
+
+
 class WordEncoder:
     """The tokenizers library on whole texts, by way of distinct words.
 
@@ -54,6 +69,8 @@ class WordEncoder:
     are lower-cased first (but for the two letters where that is not the same, and where a special token may stand). Its
     pattern ends a token between a letter and the punctuation after it, so a part's closing punctuation is coded apart.
     Each distinct part that results is encoded once by the library and kept, as bytes of 32-bit ids, in a bounded cache.
+    Parts of normalized lower-case letters are one pre-token, so they go straight to the library's model, their UTF-8 bytes
+    written as the characters that the byte-level pre-tokenizer gives them.
     """
 
     TAIL = ".,;:!?%*#$&|"
@@ -64,13 +81,14 @@ class WordEncoder:
 
         self.library = Tokenizer.from_file(path)
         self.name = f"dac {path}"
+        self.bytes_of = ByteLetters()
         #: Parts' ids, kept from task to task (at most CACHE_MAX, some 150 MB); whole words' only within a task.
         self.known: dict[str, bytes] = {"": b""}
 
     def parts(self, word: str) -> tuple[str, str]:
         """(the word without its closing punctuation, that), as far as these are coded apart."""
         core = word.rstrip(self.TAIL)
-        if len(core) < len(word) and core and core[-1].isalpha() and core[-1] != "İ":
+        if len(core) < len(word) and core and core[-1].isalpha() and core[-1] != "İ" and is_normalized("NFC", core[-1]):
             return core, word[len(core) :]
         return word, ""
 
@@ -92,6 +110,11 @@ class WordEncoder:
             self.known = {"": b""}
             todo = list(parts)
         known = self.known
+        single = [w for w in todo if w.isalpha() and w.lower() == w and (w.isascii() or is_normalized("NFC", w))]
+        tokenize = self.library.model.tokenize
+        for w in single:
+            known[w] = array("I", [t.id for t in tokenize(w if w.isascii() else w.translate(self.bytes_of))]).tobytes()
+        todo = [w for w in todo if w not in known]
         for k in range(0, len(todo), 20_000):
             part = todo[k : k + 20_000]
             coded = self.library.encode_batch_fast(part, add_special_tokens=False)
