@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridloom.operators import fields, filters, graphs, meshes, partition, rag, warp
+from gridloom.operators import fields, filters, graphs, meshes, partition, rag, skeletons, surfaces, warp
 from gridloom.plans.relational import CT, ED, OFFSETS, PX, grid, other_affinities, rounded, w
 from gridloom.sources import tables as t
 
@@ -195,6 +195,14 @@ def geodesic_distance_field(spark, d):
     return fields.geodesic_distance_field(px, shape)
 
 
+def event_volume(spark, d):
+    """The events as a volume with rows of 10 and slices of 10 rows."""
+    px, shape = grid(spark, d)
+    n = F.col("node_id")
+    cut = px.select("node_id", F.expr("int(node_id div 100)").alias("z"), F.expr("int(node_id div 10 % 10)").alias("y"), (n % 10).cast("int").alias("x"), "value")
+    return cut, (shape[1], 10, 10)
+
+
 # Filters and warps. Taps in SQL are a list of values; borders are mirrored.
 
 
@@ -373,6 +381,22 @@ def draw_instances(spark, d):
     return meshes.draw_instances(points, shape, 1)
 
 
+@query("marching_cubes_vertices")
+def marching_cubes_vertices(spark, d):
+    return surfaces.marching_cubes(*event_volume(spark, d), 60.0)[0]
+
+
+@query("marching_cubes_faces")
+def marching_cubes_faces(spark, d):
+    return surfaces.marching_cubes(*event_volume(spark, d), 60.0)[1]
+
+
+@query("teasar_labels")
+def teasar_labels(spark, d):
+    px, shape = grid(spark, d)
+    return skeletons.teasar_labels(px.withColumn("label", (F.col("value") > 30).cast("long")), shape)
+
+
 # Sequential kernels: no SQL; tests compare them with naive versions and with the undivided graph.
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.grid import full
 from gridloom.functions.store import row_numbers
-from gridloom.operators import affinities, fields, filters, graphs, gridgraph, kernels, meshes, multiset, overlap, partition, rag, warp
+from gridloom.operators import affinities, fields, filters, graphs, gridgraph, kernels, meshes, multiset, overlap, partition, rag, skeletons, surfaces, warp
 from gridloom.operators.blocking import Blocking
 from gridloom.plans.solve import solve
 
@@ -358,3 +358,51 @@ def test_undivided_solve(spark):
     n, rows = random_graph(spark, 7)
     got = solve(node_table(spark, n), edge_table(spark, rows), kernels.greedy_additive, whole=True)
     assert same_partition(labels_of(got), kernels.greedy_additive(n, *arrays(rows)).tolist())
+
+
+def closed(faces):
+    """Every directed side of a closed, consistently turned surface has its opposite."""
+    sides = [(f[k], f[(k + 1) % 3]) for f in faces for k in range(3)]
+    return len(set(sides)) == len(sides) and all((b, a) in set(sides) for a, b in sides)
+
+
+def test_triangle_lists():
+    lists = surfaces.triangles()
+    assert len(lists) == 256 and not lists[0] and not lists[255] and all(len(lists[1 << c]) == 1 for c in range(8))
+    for case in range(256):
+        crossed = {e for e in range(12) for _, a, b in [surfaces.edge_ends(e)] if (case >> a & 1) != (case >> b & 1)}
+        assert {e for t in lists[case] for e in t} == crossed
+
+
+def test_marching_cubes(spark):
+    z, y, x = np.mgrid[-6:7, -6:7, -6:7]
+    ball = 5.0 - np.sqrt(z**2 + y**2 + x**2)
+    px, shape = image(spark, np.zeros(ball.shape, int), value=ball)
+    vertices, faces = surfaces.marching_cubes(px, shape, 0.7)
+    v = {r["vertex_id"]: np.array([r["z"], r["y"], r["x"]]) - 6 for r in vertices.collect()}
+    f = [tuple(r) for r in faces.collect()]
+    assert closed(f) and len(v) - 3 * len(f) // 2 + len(f) == 2
+    assert all(abs(np.linalg.norm(p) - 4.3) < 0.1 for p in v.values())
+    volume = sum(np.dot(v[a], np.cross(v[b], v[c])) for a, b, c in f) / 6
+    assert abs(abs(volume) - 4 / 3 * np.pi * 4.3**3) < 15 and volume > 0
+    noise = np.zeros((7, 7, 7))
+    noise[1:-1, 1:-1, 1:-1] = np.random.default_rng(2).random((5, 5, 5))
+    px, shape = image(spark, np.zeros(noise.shape, int), value=noise)
+    assert closed([tuple(r) for r in surfaces.marching_cubes(px, shape, 0.5)[1].collect()])
+    with pytest.raises(RuntimeError):
+        surfaces.marching_cubes(px, shape, 9.0)
+
+
+def test_teasar(spark):
+    a = np.zeros((5, 5, 24), int)
+    a[1:4, 1:4, 1:23] = 1
+    a[0, 0, 0] = 2
+    px, shape = image(spark, a)
+    got = skeletons.teasar_labels(px, shape)
+    rows = got.where("label = 1").collect()
+    inside = {tuple(p) for p in np.argwhere(a == 1)}
+    assert {(r["z"], r["y"], r["x"]) for r in rows} <= inside and len({(r["z"], r["y"], r["x"]) for r in rows}) == len(rows)
+    assert sum(r["parent"] < 0 for r in rows) == 1 and max(r["radius"] for r in rows) == 2
+    assert {r["x"] for r in rows} >= set(range(1, 23))
+    assert got.where("label = 2").count() == 1
+    assert skeletons.forest_edges(got).count() == got.count() - 2
