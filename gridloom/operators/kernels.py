@@ -374,6 +374,88 @@ def agglomerate(n, u, v, indicator, edge_size, node_size, num_clusters_stop: int
     return graph.sets.labels()
 
 
+class Histogram:
+    """Mass over evenly placed values, the first at ``low``, the last at ``high``."""
+
+    def __init__(self, bins: int, low: float, high: float):
+        self.bins, self.low, self.high = bins, low, high
+
+    def of(self, value: float) -> np.ndarray:
+        """One unit at a value, shared by the two places around it."""
+        out = np.zeros(self.bins)
+        at = float(np.clip((value - self.low) / (self.high - self.low), 0.0, 1.0)) * (self.bins - 1)
+        k = int(at)
+        out[k] += 1 - (at - k)
+        if at > k:
+            out[k + 1] += at - k
+        return out
+
+    def median(self, mass: np.ndarray) -> float:
+        """Where half of the mass is reached, linear within a bin. The bin's lower end is its predecessor's index plus half
+        a bin's width in units of the value, as the published method has it."""
+        upto = np.cumsum(mass)
+        half = upto[-1] / 2
+        k = int(np.searchsorted(upto, half))
+        while k < self.bins - 1 and mass[k] == 0:
+            k += 1
+        if k == 0 or upto[-1] == 0:
+            return self.low
+        start = (k - 1) + (self.high - self.low) / self.bins / 2
+        at = start + (half - (upto[k] - mass[k])) / mass[k]
+        return self.low + at / (self.bins - 1) * (self.high - self.low)
+
+
+def median_agglomeration(
+    n, u, v, indicator, bins: int = 40, low: float = 0.0, high: float = 1.0, num_clusters_stop: int = 1, num_edges_stop: int = 0, threshold: float = 0.5
+) -> np.ndarray:
+    """Merge the edge of least priority while it is under ``threshold``: its indicator, and once edges were folded, the
+    median of their indicators."""
+    space = Histogram(bins, low, high)
+
+    def fold(a, b):
+        mass = a[1] + b[1]
+        return (space.median(mass), mass)
+
+    graph = Contraction(n, u, v, [(float(x), space.of(float(x))) for x in indicator], fold)
+    heap = [(x[0], a, b) for a in range(n) for b, x in graph.links[a].items() if a < b]
+    heapq.heapify(heap)
+    left, edges = n, len(heap)
+    while heap and left > num_clusters_stop and (not num_edges_stop or edges > num_edges_stop):
+        p, a, b = heapq.heappop(heap)
+        x = graph.links[a].get(b)
+        if x is None or x[0] != p:
+            continue
+        if p >= threshold:
+            break
+        before = len(graph.links[a]) + len(graph.links[b]) - 2
+        root, changed = graph.merge(a, b)
+        left -= 1
+        edges -= 1 + before - len(graph.links[root])
+        for c in changed:
+            heapq.heappush(heap, (graph.links[root][c][0], min(root, c), max(root, c)))
+    return graph.sets.labels()
+
+
+def affinity_watershed(n, u, v, level, seed) -> np.ndarray:
+    """Claims by edge level, lowest first: a pixel takes the label of the first claim that is popped."""
+    near: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+    for a, b, x in zip(u.tolist(), v.tolist(), level.tolist(), strict=True):
+        near[a].append((b, x))
+        near[b].append((a, x))
+    label = [int(x) for x in seed]
+    heap = [(x, b, label[a]) for a in range(n) if label[a] for b, x in near[a] if not label[b]]
+    heapq.heapify(heap)
+    while heap:
+        at, x, name = heapq.heappop(heap)
+        if label[x]:
+            continue
+        label[x] = name
+        for y, z in near[x]:
+            if not label[y]:
+                heapq.heappush(heap, (max(at, z), y, name))
+    return np.array(label)
+
+
 def edge_weighted_watershed(n, u, v, weight, seed) -> np.ndarray:
     """Kruskal from the seeds, lightest edge first (ties by id): a merge needs one side without a label; labels are kept."""
     sets = Clusters(n)

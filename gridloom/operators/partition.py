@@ -191,3 +191,28 @@ def watershed(pixels: DataFrame, shape, levels: int = 65_536) -> DataFrame:
     labels = solve(nodes, edges, kernel, None, ("cost",), ("value", "seed"), dense=False)
     out = pixels.select("node_id").join(labels.withColumnRenamed("node", "node_id"), "node_id", "left")
     return out.select("node_id", F.coalesce("label", F.lit(0).cast("long")).alias("label"))
+
+
+def median_agglomeration(nodes: DataFrame, edges: DataFrame, num_clusters_stop: int = 1, num_edges_stop: int = 0, threshold: float = 0.5, bins: int = 40) -> DataFrame:
+    """edges: (edge_id, u, v, cost) with costs in [0, 1]; a count stop needs the whole graph in one part."""
+    kernel = partial(kernels.median_agglomeration, bins=bins, num_clusters_stop=num_clusters_stop, num_edges_stop=num_edges_stop, threshold=threshold)
+    return solve(nodes, edges, kernel, None, whole=num_clusters_stop > 1 or num_edges_stop > 0)
+
+
+def watershed_from_affinities(pixels: DataFrame, affinities: DataFrame, offsets, shape, levels: int = 65_536) -> DataFrame:
+    """(node_id, label): flooding from markers (seed > 0) within the mask, the strongest affinity first. Offsets are one
+    step along each axis, each axis once; an affinity (channel, node_id, affinity) joins its pixel and the offset's target."""
+    keep = pixels.where("mask") if "mask" in pixels.columns else pixels
+    own = affinities.join(keep.select("node_id"), "node_id", "left_semi")
+    low, high = own.agg(F.min("affinity"), F.max("affinity")).first()
+    scale = (levels - 1) / (high - low) if low is not None and high > low else 0.0
+    rows = with_targets(keep.select("node_id", "z", "y", "x"), offsets, shape).join(keep.select(F.col("node_id").alias("to")), "to", "left_semi")
+    n = shape[0] * shape[1] * shape[2]
+    edges = rows.join(own, ["channel", "node_id"]).select(
+        (F.col("channel").cast("long") * n + F.col("node_id")).alias("edge_id"), F.col("node_id").alias("u"), F.col("to").alias("v"),
+        F.floor((F.lit(high or 0.0) - F.col("affinity")) * scale).cast("long").alias("level"),
+    )
+    nodes = keep.select(F.col("node_id").alias("node"), F.col("seed").cast("long").alias("seed"))
+    labels = solve(nodes, edges, kernels.affinity_watershed, None, ("level",), ("seed",), dense=False)
+    out = pixels.select("node_id").join(labels.withColumnRenamed("node", "node_id"), "node_id", "left")
+    return out.select("node_id", F.coalesce("label", F.lit(0).cast("long")).alias("label"))

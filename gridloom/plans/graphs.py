@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridloom.operators import fields, filters, graphs, meshes, partition, rag, skeletons, surfaces, warp
+from gridloom.operators import fields, filters, flow, graphs, meshes, partition, rag, skeletons, surfaces, warp
 from gridloom.plans.relational import CT, ED, OFFSETS, PX, grid, other_affinities, rounded, w
 from gridloom.sources import tables as t
 
@@ -474,3 +474,26 @@ def watershed(spark, d):
     return partition.watershed(px.withColumn("seed", F.when(F.col("node_id") % 211 == 0, F.col("node_id") + 1).otherwise(0)), shape)
 
 
+
+
+@query("median_agglomeration")
+def median_agglomeration(spark, d):
+    nodes, edges = region_graph(spark, d)
+    scaled = edges.withColumn("cost", F.greatest(F.lit(0.0), F.least(F.lit(1.0), (50 - F.col("cost")) / 100)))
+    return partition.median_agglomeration(nodes, scaled)
+
+
+@query("watershed_from_affinities")
+def watershed_from_affinities(spark, d):
+    px, shape = grid(spark, d)
+    affs = px.select(F.explode(F.array(F.lit(0), F.lit(1))).alias("channel"), "node_id", (1 / (1 + F.col("value"))).alias("affinity"))
+    seeded = px.withColumn("seed", F.when(F.col("node_id") % 211 == 0, F.col("node_id") + 1).otherwise(0))
+    return partition.watershed_from_affinities(seeded, affs, [(1, 0), (0, 1)], shape)
+
+
+@query("flow_density")
+def flow_density(spark, d):
+    px, shape = grid(spark, d)
+    pull = px.select("node_id", "z", "y", "x", (F.col("value") > 5).alias("fg"), F.lit(0.0).alias("fz"),
+                     (2.0 - F.col("y") % 5).alias("fy"), (2.0 - F.col("x") % 5).alias("fx"))
+    return flow.flow_density(pull, shape)

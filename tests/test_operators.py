@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.grid import full
 from gridloom.functions.store import row_numbers
-from gridloom.operators import affinities, fields, filters, graphs, gridgraph, kernels, meshes, multiset, overlap, partition, rag, skeletons, surfaces, warp
+from gridloom.operators import affinities, fields, filters, flow, graphs, gridgraph, kernels, meshes, multiset, overlap, partition, rag, skeletons, surfaces, warp
 from gridloom.operators.blocking import Blocking
 from gridloom.plans.solve import solve
 
@@ -406,3 +406,24 @@ def test_teasar(spark):
     assert {r["x"] for r in rows} >= set(range(1, 23))
     assert got.where("label = 2").count() == 1
     assert skeletons.forest_edges(got).count() == got.count() - 2
+
+
+def test_flow_density(spark):
+    y, x = np.mgrid[0:7, 0:9]
+    px, shape = image(spark, np.ones((7, 9), int), fg=np.ones((7, 9), bool), fz=np.zeros((7, 9)), fy=(3.0 - y), fx=(4.0 - x))
+    got = np.array([r["density"] for r in flow.flow_density(px, shape, steps=80).orderBy("node_id").collect()]).reshape(7, 9)
+    assert got[3, 4] == 63 and got.sum() == 63
+    px, shape = image(spark, np.ones((2, 9), int), fg=np.arange(18).reshape(2, 9) % 9 != 4, fz=np.zeros((2, 9)), fy=np.zeros((2, 9)), fx=np.ones((2, 9)))
+    got = np.array([r["density"] for r in flow.flow_density(px, shape, steps=80, method="euler").orderBy("node_id").collect()]).reshape(2, 9)
+    assert got[:, 3].tolist() == [4, 4] and got[:, 8].tolist() == [4, 4] and got.sum() == 16
+
+
+def test_median_agglomeration_and_affinity_watershed(spark):
+    space = kernels.Histogram(40, 0.0, 1.0)
+    assert abs(space.of(0.3).sum() - 1) < 1e-12 and 0.2 < space.median(space.of(0.3) + space.of(0.3)) < 0.4
+    u, v = np.array([0, 1, 2, 0]), np.array([1, 2, 3, 2])
+    assert same_partition(kernels.median_agglomeration(4, u, v, np.array([0.1, 0.2, 0.9, 0.3])).tolist(), [0, 0, 0, 1])
+    px, shape = image(spark, np.zeros((1, 6), int), seed=[[1, 0, 0, 0, 0, 2]])
+    affs = spark.createDataFrame([(0, k, a) for k, a in enumerate([0.9, 0.8, 0.1, 0.7, 0.9, 0.0])], "channel int, node_id long, affinity double")
+    got = partition.watershed_from_affinities(px, affs, [(0, 1)], shape).orderBy("node_id").collect()
+    assert [r["label"] for r in got] == [1, 1, 1, 2, 2, 2]
