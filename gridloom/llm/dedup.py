@@ -274,7 +274,8 @@ def components(edges: DataFrame, a: str = "node", b: str = "hub") -> DataFrame:
     """(node, comp) of every node with an edge; comp is the least node that it reaches.
 
     Alternating large and small stars: each round links a node's neighbours with the least one, from large to small,
-    until nothing changes. Every round is a pre-aggregation and a join by node, written to the shared folder.
+    until nothing changes. Every round is a pre-aggregation and a join by node, both written to the shared folder: so both
+    sides of the join come from plain exchanges, whose hot nodes adaptive execution can split.
     """
     u, v = F.greatest(a, b).alias("u"), F.least(a, b).alias("v")
     edges = saved(edges.where(F.col(a) != F.col(b)).select(u, v).distinct(), "edges")
@@ -283,9 +284,9 @@ def components(edges: DataFrame, a: str = "node", b: str = "hub") -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u AND v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(saved(least, "star-minima"), "u").where("v > u AND v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = saved(large, "large-star")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = saved(large.groupBy("u").agg(F.min("v").alias("m")), "star-minima")
         small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(low.select("u", F.col("m").alias("v"))).select(
             F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")
@@ -393,10 +394,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT) ->
     links = saved(confirmed(pairs, sets, percent), "dedup-links")
     first = components(links)
 
-    size = first.groupBy("comp").agg(F.count(F.lit(1)).alias("comp_size"))
+    size = saved(first.groupBy("comp").agg(F.count(F.lit(1)).alias("comp_size")), "dedup-sizes")
+    first = saved(first.join(size, "comp").select("node", "comp", "comp_size"), "dedup-first")
     inside = wide.select("key", "node").unionByName(wide.select("key", F.col("hub").alias("node")).distinct())
-    inside = inside.join(first, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    inside = inside.join(size, "comp", "left").select("key", "node", "comp", F.coalesce("comp_size", F.lit(1)).alias("comp_size"))
+    inside = inside.join(first, "node", "left").select(
+        "key", "node", F.coalesce("comp", "node").alias("comp"), F.coalesce("comp_size", F.lit(1)).alias("comp_size")
+    )
     split = (
         inside.groupBy("key").agg(F.max(F.struct("comp_size", "comp")).alias("main"), F.min("comp").alias("low"), F.max("comp").alias("high"))
         .where("low != high").select("key", F.col("main.comp").alias("main"), F.col("main.comp_size").alias("main_size"))
