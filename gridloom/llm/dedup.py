@@ -447,3 +447,29 @@ def op1_near_duplicates(docs: DataFrame) -> DataFrame:
         "component_id",
         F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"),
     )
+
+
+#: DuckDB's form: all pairs that share a shingle, then reachability.
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(ws) < 2 THEN ws
+    ELSE list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) END AS sh
+  FROM w
+), e AS (
+  SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM s
+), p AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, any_value(a.n) AS nx, any_value(b.n) AS ny, count(*) AS c
+  FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id
+), l AS (
+  SELECT x, y FROM p WHERE 100 * c >= 80 * (nx + ny - c)
+), b AS (
+  SELECT x, y FROM l UNION ALL SELECT y, x FROM l
+), r(doc_id, reach) AS (
+  SELECT doc_id, doc_id FROM s UNION SELECT r.doc_id, b.y FROM r JOIN b ON r.reach = b.x
+)
+SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, m.component_id, s.doc_id = m.component_id AS kept
+FROM s JOIN (SELECT doc_id, min(reach) AS component_id FROM r GROUP BY doc_id) m ON s.doc_id = m.doc_id
+"""

@@ -22,4 +22,4 @@ QUERIES = {
 }
 
 #: DuckDB SQL of those that SQL can express.
-ORACLES: dict[str, str] = {"op4_quality_rules": rules.ORACLE, "op5_warc": warc.ORACLE, "op6_topk": mips.ORACLE}
+ORACLES: dict[str, str] = {"op1_near_duplicates": dedup.ORACLE, "op4_quality_rules": rules.ORACLE, "op5_warc": warc.ORACLE, "op6_topk": mips.ORACLE}
