@@ -232,3 +232,43 @@ def geodesic_distances(pixels: DataFrame, points: DataFrame, shape, sampling=(1.
     back = out.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("distance").alias("back"))
     both = out.join(back, ["a", "b"])
     return both.select("a", "b", F.when(F.col("a") == F.col("b"), 0.0).otherwise((F.col("distance") + F.col("back")) / 2).alias("distance"))
+
+
+def dijkstra_path(pixels: DataFrame, shape, target: int, connectivity: int = 1, spacing=(1.0, 1.0, 1.0), mode: str = "physical") -> DataFrame:
+    """(step, node_id): the cheapest path from a source to the target, along predecessors; an error if there is none. The
+    walk is made in the task that has solved the target's component."""
+    edges = mask_edges(pixels, shape, connectivity, spacing)
+    nodes = pixels.select(F.col("node_id").alias("node"), "cost", F.col("source").cast("int").alias("source"))
+    nodes = nodes.withColumn("id", F.col("node").cast("long"))
+
+    def kernel(n, u, v, length, cost, source, ids):
+        out = np.full(n, -1)
+        at = int(np.searchsorted(ids, target))
+        if at < n and ids[at] == target:
+            _, before = dijkstra(n, u, v, length, cost, source, mode)
+            if before[at] < 0:
+                raise ValueError(f"no path to {target}")
+            walk = [at]
+            while before[walk[-1]] != walk[-1]:
+                walk.append(int(before[walk[-1]]))
+            out[walk[::-1]] = np.arange(len(walk))
+        return out
+
+    found = solve(nodes, edges, kernel, None, ("length",), ("cost", "source", "id"), dense=False)
+    return found.where("label >= 0").select(F.col("label").alias("step"), F.col("node").alias("node_id"))
+
+
+def geodesic_gradient(field: DataFrame, pixels: DataFrame, shape, sampling=(1.0, 1.0, 1.0)) -> DataFrame:
+    """(node_id, gz, gy, gx): one-sided differences of a field (node_id, distance) towards the smaller neighbour along each
+    axis, 0 where none is smaller or the field is not finite."""
+    steps = [(1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)]
+    own = pixels.select("node_id", "z", "y", "x").join(field, "node_id")
+    near = with_targets(own, steps, shape).join(field.toDF("to", "other"), "to")
+    axis = F.call_function("div", F.col("channel"), F.lit(2))
+    rows = near.groupBy("node_id", axis.alias("axis")).agg(
+        F.min_by(F.when(F.col("channel") % 2 == 0, 1.0).otherwise(-1.0), "other").alias("side"), F.min("other").alias("other")
+    )
+    rows = rows.join(field, "node_id").where("other < distance AND distance < double('infinity')")
+    slope = F.col("side") * (F.col("other") - F.col("distance"))
+    parts = rows.groupBy("node_id").agg(*(F.max(F.when(F.col("axis") == k, slope / float(s))).alias(f"g{n}") for k, (n, s) in enumerate(zip("zyx", sampling, strict=True))))
+    return field.select("node_id").join(parts, "node_id", "left").select("node_id", *(F.coalesce(f"g{n}", F.lit(0.0)).cast("float").alias(f"g{n}") for n in "zyx"))

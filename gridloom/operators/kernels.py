@@ -479,3 +479,58 @@ def minimum_spanning_forest(n, u, v, length) -> np.ndarray:
             sets.up[b] = a
             keep[k] = True
     return keep
+
+
+def split_unconnected(n, u, v, label) -> np.ndarray:
+    """Labels with each cluster cut into its pieces along the edges (u, v)."""
+    sets = Clusters(n)
+    for a, b in zip(u.tolist(), v.tolist(), strict=True):
+        if label[a] == label[b]:
+            a, b = sets.find(a), sets.find(b)
+            if a != b:
+                sets.up[max(a, b)] = min(a, b)
+    return sets.labels()
+
+
+def lifted_kernighan_lin(n, u, v, cost, is_lifted, outer: int = 20, epsilon: float = 1e-6) -> np.ndarray:
+    """Local search on base and lifted costs from the greedy result: single nodes move to the adjacent cluster, or a new
+    one, and base-adjacent clusters join, as long as the energy falls. Clusters end connected by base edges."""
+    base = ~is_lifted.astype(bool)
+    label = lifted_greedy_additive(n, u, v, cost, is_lifted)
+    best, low = label, energy(u, v, cost, label)
+    links: list[list[tuple[int, float, bool]]] = [[] for _ in range(n)]
+    for a, b, x, z in zip(u.tolist(), v.tolist(), cost.tolist(), base.tolist(), strict=True):
+        links[a].append((b, x, z))
+        links[b].append((a, x, z))
+    for _ in range(outer):
+        now = label.tolist()
+        fresh = n + 1
+        for x in range(n):
+            pull: dict[int, float] = {}
+            beside = set()
+            for y, w, z in links[x]:
+                pull[now[y]] = pull.get(now[y], 0.0) + w
+                if z:
+                    beside.add(now[y])
+            own = pull.get(now[x], 0.0)
+            options = [(pull.get(c, 0.0) - own, -c) for c in beside if c != now[x]] + [(-own, -fresh)]
+            gain, c = max(options)
+            if gain > epsilon:
+                now[x] = -c
+                fresh += -c == fresh
+        label = split_unconnected(n, u[base], v[base], now)
+        between: dict[tuple[int, int], list] = {}
+        for a, b, w, z in zip(label[u].tolist(), label[v].tolist(), cost.tolist(), base.tolist(), strict=True):
+            if a != b:
+                entry = between.setdefault((min(a, b), max(a, b)), [0.0, False])
+                entry[0] += w
+                entry[1] |= z
+        pairs = [(a, b, x[0]) for (a, b), x in between.items() if x[1] and x[0] > epsilon]
+        if pairs:  # the best pair of each round: sums of others may change with it
+            a, b, _ = max(pairs, key=lambda p: p[2])
+            label = np.where(label == b, a, label)
+        e = energy(u, v, cost, label)
+        if e >= low - epsilon:
+            break
+        best, low = label, e
+    return best

@@ -45,6 +45,24 @@ def lifted_greedy_additive_multicut(nodes: DataFrame, edges: DataFrame, weight_s
     return solve(nodes, edges, kernel, ~F.col("is_lifted"), ("cost", "is_lifted"))
 
 
+def lifted_kernighan_lin_multicut(nodes: DataFrame, edges: DataFrame, outer: int = 20) -> DataFrame:
+    """By components of base edges, beyond which no cluster reaches; lifted costs between these are cut whatever is done."""
+    return solve(nodes, edges, partial(kernels.lifted_kernighan_lin, outer=outer), ~F.col("is_lifted"), ("cost", "is_lifted"))
+
+
+def chained_multicut(nodes: DataFrame, edges: DataFrame, chain: list) -> DataFrame:
+    """Kernels (n, u, v, cost[, start]) one after the other on each component of positive edges, each but the first with the
+    labels so far as ``start``."""
+
+    def kernel(n, u, v, cost):
+        label = chain[0](n, u, v, cost)
+        for step in chain[1:]:
+            label = step(n, u, v, cost, start=label)
+        return label
+
+    return solve(nodes, edges, kernel, F.col("cost") > 0)
+
+
 def mutex_watershed_clustering(nodes: DataFrame, edges: DataFrame, start: int = 0) -> DataFrame:
     """edges: (edge_id, u, v, cost, is_mutex). By components of attractive edges, which alone merge."""
     return solve(nodes, edges, kernels.mutex_watershed, ~F.col("is_mutex"), ("cost", "is_mutex"), start=start)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridloom.operators import fields, filters, flow, graphs, meshes, partition, rag, skeletons, surfaces, warp
+from gridloom.operators import fields, filters, flow, graphs, kernels, meshes, partition, rag, skeletons, surfaces, warp
 from gridloom.plans.relational import CT, ED, OFFSETS, PX, grid, other_affinities, rounded, w
 from gridloom.sources import tables as t
 
@@ -497,3 +497,30 @@ def flow_density(spark, d):
     pull = px.select("node_id", "z", "y", "x", (F.col("value") > 5).alias("fg"), F.lit(0.0).alias("fz"),
                      (2.0 - F.col("y") % 5).alias("fy"), (2.0 - F.col("x") % 5).alias("fx"))
     return flow.flow_density(pull, shape)
+
+
+@query("lifted_kernighan_lin")
+def lifted_kernighan_lin(spark, d):
+    nodes, edges = region_graph(spark, d)
+    base = edges.select("edge_id", "u", "v", "cost", F.lit(False).alias("is_lifted"))
+    lifted = rag.lifted_edges(edges, grid(spark, d)[0], OFFSETS, grid(spark, d)[1])
+    more = lifted.select((F.lit(1 << 40) + F.col("u") * 100_000 + F.col("v")).alias("edge_id"), "u", "v", F.lit(-1.0).alias("cost"), F.lit(True).alias("is_lifted"))
+    return partition.lifted_kernighan_lin_multicut(nodes, base.unionByName(more))
+
+
+@query("multicut_chained")
+def multicut_chained(spark, d):
+    return partition.chained_multicut(*region_graph(spark, d), [kernels.greedy_fixation, kernels.kernighan_lin])
+
+
+@query("dijkstra_path")
+def dijkstra_path(spark, d):
+    px, shape = grid(spark, d)
+    own = px.select("node_id", "z", "y", "x", (F.col("node_id") == 0).alias("source"), (1 + F.col("value")).alias("cost"))
+    return fields.dijkstra_path(own, shape, shape[1] * 100 - 1, 2, mode="node")
+
+
+@query("geodesic_gradient")
+def geodesic_gradient(spark, d):
+    px, shape = field_pixels(spark, d)
+    return fields.geodesic_gradient(fields.geodesic_distance_field(px, shape), px, shape)

@@ -427,3 +427,29 @@ def test_median_agglomeration_and_affinity_watershed(spark):
     affs = spark.createDataFrame([(0, k, a) for k, a in enumerate([0.9, 0.8, 0.1, 0.7, 0.9, 0.0])], "channel int, node_id long, affinity double")
     got = partition.watershed_from_affinities(px, affs, [(0, 1)], shape).orderBy("node_id").collect()
     assert [r["label"] for r in got] == [1, 1, 1, 2, 2, 2]
+
+
+def test_lifted_search_and_chain(spark):
+    for seed in range(20):
+        n, rows = random_graph(None, seed, 9, 0.5)
+        u, v, cost = arrays(rows)
+        lifted = np.arange(len(u)) % 3 == 0
+        first = kernels.lifted_greedy_additive(n, u, v, cost, lifted)
+        last = kernels.lifted_kernighan_lin(n, u, v, cost, lifted)
+        assert kernels.energy(u, v, cost, last) <= kernels.energy(u, v, cost, first) + 1e-9
+        assert same_partition(last.tolist(), kernels.split_unconnected(n, u[~lifted], v[~lifted], last).tolist())
+    n, rows = random_graph(spark, 3)
+    u, v, cost = arrays(rows)
+    got = np.array(labels_of(partition.chained_multicut(node_table(spark, n), edge_table(spark, rows), [kernels.greedy_fixation, kernels.kernighan_lin])))
+    assert kernels.energy(u, v, cost, got) <= kernels.energy(u, v, cost, kernels.greedy_fixation(n, u, v, cost)) + 1e-9
+
+
+def test_path_and_gradient(spark):
+    px, shape = image(spark, np.ones((3, 4), int))
+    own = px.withColumn("source", F.col("node_id") == 0).withColumn("cost", F.lit(1.0)).withColumn("speed", F.lit(1.0))
+    assert [r["node_id"] for r in fields.dijkstra_path(own, shape, 3).orderBy("step").collect()] == [0, 1, 2, 3]
+    with pytest.raises(Exception, match="no path"):
+        fields.dijkstra_path(own.where("x != 1"), shape, 3).collect()
+    line = own.where("y = 0")
+    got = fields.geodesic_gradient(fields.geodesic_distance_field(line, shape), line, shape).orderBy("node_id").collect()
+    assert [r["gx"] for r in got] == [0, 1, 1, 1] and all(r["gy"] == 0 for r in got)
