@@ -534,3 +534,51 @@ def lifted_kernighan_lin(n, u, v, cost, is_lifted, outer: int = 20, epsilon: flo
             break
         best, low = label, e
     return best
+
+
+def without_ticks(n, u, v, length, tick_length: float) -> np.ndarray:
+    """Whether each edge stays when the shortest branch between an end and a junction, if under ``tick_length``, is taken
+    away again and again. A junction left with two branches is one no more: they are measured as one. Paths between two
+    ends stay."""
+    keep = np.ones(len(u), dtype=bool)
+    links: list[dict[int, int]] = [{} for _ in range(n)]
+    for k, (a, b) in enumerate(zip(u.tolist(), v.tolist(), strict=True)):
+        links[a][k], links[b][k] = b, a
+
+    def branch(leaf: int) -> tuple[float, list[int]] | None:
+        """From an end to the next junction: its length and edges; None if it leads to another end."""
+        total, used, at, last = 0.0, [], leaf, -1
+        while True:
+            (edge,) = (k for k in links[at] if k != last)
+            used.append(edge)
+            total += float(length[edge])
+            at, last = links[at][edge], edge
+            if len(links[at]) == 1:
+                return None
+            if len(links[at]) > 2:
+                return total, used
+
+    heap = []
+
+    def offer(leaf: int) -> None:
+        found = branch(leaf)
+        if found is not None and found[0] < tick_length:
+            heapq.heappush(heap, (found[0], leaf, found[1]))
+
+    for x in range(n):
+        if len(links[x]) == 1:
+            offer(x)
+    while heap:
+        total, leaf, used = heapq.heappop(heap)
+        if len(links[leaf]) != 1:
+            continue
+        now = branch(leaf)
+        if now is None:
+            continue
+        if now != (total, used):  # it has grown since: its junction is none any more
+            offer(leaf)
+            continue
+        for k in used:
+            keep[k] = False
+            del links[int(u[k])][k], links[int(v[k])][k]
+    return keep

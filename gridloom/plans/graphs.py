@@ -524,3 +524,10 @@ def dijkstra_path(spark, d):
 def geodesic_gradient(spark, d):
     px, shape = field_pixels(spark, d)
     return fields.geodesic_gradient(fields.geodesic_distance_field(px, shape), px, shape)
+
+
+@query("remove_ticks")
+def remove_ticks(spark, d):
+    vertices, edges = meshes.merge_skeletons(*fragments(spark, d))
+    forest = meshes.minimum_spanning_forest(vertices, meshes.skeleton_to_graph(vertices, edges))
+    return meshes.remove_ticks(vertices, forest, 2.5)

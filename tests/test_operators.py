@@ -453,3 +453,15 @@ def test_path_and_gradient(spark):
     line = own.where("y = 0")
     got = fields.geodesic_gradient(fields.geodesic_distance_field(line, shape), line, shape).orderBy("node_id").collect()
     assert [r["gx"] for r in got] == [0, 1, 1, 1] and all(r["gy"] == 0 for r in got)
+
+
+def test_remove_ticks(spark):
+    # a line of ten with a tick of one at 3, a branch of three at 6
+    points = [(k, 0, 0, k) for k in range(10)] + [(10, 0, 1, 3)] + [(11 + k, 0, 1 + k, 6) for k in range(3)]
+    pairs = [(k, k + 1) for k in range(9)] + [(3, 10), (6, 11), (11, 12), (12, 13)]
+    v = spark.createDataFrame(points, "vertex_id long, z long, y long, x long")
+    e = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(pairs)], "edge_id long, u long, v long")
+    assert sorted(set(range(len(pairs))) - {r["edge_id"] for r in meshes.remove_ticks(v, e, 2.0).collect()}) == [9]
+    left = {r["edge_id"] for r in meshes.remove_ticks(v, e, 3.5).collect()}
+    assert left == set(range(12 + 1)) - {9, 10, 11, 12} or left == set(range(13)) - {9, 6, 7, 8}
+    assert meshes.minimum_spanning_forest(v, e).count() == len(pairs)
