@@ -6,6 +6,7 @@ folder, which cuts its lineage, and only counts come back.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,20 +55,27 @@ def edges_from_node_list(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(subgraph_edges(edges, nodes).where("inner").select("edge_id"), "edge_id", "left_semi")
 
 
-def roots(edges: DataFrame) -> DataFrame:
+#: Distinct edges (16 bytes each) up to which one task finds components by union-find.
+ONE_TASK = 200_000
+
+
+def roots(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
     """(node, root) of every node that has an edge; root is the least node it reaches.
 
-    Alternating large and small stars: a logarithmic number of rounds in practice, each a pre-aggregated minimum by node
-    and a join back, whose hot nodes adaptive execution can split.
+    A graph of at most ``one_task`` edges goes to one task, which needs one job. Beyond that: alternating large and small
+    stars, in practice a logarithmic number of rounds, each a pre-aggregated minimum by node and a join back, whose hot
+    nodes adaptive execution can split.
     """
     now = stored(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     mark = lambda e: tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
     before = mark(now)
+    if before[0] <= one_task:
+        return stored(now.coalesce(1).mapInPandas(_united, "node long, root long"))
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = stored(both.join(least, "u").where("v > u AND v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = stored(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u").where("v != m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
         now = stored(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
         after = mark(now)
@@ -78,6 +86,23 @@ def roots(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(top)
 
 
+def _united(batches):
+    """Union-find over all of a small graph's edges."""
+    up: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while up.setdefault(x, x) != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for pdf in batches:
+        for a, b in zip(pdf["u"].tolist(), pdf["v"].tolist(), strict=True):
+            a, b = find(a), find(b)
+            up[max(a, b)] = min(a, b)
+    yield pd.DataFrame({"node": list(up), "root": [find(x) for x in up]}, dtype="int64")
+
+
 def connected_components(nodes: DataFrame, edges: DataFrame, start: int = 0) -> DataFrame:
     """(node, label) of nodes (node): dense labels in order of each component's least node; nodes without edges count.
     Leave out edges to mask them."""

@@ -465,3 +465,11 @@ def test_remove_ticks(spark):
     left = {r["edge_id"] for r in meshes.remove_ticks(v, e, 3.5).collect()}
     assert left == set(range(12 + 1)) - {9, 10, 11, 12} or left == set(range(13)) - {9, 6, 7, 8}
     assert meshes.minimum_spanning_forest(v, e).count() == len(pairs)
+
+
+def test_components_in_one_task_and_in_rounds(spark):
+    rng = np.random.default_rng(9)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 200, (150, 2))] + [(k, k + 1) for k in range(300, 330)]
+    edges = spark.createDataFrame(pairs, "u long, v long")
+    assert table(graphs.roots(edges), "node", "root") == table(graphs.roots(edges, one_task=0), "node", "root")
+    assert graphs.roots(edges.limit(0)).count() == 0
