@@ -79,13 +79,13 @@ def lifted_from_node_labels(spark, d):
     return graphs.lifted_edges_from_node_labels(rag.region_adjacency_graph(px, shape), labels, 3, "same", 1)
 
 
-@query("multicut_energy", w(PX, CT, ED, GR) + "SELECT round(sum(CASE WHEN u % 17 <> v % 17 THEN cost ELSE 0 END), 4) AS energy FROM gr")
+@query("multicut_energy", w(PX, CT, ED, GR) + "SELECT round(sum(CASE WHEN u % 17 <> v % 17 THEN cost ELSE 0 END), 4) + 0.0 AS energy FROM gr")
 def multicut_energy(spark, d):
     nodes, edges = region_graph(spark, d)
     return rounded(graphs.multicut_energy(edges, nodes.withColumn("label", F.col("node") % 17)), "energy", digits=4)
 
 
-@query("contracted_graph", w(PX, CT, ED, GR) + """SELECT least(u % 17, v % 17) AS u, greatest(u % 17, v % 17) AS v, round(sum(cost), 4) AS cost
+@query("contracted_graph", w(PX, CT, ED, GR) + """SELECT least(u % 17, v % 17) AS u, greatest(u % 17, v % 17) AS v, round(sum(cost), 4) + 0.0 AS cost
 FROM gr WHERE u % 17 <> v % 17 GROUP BY 1, 2""")
 def contracted_graph(spark, d):
     nodes, edges = region_graph(spark, d)
@@ -133,7 +133,7 @@ def graph_round_trip(spark, d):
     return t.unpacked_graph(t.packed_graph(graphs.from_edges(user_pairs(spark, d)), 200))
 
 
-@query("lifted_objective", w(PX, CT, ED, GR) + """SELECT u, v, round(sum(cost), 6) AS cost, bool_and(l) AS is_lifted FROM (
+@query("lifted_objective", w(PX, CT, ED, GR) + """SELECT u, v, round(sum(cost), 6) + 0.0 AS cost, bool_and(l) AS is_lifted FROM (
   SELECT u, v, cost, false AS l FROM gr UNION ALL SELECT node_id % 400, node_id % 400 + 1 + node_id % 3, value / 8, true FROM px WHERE node_id % 400 < 390
 ) GROUP BY u, v""")
 def lifted_objective(spark, d):
@@ -146,7 +146,7 @@ def lifted_objective(spark, d):
 # Fields and points.
 
 
-@query("edt", w(PX) + """SELECT a.node_id, round(CAST(CAST(sqrt(min((a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x))) AS FLOAT) AS DOUBLE), 4) AS distance
+@query("edt", w(PX) + """SELECT a.node_id, round(CAST(CAST(sqrt(min((a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x))) AS FLOAT) AS DOUBLE), 4) + 0.0 AS distance
 FROM px a, px b WHERE b.value < 1 GROUP BY a.node_id""")
 def edt(spark, d):
     px, shape = grid(spark, d)
@@ -222,32 +222,32 @@ def _filtered(name, sigma, oy, ox, source="px"):
     return _pass(source, f"{name}y", "y", sigma, oy) + ",\n" + _pass(f"{name}y", name, "x", sigma, ox)
 
 
-@query("gaussian_smoothing", w(PX, _filtered("g", 1.2, 0, 0)) + "SELECT node_id, round(value, 5) AS value FROM g")
+@query("gaussian_smoothing", w(PX, _filtered("g", 1.2, 0, 0)) + "SELECT node_id, round(value, 5) + 0.0 AS value FROM g")
 def gaussian_smoothing(spark, d):
     px, shape = grid(spark, d)
     return rounded(filters.gaussian_smoothing(px, shape, 1.2).select("node_id", "value"), "value", digits=5)
 
 
-@query("gaussian_derivative", w(PX, _filtered("g", 1.2, 1, 0)) + "SELECT node_id, round(value, 5) AS value FROM g")
+@query("gaussian_derivative", w(PX, _filtered("g", 1.2, 1, 0)) + "SELECT node_id, round(value, 5) + 0.0 AS value FROM g")
 def gaussian_derivative(spark, d):
     px, shape = grid(spark, d)
     return rounded(filters.gaussian_derivative(px, shape, 1.2, [1, 0]).select("node_id", "value"), "value", digits=5)
 
 
 @query("gradient_magnitude", w(PX, _filtered("fa", 1.0, 1, 0), _filtered("fb", 1.0, 0, 1)) + """
-SELECT a.node_id, round(sqrt(a.value * a.value + b.value * b.value), 5) AS value FROM fa a JOIN fb b ON a.node_id = b.node_id""")
+SELECT a.node_id, round(sqrt(a.value * a.value + b.value * b.value), 5) + 0.0 AS value FROM fa a JOIN fb b ON a.node_id = b.node_id""")
 def gradient_magnitude(spark, d):
     return rounded(filters.gaussian_gradient_magnitude(*grid(spark, d), 1.0), "value", digits=5)
 
 
 @query("laplacian_of_gaussian", w(PX, _filtered("fa", 1.0, 2, 0), _filtered("fb", 1.0, 0, 2)) + """
-SELECT a.node_id, round(a.value + b.value, 5) AS value FROM fa a JOIN fb b ON a.node_id = b.node_id""")
+SELECT a.node_id, round(a.value + b.value, 5) + 0.0 AS value FROM fa a JOIN fb b ON a.node_id = b.node_id""")
 def laplacian_of_gaussian(spark, d):
     return rounded(filters.laplacian_of_gaussian(*grid(spark, d), 1.0), "value", digits=5)
 
 
-EIG = """SELECT a.node_id, round((a.value + b.value) / 2 + sqrt(pow((a.value - b.value) / 2, 2) + c.value * c.value), 4) AS e0,
-round((a.value + b.value) / 2 - sqrt(pow((a.value - b.value) / 2, 2) + c.value * c.value), 4) AS e1
+EIG = """SELECT a.node_id, round((a.value + b.value) / 2 + sqrt(pow((a.value - b.value) / 2, 2) + c.value * c.value), 4) + 0.0 AS e0,
+round((a.value + b.value) / 2 - sqrt(pow((a.value - b.value) / 2, 2) + c.value * c.value), 4) + 0.0 AS e1
 FROM fa a JOIN fb b ON a.node_id = b.node_id JOIN fc c ON a.node_id = c.node_id"""
 
 
@@ -260,7 +260,7 @@ ST = """yy AS (SELECT node_id, y, x, value * value AS value FROM dy), xx AS (SEL
 yx AS (SELECT dy.node_id, dy.y, dy.x, dy.value * dx.value AS value FROM dy JOIN dx ON dy.node_id = dx.node_id)"""
 
 
-@query("structure_tensor_eigenvalues", w(PX, _filtered("dy", 0.8, 1, 0), _filtered("dx", 0.8, 0, 1), ST, _filtered("fa", 1.0, 0, 0, "yy"), _filtered("fb", 1.0, 0, 0, "xx"), _filtered("fc", 1.0, 0, 0, "yx")) + EIG.replace(", 4) AS e", ", 2) AS e"))
+@query("structure_tensor_eigenvalues", w(PX, _filtered("dy", 0.8, 1, 0), _filtered("dx", 0.8, 0, 1), ST, _filtered("fa", 1.0, 0, 0, "yy"), _filtered("fb", 1.0, 0, 0, "xx"), _filtered("fc", 1.0, 0, 0, "yx")) + EIG.replace(", 4) + 0.0 AS e", ", 2) + 0.0 AS e"))
 def structure_tensor_eigenvalues(spark, d):
     return rounded(filters.structure_tensor_eigenvalues(*grid(spark, d), 0.8, 1.0), "e0", "e1", digits=2)
 
@@ -280,7 +280,7 @@ def affine_nearest(spark, d):
     return warp.affine_transform(px, warp_targets(px), MATRIX, shape, 0, -1.0)
 
 
-LINEAR = """SELECT tg.node_id AS target, round(sum((1 - abs(cy - y_)) * (1 - abs(cx - x_)) * coalesce(value, -1)), 5) AS value
+LINEAR = """SELECT tg.node_id AS target, round(sum((1 - abs(cy - y_)) * (1 - abs(cx - x_)) * coalesce(value, -1)), 5) + 0.0 AS value
 FROM (SELECT node_id, cy, cx, floor(cy) + a AS y_, floor(cx) + b AS x_ FROM tg, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) o(a, b)) tg
 LEFT JOIN px ON px.y = y_ AND px.x = x_ GROUP BY 1"""
 
@@ -334,7 +334,7 @@ def mesh_edges(spark, d):
 
 
 @query("smooth_mesh", w(PX, MESH, "s1 AS (SELECT u AS node_id, avg(value) AS value FROM ln JOIN px ON v = node_id GROUP BY 1)") + """
-SELECT u AS vertex_id, round(avg(value), 6) AS z FROM ln JOIN s1 ON v = node_id GROUP BY 1""")
+SELECT u AS vertex_id, round(avg(value), 6) + 0.0 AS z FROM ln JOIN s1 ON v = node_id GROUP BY 1""")
 def smooth_mesh(spark, d):
     return rounded(meshes.smooth_mesh(*grid_mesh(spark, d), iterations=2).select("vertex_id", "z"), "z")
 

@@ -54,7 +54,8 @@ def other_affinities(spark, d, offsets=OFFSETS):
 
 
 def rounded(df, *columns, digits=6):
-    return df.withColumns({c: F.round(c, digits) for c in columns})
+    """df with columns rounded, without negative zeros."""
+    return df.withColumns({c: F.round(c, digits) + F.lit(0.0) for c in columns})
 
 
 R = "round({0}, 6) AS {0}".format
@@ -65,8 +66,8 @@ def rag_edges(spark, d):
     return rag.region_adjacency_graph(*grid(spark, d))
 
 
-SIMPLE = "round(avg(val), 6) AS mean, count(*) AS size"
-FULL = """round(avg(val), 6) AS mean, round(quantile_cont(val, 0.5), 6) AS median, round(stddev_pop(val), 6) AS std, min(val) AS min,
+SIMPLE = "round(avg(val), 6) + 0.0 AS mean, count(*) AS size"
+FULL = """round(avg(val), 6) + 0.0 AS mean, round(quantile_cont(val, 0.5), 6) + 0.0 AS median, round(stddev_pop(val), 6) + 0.0 AS std, min(val) AS min,
  max(val) AS max, """ + ", ".join(f"round(quantile_cont(val, {p / 100}), 6) AS p{p}" for p in rag.PERCENTILES) + ", count(*) AS size"
 FULL_COLUMNS = ["mean", "median", "std", *(f"p{p}" for p in rag.PERCENTILES)]
 
@@ -176,7 +177,7 @@ def block_region_edges(spark, d):
     return rag.block_region_edges(*grid(spark, d), BLOCK)
 
 
-MOMENTS = """CAST(count(*) AS DOUBLE) AS count, round(avg(val), 6) AS mean, round(var_pop(val) * count(*), 7) AS m2, min(val) AS min,
+MOMENTS = """CAST(count(*) AS DOUBLE) AS count, round(avg(val), 6) + 0.0 AS mean, round(var_pop(val) * count(*), 7) + 0.0 AS m2, min(val) AS min,
  max(val) AS max"""
 
 
@@ -199,7 +200,7 @@ def block_affinity_stats(spark, d):
     return rounded(rounded(rag.block_edge_stats(values, px, shape, BLOCK), "mean"), "m2", digits=7)
 
 
-@query("merged_edge_features", w(PX, CT, BK) + """SELECT u, v, round(avg(val), 6) AS mean, round(stddev_pop(val), 6) AS std, min(val) AS min,
+@query("merged_edge_features", w(PX, CT, BK) + """SELECT u, v, round(avg(val), 6) + 0.0 AS mean, round(stddev_pop(val), 6) + 0.0 AS std, min(val) AS min,
  max(val) AS max, count(*) AS size FROM bk GROUP BY u, v""")
 def merged_edge_features(spark, d):
     px, shape = grid(spark, d)
@@ -281,7 +282,7 @@ def overlap_plain(spark, d):
 
 for _by, _part in (("a", "PARTITION BY label_a"), ("b", "PARTITION BY label_b"), ("total", "")):
     QUERIES[f"overlap_table_{_by}"] = lambda spark, d, by=_by: rounded(overlap.overlap_table(contingency(spark, d), by), "fraction")
-    ORACLES[f"overlap_table_{_by}"] = w(OV) + f"SELECT *, round(count / sum(count) OVER ({_part}), 6) AS fraction FROM ov"
+    ORACLES[f"overlap_table_{_by}"] = w(OV) + f"SELECT *, round(count / sum(count) OVER ({_part}), 6) + 0.0 AS fraction FROM ov"
 
 
 @query("overlap_counts_a", w(OV) + "SELECT label_a AS label, CAST(sum(count) AS BIGINT) AS count FROM ov GROUP BY 1")
@@ -299,7 +300,7 @@ def overlap_total(spark, d):
     return overlap.total_count(contingency(spark, d))
 
 
-@query("overlaps_for_label", w(OV) + "SELECT label_b AS label, count, round(count / sum(count) OVER (), 6) AS fraction FROM ov WHERE label_a = 3")
+@query("overlaps_for_label", w(OV) + "SELECT label_b AS label, count, round(count / sum(count) OVER (), 6) + 0.0 AS fraction FROM ov WHERE label_a = 3")
 def overlaps_for_label(spark, d):
     return rounded(overlap.overlaps_for_label(contingency(spark, d), 3, "a", True), "fraction")
 
@@ -326,7 +327,7 @@ def overlapping_with_zero(spark, d):
 
 
 @query("different_overlap", w(OV, "p AS (SELECT label_a, label_b, count / sum(count) OVER (PARTITION BY label_a) AS f FROM ov)") + """
-SELECT a.label_a AS u, b.label_a AS v, round(sum(CASE WHEN a.label_b <> b.label_b THEN a.f * b.f ELSE 0 END), 6) AS different
+SELECT a.label_a AS u, b.label_a AS v, round(sum(CASE WHEN a.label_b <> b.label_b THEN a.f * b.f ELSE 0 END), 6) + 0.0 AS different
 FROM p a JOIN p b ON b.label_a = a.label_a + 1 GROUP BY 1, 2""")
 def different_overlap(spark, d):
     table = contingency(spark, d)
@@ -517,4 +518,4 @@ for _norm, _sql in NORMS.items():
             "distance", F.col("distance").cast("double")
         ), "distance", digits=3
     )
-    ORACLES[f"embedding_distances_{_norm}"] = w(EM) + f"SELECT channel, node_id, round(CAST(CAST(coalesce({_sql}, 0) AS FLOAT) AS DOUBLE), 3) AS distance FROM ep"
+    ORACLES[f"embedding_distances_{_norm}"] = w(EM) + f"SELECT channel, node_id, round(CAST(CAST(coalesce({_sql}, 0) AS FLOAT) AS DOUBLE), 3) + 0.0 AS distance FROM ep"
