@@ -400,11 +400,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT) ->
     inside = inside.join(first, "node", "left").select(
         "key", "node", F.coalesce("comp", "node").alias("comp"), F.coalesce("comp_size", F.lit(1)).alias("comp_size")
     )
+    # Written, as is split: then both sides of their join come from plain exchanges, whose hot keys can be split.
+    inside = saved(inside, "dedup-inside")
     split = (
         inside.groupBy("key").agg(F.max(F.struct("comp_size", "comp")).alias("main"), F.min("comp").alias("low"), F.max("comp").alias("high"))
         .where("low != high").select("key", F.col("main.comp").alias("main"), F.col("main.comp_size").alias("main_size"))
     )
-    open_ = saved(inside.join(split, "key").select("key", "main", "main_size", "node", "comp"), "dedup-open")
+    open_ = saved(inside.join(saved(split, "dedup-split"), "key").select("key", "main", "main_size", "node", "comp"), "dedup-open")
     grouped = open_.where("main_size > 1")
     # Nodes that are gathered for one component meet there: a bucket of such nodes alone holds no other pairs.
     home = grouped.groupBy("node").agg(F.max(F.struct("main_size", "main"))["main"].alias("home"))
