@@ -1,9 +1,11 @@
 """Main text of web pages by site style trees.
 
 The DOMs of a host's pages are merged into one tree: elements with the same path of tags, classes and ids are one node.
-A node's importance is (1 - g**k) P + g**k C: P is the entropy of its presentation (the sequence of its children's styles)
-over the host's pages, C that of its content, both to the base of the number of occurrences, k the number of styles and g
-0.9. What every page of a host shows alike is near 0; a node seen once has importance 1. Elements that say themselves that
+A node's importance is the larger of (1 - g**k) P + g**k C and C: P is the entropy of its presentation (the kinds of its
+children) over the host's pages, C that of its content, both to the base of the number of occurrences, k the number of
+styles and g 0.9. P and g**k fall as a host grows and shows the same few styles again; C of content that differs from page
+to page stays 1, so such a node is never unimportant. What every page of a host shows alike is near 0; a node seen once has
+importance 1. Elements that say themselves that
 they are no content (nav, footer, aside, form, ...; or by a word of their class, id or role) have a prior of 0 instead.
 Branches of importance under ``LEAST`` are removed from each page.
 
@@ -217,7 +219,7 @@ class Page:
             pass  # its words were never taken
         self.stack.pop()
         if not top.leaf and not top.noise:
-            style = hash_of(0, "\n".join(dict.fromkeys(top.children)) + f"\n{len(top.children)}")
+            style = hash_of(0, "\n".join(dict.fromkeys(top.children)))
             self.branches.append((top.path, style, top.start, len(self.blocks)))
 
     def text(self, unimportant: frozenset[int] = frozenset()) -> str:
@@ -284,9 +286,8 @@ def importance(nodes: DataFrame) -> DataFrame:
 
     look, content = entropy("style"), entropy("content").select("host", "path", F.col("entropy").alias("content"))
     weight = F.pow(F.lit(GAMMA), F.col("values"))
-    return look.join(content, ["host", "path"]).select(
-        "host", "path", "seen", ((1 - weight) * F.col("entropy") + weight * F.col("content")).alias("importance")
-    )
+    both = (1 - weight) * F.col("entropy") + weight * F.col("content")
+    return look.join(content, ["host", "path"]).select("host", "path", "seen", F.greatest(both, "content").alias("importance"))
 
 
 def main_text(pages: DataFrame, least: float = LEAST) -> DataFrame:

@@ -320,6 +320,22 @@ def test_main_text(spark):
     assert html.unescape("&amp") == "&"
 
 
+def test_main_text_of_a_large_host_without_articles(spark):
+    """Content that differs on every page stays, however many pages and presentations a host has; what repeats goes."""
+    kinds = ["p", "h2", "ul", "pre", "blockquote", "table"]
+    rows, want = [], {}
+    for k in range(3000):
+        n = 1 + (k // 10 % 50 if k % 10 == 0 else 0)
+        # Nine of ten pages have one paragraph, the others up to 50 and one of 64 mixtures of other children.
+        tags = [t for i, t in enumerate(kinds) if k // 10 >> i & 1] if k % 10 == 0 else []
+        lines = [f"Story {k} part {i}" for i in range(n)] + [f"Story {k} in {t}" for t in tags]
+        inner = "".join(f"<{t}>{x}</{t}>" for t, x in zip(["p"] * n + tags, lines, strict=True))
+        rows.append((k, f"http://large/{k}", f"<body><div class=x>{inner}</div><div class=y><p>Always the same</p></div></body>", "clash"))
+        want[k] = "\n".join(lines)
+    got = {r["page_id"]: r["text"] for r in sitetree.op3_main_text(spark.createDataFrame(rows, PAGES)).collect()}
+    assert got == want
+
+
 def test_token_files(docs, none, spark):
     from tokenizers import Tokenizer
 
