@@ -5,9 +5,14 @@ A node's importance is the larger of (1 - g**k) P + g**k C and C: P is the entro
 children) over the host's pages, C that of its content, both to the base of the number of occurrences, k the number of
 styles and g 0.9. P and g**k fall as a host grows and shows the same few styles again; C of content that differs from page
 to page stays 1, so such a node is never unimportant. What every page of a host shows alike is near 0; a node seen once has
-importance 1. Elements that say themselves that
-they are no content (nav, footer, aside, form, ...; or by a word of their class, id or role) have a prior of 0 instead.
-Branches of importance under ``LEAST`` are removed from each page.
+importance 1. Elements that are no content by their tag (nav, footer, aside, form, ...) or are hidden have a prior of 0
+instead. Branches of importance under ``LEAST`` are removed from each page.
+
+A word of its class, id or role (ad, sidebar, comments, ...) makes any element but html, body, main and article doubtful,
+which is a low prior only. Doubtful elements, single paragraphs and inline ones too, are nodes of the tree: their content
+entropy decides, and they stay from ``CLEARED`` on. Where a host has shown a node too seldom to tell, it is removed, unless
+it and others like it hold most of the page's text (``MOSTLY``). A doubtful element that holds an article or main is no
+doubtful one, unless the page has articles outside such elements (then it holds comments or the like).
 
 Counts are pre-aggregated by node and value and only then by node, so a host of any size is spread over tasks; equal pages
 of a host count once. Pages meet the list of their host's unimportant nodes by a broadcast, or, where these lists are too
@@ -28,6 +33,8 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections.abc import Iterable
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,6 +44,10 @@ from gridloom.llm.common import saved, slices, text_bytes
 
 LEAST = 0.2
 GAMMA = 0.9
+#: Content entropy from which an element is content against a word of its class, id or role.
+CLEARED = 0.9
+#: Doubtful elements of unknown entropy stay where they hold so many times the text of all others.
+MOSTLY = 3
 #: A node has to occur so often before its importance counts.
 MIN_SEEN = 3
 #: Unimportant nodes (8 bytes each) that are sent to all tasks at most; more than these are joined by host and salt.
@@ -62,7 +73,7 @@ CLOSES_P = frozenset(
     " h6 header hgroup hr main menu nav ol p pre search section table ul".split()
 )
 NOISE_TAGS = frozenset("head nav footer aside form button select dialog menu object svg canvas audio video datalist".split())
-#: Words of a class, id or role by which an element says that it is no part of the article.
+#: Words of a class, id or role by which an element says that it may be no part of the article.
 NOISE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion promoted banner sidebar menu nav navbar"
     " navigation breadcrumb breadcrumbs masthead footer cookie cookies consent gdpr notice notices popup modal overlay newsletter"
@@ -71,56 +82,74 @@ NOISE_WORDS = frozenset(
 )
 WORD = re.compile(r"[a-z0-9]+")
 
-_noisy: dict[tuple[str, str], tuple[bool, str]] = {}
+#: Elements that no word of theirs makes doubtful.
+SURE_TAGS = frozenset("html body main article".split())
+
+_noisy: dict[tuple[str, str], tuple[bool, bool, str]] = {}
 
 
-def judged(tag: str, attributes: str) -> tuple[bool, str]:
-    """(is it no content by its own word, its style: the tag with its classes and id)."""
+def judged(tag: str, attributes: str) -> tuple[bool, bool, str]:
+    """(is it no content by its tag or as hidden, is it doubtful by a word, its style: the tag with its classes and id)."""
     if not attributes or attributes.isspace():
-        return tag in NOISE_TAGS, tag
+        return tag in NOISE_TAGS, False, tag
     key = (tag, attributes)
     if key in _noisy:
         return _noisy[key]
     found = {m[1].lower(): entities.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(attributes)}
     names = f"{found.get('class', '')} {found.get('id', '')} {found.get('role', '')}"
     words = set(WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", names).lower()))
-    noise = tag in NOISE_TAGS or bool(words & NOISE_WORDS and tag not in ("html", "body")) or bool(HIDDEN.search(attributes))
+    noise = tag in NOISE_TAGS or bool(HIDDEN.search(attributes))
+    doubtful = not noise and tag not in SURE_TAGS and bool(words & NOISE_WORDS)
     style = tag + "." + found.get("class", "") + "#" + found.get("id", "")
     if len(_noisy) > 100_000:
         _noisy.clear()
-    _noisy[key] = (noise, style)
+    _noisy[key] = (noise, doubtful, style)
     return _noisy[key]
 
 
 class Node:
-    """An open element."""
+    """An open element. ``doubts``: paths of the doubtful elements that it is in, itself included; ``article`` and ``main``:
+    how many of them are outside its outermost article or main, -1 outside any."""
 
-    __slots__ = ("tag", "path", "noise", "article", "main", "start", "children", "leaf")
+    __slots__ = ("tag", "path", "noise", "article", "main", "start", "children", "leaf", "doubtful", "doubts", "word")
 
-    def __init__(self, tag, path, noise, article, main, start, leaf):
+    def __init__(self, tag, path, noise, article, main, start, leaf, doubtful=False, doubts=(), word=0):
         self.tag, self.path, self.noise, self.article, self.main, self.start, self.leaf = tag, path, noise, article, main, start, leaf
+        self.doubtful, self.doubts, self.word = doubtful, doubts, word
         self.children: list[str] = []
 
 
+class Block(NamedTuple):
+    """A block outside noise: its text, the paths of its containers without doubtful ones, doubts, article and main as in
+    ``Node``; ``parts`` (raw text, doubts) where doubtful inline elements are in it."""
+
+    text: str
+    paths: tuple[int, ...]
+    doubts: tuple[int, ...]
+    article: int
+    main: int
+    parts: tuple[tuple[str, tuple[int, ...]], ...] = ()
+
+
 class Page:
-    """A parsed page: ``blocks`` of (text, containers' paths, in article, in main) outside noise; ``branches`` of
-    (path, style, first block, end block), one for each container outside noise."""
+    """A parsed page: ``blocks`` outside noise; ``branches`` of (path, style, first block, end block, text that is no block
+    of its own), one for each container and doubtful element outside noise."""
 
     def __init__(self, text: str):
-        self.blocks: list[tuple[str, tuple[int, ...], bool, bool]] = []
-        self.branches: list[tuple[int, int, int, int]] = []
-        self.words: list[str] = []
-        self.stack = [Node("", 0, False, False, False, 0, False)]
+        self.blocks: list[Block] = []
+        self.branches: list[tuple[int, int, int, int, str]] = []
+        self.words: list[tuple[str, tuple[int, ...]]] = []
+        self.stack = [Node("", 0, False, -1, -1, 0, False)]
         at, end = 0, len(text)
         while at < end:
             m = TOKEN.match(text, at)
             at = m.end()
             if m[4] is not None:
                 if not self.stack[-1].noise:
-                    self.words.append(m[4])
+                    self.words.append((m[4], self.stack[-1].doubts))
             elif m[2] is None:
                 if m[0] == "<":
-                    self.words.append("<")
+                    self.words.append(("<", self.stack[-1].doubts))
             elif m[1]:
                 self.close(m[2].lower())
             else:
@@ -130,7 +159,7 @@ class Page:
                     at = stop.start() if stop else end
                 elif tag in VOID:
                     if tag == "br":
-                        self.words.append(" ")
+                        self.words.append((" ", self.stack[-1].doubts))
                     elif tag == "hr":
                         self.open("hr", "")
                         self.close("hr")
@@ -144,16 +173,18 @@ class Page:
         if self.words:
             top = self.stack[-1]
             if not top.noise:
-                text = " ".join(entities.unescape("".join(self.words)).split())
+                text = plain(w for w, _ in self.words)
                 if text:
+                    block = next(n for n in reversed(self.stack) if n.tag not in INLINE)
                     paths = tuple(n.path for n in self.stack if not n.leaf)
-                    self.blocks.append((text, paths, top.article, top.main))
+                    parts = tuple(self.words) if any(d != block.doubts for _, d in self.words) else ()
+                    self.blocks.append(Block(text, paths, block.doubts, block.article, block.main, parts))
             self.words = []
 
     def open(self, tag: str, attributes: str) -> None:
-        noise, style = judged(tag, attributes)
+        noise, doubtful, style = judged(tag, attributes)
         if tag in INLINE:
-            if not noise:
+            if not noise and not doubtful:
                 return
         elif tag in CLOSES_P:
             self.close_open("p", ("button", "td", "th", "table"))
@@ -177,14 +208,18 @@ class Page:
         if up.tag == "head" and tag not in ("base", "link", "meta"):
             self.close_open("head", ())
             up = self.stack[-1]
-        leaf = tag in LEAVES or tag in INLINE
+        leaf = tag in LEAVES or tag in INLINE or doubtful
         # The header of an article holds its title; one of a page does not.
-        noise = noise or (tag == "header" and not (up.article or up.main))
+        noise = noise or (tag == "header" and up.article < 0 and up.main < 0)
         up.children.append(style)
+        # Paths of doubtful elements are odd, all others even.
+        path = hash_of(up.path, style) | 1 if doubtful else up.path if leaf else hash_of(up.path, style) & ~1
+        held = len(up.doubts)
         self.stack.append(
             Node(
-                tag, up.path if leaf else hash_of(up.path, style), up.noise or noise, up.article or tag == "article",
-                up.main or tag == "main", len(self.blocks), leaf,
+                tag, path, up.noise or noise, held if tag == "article" and up.article < 0 else up.article,
+                held if tag == "main" and up.main < 0 else up.main, len(self.blocks), leaf,
+                doubtful, (*up.doubts, path) if doubtful else up.doubts, len(self.words),
             )
         )
 
@@ -218,16 +253,49 @@ class Page:
         elif top.noise and not self.stack[-2].noise:
             pass  # its words were never taken
         self.stack.pop()
-        if not top.leaf and not top.noise:
+        if (top.doubtful or not top.leaf) and not top.noise:
             style = hash_of(0, "\n".join(dict.fromkeys(top.children)))
-            self.branches.append((top.path, style, top.start, len(self.blocks)))
+            within = plain(w for w, _ in self.words[top.word if len(self.blocks) == top.start else 0 :]) if self.words else ""
+            self.branches.append((top.path, style, top.start, len(self.blocks), within))
+
+    def text(self, unimportant: frozenset[int] = frozenset(), cleared: frozenset[int] = frozenset()) -> str:
+        """Text of the blocks that are left when the branches in ``unimportant`` are removed, and the doubtful ones that are
+        not in ``cleared``."""
+        blocks = [b for b in self.blocks if b.article == 0]
+        if not blocks:
+            blocks = [b for b in self.blocks if b.main == 0] or self.blocks
+            if not any(not b.doubts and unimportant.isdisjoint(b.paths) for b in blocks):
+                blocks = [b for b in blocks if b.article >= 0] or [b for b in blocks if b.main >= 0] or blocks
+        left = [b for b in blocks if unimportant.isdisjoint(b.paths)]
+        text = self.undoubted(left, unimportant, cleared)
+        return text if text or len(left) == len(blocks) else self.undoubted(blocks, unimportant, cleared)
+
+    def undoubted(self, blocks: list[Block], unimportant: frozenset[int], cleared: frozenset[int]) -> str:
+        """Text of blocks without doubtful elements; with those of unknown entropy where they hold most of it."""
+        sure, most, size, more = [], [], 0, 0
+        for b in blocks:
+            held = max(b.article if b.article >= 0 else b.main, 0)  # so many hold its article or main
+            if b.parts or len(b.doubts) > held:
+                parts = [(w, self.worst(d[held:], unimportant, cleared)) for w, d in b.parts or ((b.text, b.doubts),)]
+                join = plain if b.parts else "".join
+                texts = [join(w for w, k in parts if k <= least) for least in (0, 1)]
+            else:
+                texts = [b.text, b.text]
+            sure.append(texts[0])
+            most.append(texts[1])
+            size += len(texts[0])
+            more += len(texts[1]) - len(texts[0])
+        return "\n".join(t for t in (most if more > MOSTLY * size else sure) if t)
+
+    @staticmethod
+    def worst(doubts: tuple[int, ...], unimportant: frozenset[int], cleared: frozenset[int]) -> int:
+        """0 if all of doubts are cleared, 2 if one is known as unimportant, else 1."""
+        return max((0 if d in cleared else 2 if d in unimportant else 1 for d in doubts), default=0)
+
 
-    def text(self, unimportant: frozenset[int] = frozenset()) -> str:
-        """Text of the blocks that are left when the branches in ``unimportant`` are removed."""
-        blocks = [b for b in self.blocks if b[2]] or [b for b in self.blocks if b[3]] or self.blocks
-        if unimportant:
-            blocks = [b for b in blocks if unimportant.isdisjoint(b[1])] or blocks
-        return "\n".join(b[0] for b in blocks)
+def plain(words: Iterable[str]) -> str:
+    """Raw pieces of text as one, with character references decoded and white space made single."""
+    return " ".join(entities.unescape("".join(words)).split())
 
 
 def hash_of(up: int, style: str) -> int:
@@ -249,7 +317,7 @@ def with_host(pages: DataFrame) -> DataFrame:
 
 
 def tree_nodes(pages: DataFrame) -> DataFrame:
-    """(host, path, style, content, page): every container of every page of pages (host, html)."""
+    """(host, path, style, content, page): every container and doubtful element of every page of pages (host, html)."""
 
     def run(batches):
         import xxhash
@@ -259,10 +327,10 @@ def tree_nodes(pages: DataFrame) -> DataFrame:
             for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 page = Page(html)
                 digest = hash_of(1, html)
-                codes = [xxhash.xxh64_digest(b[0]) for b in page.blocks]
-                for path, style, a, b in page.branches:
-                    if b > a:
-                        out.append((host, path, style, hash_of(2, b"".join(codes[a:b])), digest))
+                codes = [xxhash.xxh64_digest(b.text) for b in page.blocks]
+                for path, style, a, b, within in page.branches:
+                    if b > a or within:
+                        out.append((host, path, style, hash_of(2, b"".join(codes[a:b]) + within.encode()), digest))
             columns = list(zip(*out, strict=True)) or [[]] * 5
             kinds = [pa.string()] + [pa.int64()] * 4
             yield pa.RecordBatch.from_arrays(
@@ -275,7 +343,7 @@ def tree_nodes(pages: DataFrame) -> DataFrame:
 
 
 def importance(nodes: DataFrame) -> DataFrame:
-    """(host, path, seen, importance) of every node of the sites' trees."""
+    """(host, path, seen, importance, content: its entropy) of every node of the sites' trees."""
 
     def entropy(value: str) -> DataFrame:
         n = nodes.groupBy("host", "path", value).agg(F.count(F.lit(1)).alias("n"))
@@ -287,35 +355,42 @@ def importance(nodes: DataFrame) -> DataFrame:
     look, content = entropy("style"), entropy("content").select("host", "path", F.col("entropy").alias("content"))
     weight = F.pow(F.lit(GAMMA), F.col("values"))
     both = (1 - weight) * F.col("entropy") + weight * F.col("content")
-    return look.join(content, ["host", "path"]).select("host", "path", "seen", F.greatest(both, "content").alias("importance"))
+    return look.join(content, ["host", "path"]).select(
+        "host", "path", "seen", F.greatest(both, "content").alias("importance"), "content"
+    )
 
 
 def main_text(pages: DataFrame, least: float = LEAST) -> DataFrame:
     """(page_id, url, text) of every page."""
     rows = with_host(pages)
     nodes = saved(tree_nodes(rows).distinct(), "site-nodes")
+    doubtful = F.col("path").bitwiseAND(F.lit(1)) == 1
+    cleared = doubtful & (F.col("content") >= CLEARED)
     low = (
         importance(nodes)
-        .where((F.col("seen") >= MIN_SEEN) & (F.col("importance") < least))
+        .where((F.col("seen") >= MIN_SEEN) & (doubtful | (F.col("importance") < least)))
         .groupBy(F.col("host").alias("site"))
-        .agg(F.collect_set("path").alias("low"))  # a site's nodes, not its pages
+        .agg(  # a site's nodes, not its pages
+            F.collect_set(F.when(~cleared, F.col("path"))).alias("low"), F.collect_set(F.when(cleared, F.col("path"))).alias("cleared")
+        )
     )
 
     def run(batches):
         for batch in slices(batches, text_bytes("html"), SLICE_BYTES):
             texts = [
-                Page(html).text(frozenset(low_ or ())) for html, low_ in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
+                Page(html).text(frozenset(low_ or ()), frozenset(cleared_ or ()))
+                for html, low_, cleared_ in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True)
             ]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     low = saved(low, "site-low")
-    if (low.agg(F.sum(F.size("low"))).first()[0] or 0) <= BROADCAST_NODES:
+    if (low.agg(F.sum(F.size("low") + F.size("cleared"))).first()[0] or 0) <= BROADCAST_NODES:
         joined = rows.join(F.broadcast(low), F.col("host") == F.col("site"), "left")
     else:  # a host's pages go to SALTS tasks
         salted = low.withColumn("grain", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         grain = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")
         joined = rows.join(salted, (F.col("host") == F.col("site")) & (grain == F.col("grain")), "left")
-    return joined.select("page_id", "url", "html", "low").mapInArrow(run, "page_id long, url string, text string")
+    return joined.select("page_id", "url", "html", "low", "cleared").mapInArrow(run, "page_id long, url string, text string")
 
 
 def op3_main_text(pages: DataFrame) -> DataFrame:

@@ -336,6 +336,35 @@ def test_main_text_of_a_large_host_without_articles(spark):
     assert got == want
 
 
+def test_main_text_in_elements_with_noise_words(spark):
+    """A word of a class, id or role is a prior that the content overrules; it never takes an article or main away."""
+    ad = "<div class='ad banner'><p>Buy</p></div>"
+    forms = [
+        "<main class='content has-sidebar'><p>{}</p></main>", "<div class='no-sidebar story'><p>{}</p></div>",
+        "<article class='post tag-search'><p>{}</p></article>", "<article id=notice-2024><p>{}</p></article>",
+        "<div id=page class=with-menu><p>{}</p></div>", "<div id=page class=with-menu><article><p>{}</p></article></div>",
+        "<div role=search><main><p>{}</p></main></div>", "<article><div class=entry-sharing><p>{}</p></div></article>",
+        "<p class=social>{}</p>", "<div><p><span class=related>{}</span></p></div>",
+    ]
+    rows, want = [], {}
+    for f, form in enumerate(forms):
+        for k in range(13):  # the last page of each form is its host's only one
+            host = f"many{f}" if k < 12 else f"one{f}"
+            story = f"The story {k} of {host} has a text that is long enough to be most of its page"
+            rows.append((100 * f + k, f"http://{host}/{k}", f"<body>{form.format(story)}{ad}</body>", "clash"))
+            want[100 * f + k] = story
+    # On a host's only page nothing tells an advert from a story but their words, unless an article says which is which.
+    unsure = {100 * f + 12 for f in (1, 4, 8, 9)}
+    # Comments beside an article, and a notice that is the same everywhere, are left out.
+    for k in range(12):
+        page = f"<article><p>Own {k}</p><div class=notice>All rights <b>reserved</b> by the owners of this site</div></article>"
+        rows.append((9000 + k, f"http://talk/{k}", f"<body>{page}<div id=comments><article>Reply {k}</article></div></body>", "clash"))
+        want[9000 + k] = f"Own {k}"
+    got = {r["page_id"]: r["text"] for r in sitetree.op3_main_text(spark.createDataFrame(rows, PAGES)).collect()}
+    assert {k: t for k, t in got.items() if k not in unsure} == {k: t for k, t in want.items() if k not in unsure}
+    assert all(got[k].startswith(want[k]) for k in unsure)
+
+
 def test_token_files(docs, none, spark):
     from tokenizers import Tokenizer
 
