@@ -143,6 +143,16 @@ def lifted_objective(spark, d):
     return rounded(graphs.lifted_objective(region_graph(spark, d)[1], more), "cost")
 
 
+@query("lifted_objective_all")
+def lifted_objective_all(spark, d):
+    """Every pixel of every region votes for a lifted edge to one of the three regions after its own."""
+    px, _ = grid(spark, d)
+    nodes, edges = region_graph(spark, d)
+    more = px.select(F.col("node_id").alias("pos"), F.col("label").alias("u"), (F.col("label") + 1 + F.col("node_id") % 3).alias("v"), (F.col("value") / 8).alias("cost"))
+    more = more.join(nodes, F.col("v") == F.col("node"), "left_semi")  # the last regions have no three after them
+    return rounded(graphs.lifted_objective(edges, more), "cost")
+
+
 # Fields and points.
 
 
@@ -171,6 +181,13 @@ def point_nms(spark, d):
     return fields.non_maximum_suppression(points).select("point_id")
 
 
+@query("point_nms_all")
+def point_nms_all(spark, d):
+    """``point_nms`` with every pixel as a point."""
+    px, _ = grid(spark, d)
+    return fields.non_maximum_suppression(px.select(F.col("node_id").alias("point_id"), "z", "y", "x", (F.col("value") / 40).alias("radius"))).select("point_id")
+
+
 def field_pixels(spark, d):
     px, shape = grid(spark, d)
     keep = px.where("value > 8").select("node_id", "z", "y", "x", (F.col("node_id") % 1009 == 0).alias("source"), (1 + F.col("value") / 50).alias("cost"))
@@ -381,6 +398,13 @@ def draw_instances(spark, d):
     return meshes.draw_instances(points, shape, 1)
 
 
+@query("draw_instances_all")
+def draw_instances_all(spark, d):
+    """``draw_instances`` with every pixel as a point."""
+    px, shape = grid(spark, d)
+    return meshes.draw_instances(px.select(F.col("node_id").alias("order"), F.col("other").alias("label"), "z", "y", "x"), shape, 1)
+
+
 @query("marching_cubes_vertices")
 def marching_cubes_vertices(spark, d):
     return surfaces.marching_cubes(*event_volume(spark, d), 60.0)[0]
