@@ -5,8 +5,9 @@ opening punctuation and its shape, so that rare words still share features; the
 them counts as so many features. Fit: every feature's log-count ratio between
 the classes, from the indicator counts of all training rows (smoothed); the indicators, scaled by the ratios, go into a
 linear model with hinge loss, fitted by dual coordinate descent; its margins on the sample are turned into scores by a
-logistic curve. The fit takes a sample of at most ``FIT_ROWS`` labelled rows of at most ``FIT_FEATURES`` features
-together: tasks turn its texts into features, one task fits.
+logistic curve. The counts are summed within each task, then by ranges of features (``RANGE`` each). Only the descent and
+the curve take a sample, of at most ``FIT_ROWS`` labelled rows of at most ``FIT_FEATURES`` features together: tasks turn its
+texts into features, one task fits.
 
 Defined cases: null text is the empty text, which has the feature of an empty text alone and gets a score like any other;
 texts of any length are read whole; repeated rows get equal scores; rows with null doc_id are held out; with labels of
@@ -23,6 +24,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +36,8 @@ DIM = 1 << BITS
 #: Labelled rows of a fit at most, and their features together at most.
 FIT_ROWS = 6_000
 FIT_FEATURES = 12_000_000
+#: Features whose counts are one row on their way from the tasks that count to those that sum.
+RANGE = 1 << 12
 SMOOTH = 1.0
 COST = 0.1
 EPOCHS = 30
@@ -160,34 +164,71 @@ def held_out(doc_id):
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, most: int = FIT_FEATURES) -> bytes:
-    """A pickled model from docs (doc_id, text) and labels (doc_id, label): at most ``rows`` of the labels with label 0 or
-    1, those of the least hashes. Their number is bounded, so they go to the tasks that read the texts by broadcast; only
-    feature ids of these texts reach the one task that fits."""
-    picked = (
-        labels.where("label IN (0, 1)")
+    """A pickled model from docs (doc_id, text) and labels (doc_id, label): counts of all labels with label 0 or 1, descent
+    on at most ``rows`` of them, those of the least hashes. Tasks send on their counts of ranges of features and, of the
+    sample, the feature ids; both reach the one task that fits, ``DIM`` counts of each class and the sample, whatever the
+    corpus."""
+    known = (
+        labels.where("label IN (0, 1) AND doc_id IS NOT NULL")
         .select(F.col("doc_id").cast("long").alias("id"), F.col("label").cast("int").alias("label"))
         .withColumn("key", F.xxhash64(F.lit(23), "id"))
-        .orderBy("key", "id", "label")
-        .limit(rows)
     )
-    known = F.broadcast(picked)
+    # The sample's last label in order: those up to it are the sample.
+    order = F.struct("key", "id", "label")
+    last = known.orderBy("key", "id", "label").limit(rows).agg(F.max(order)).first()[0]
+    if last is None:
+        return pickle.dumps(0.5)
+    known = known.withColumn("sampled", order <= F.struct(*(F.lit(last[n]).cast(known.schema[n].dataType).alias(n) for n in ("key", "id", "label"))))
+    # Labels grow with the corpus, so they are never sent to all tasks.
     joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).join(
-        known, F.col("doc_id") == F.col("id")
+        known.hint("merge"), F.col("doc_id") == F.col("id")
     )
 
     def learn(batches):
+        """Rows of the sample (part null), then this task's counts by range of features (part)."""
+        count, n = np.zeros((2, DIM), dtype=np.int64), [0, 0]
         for batch in slices(batches, text_bytes("text"), SLICE_BYTES):
             ends, ids = features(batch.column(2).to_pylist())
+            label = batch.column(1).to_numpy()
+            owner = np.repeat(label, np.diff(ends))
+            for c in (0, 1):
+                count[c] += np.bincount(ids[owner == c], minlength=DIM)
+                n[c] += int((label == c).sum())
             lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], ["key", "label", "ids"])
+            kept = pa.RecordBatch.from_pydict(
+                {"part": pa.nulls(len(label), pa.int32()), "key": batch.column(0), "label": batch.column(1), "ids": lists, "counts": pa.nulls(len(label), pa.binary())}
+            )
+            yield kept.filter(batch.column(3))
+        if sum(n):
+            yield counted(count, np.array(n))
+
+    def add(batches):
+        """Sums of the counts of each part; rows of the sample as they are."""
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            of_sample = pc.is_null(batch.column(0))
+            yield batch.filter(of_sample)
+            rest = batch.filter(pc.invert(of_sample))
+            for part, data in zip(rest.column(0).to_pylist(), rest.column(4).to_pylist(), strict=True):
+                sums[part] = sums.get(part, 0) + np.frombuffer(zlib.decompress(data), dtype=np.int64)
+        yield count_rows(sums)
 
     def train(batches):
         sample: list[tuple[int, int, np.ndarray]] = []
+        count, n = np.zeros((2, DIM), dtype=np.int64), np.zeros(2, dtype=np.int64)
         for batch in batches:
-            column = batch.column(2)
+            column = batch.column(3)
             flat, ends = column.values.to_numpy(), column.offsets.to_numpy()
-            for k, (key, label) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                sample.append((key, label, flat[ends[k] : ends[k + 1]].copy()))
+            named = zip(*(batch.column(c).to_pylist() for c in (0, 1, 2, 4)), strict=True)
+            for k, (part, key, label, data) in enumerate(named):
+                if part is None:
+                    sample.append((key, label, flat[ends[k] : ends[k + 1]].copy()))
+                    continue
+                values = np.frombuffer(zlib.decompress(data), dtype=np.int64)
+                if part < 0:
+                    n += values
+                else:
+                    count[:, part * RANGE : (part + 1) * RANGE] += values.reshape(2, -1)
         sample.sort(key=lambda x: (x[0], x[1], len(x[2])))
         kept, total = [], 0
         for x in sample:
@@ -198,22 +239,37 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, most: int = FI
         if len(set(y.tolist())) < 2:
             model: Model | float = float((y > 0).mean()) if len(y) else 0.5
         else:
-            model = fitted(y, [x[2] for x in kept])
+            model = fitted(y, [x[2] for x in kept], count, n)
         yield pa.RecordBatch.from_pydict({"model": pa.array([zlib.compress(pickle.dumps(model), 1)], pa.binary())})
 
-    coded = joined.select("key", "label", "text").mapInArrow(learn, "key long, label int, ids array<int>")
-    found = coded.repartition(1).mapInArrow(train, "model binary").first()
+    schema = "part int, key long, label int, ids array<int>, counts binary"
+    coded = joined.select("key", "label", "text", "sampled").mapInArrow(learn, schema)
+    summed = coded.repartition(F.coalesce(F.col("part").cast("long"), F.col("key"))).mapInArrow(add, schema)
+    found = summed.repartition(1).mapInArrow(train, "model binary").first()
     return zlib.decompress(found[0]) if found else pickle.dumps(0.5)
 
 
-def fitted(y: np.ndarray, lists: list[np.ndarray]) -> Model:
+def counted(count: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """Rows of the features' counts in the two classes by range, and of the classes' sizes (part -1)."""
+    return count_rows({k: count[:, k * RANGE : (k + 1) * RANGE].ravel() for k in range(DIM // RANGE)} | {-1: n})
+
+
+def count_rows(sums: dict[int, np.ndarray]) -> pa.RecordBatch:
+    data = [zlib.compress(np.ascontiguousarray(x, dtype=np.int64).tobytes(), 1) for x in sums.values()]
+    none = [pa.nulls(len(data), t) for t in (pa.int64(), pa.int32(), pa.list_(pa.int32()))]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(list(sums), pa.int32()), *none, pa.array(data, pa.binary())],
+        ["part", "key", "label", "ids", "counts"],
+    )
+
+
+def fitted(y: np.ndarray, lists: list[np.ndarray], count: np.ndarray, n: np.ndarray) -> Model:
+    """The model of a sample (y, lists) and the counts of features and rows in class 0 and 1 among all rows."""
     ends = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
     ids = np.concatenate(lists).astype(np.int64)
     owner = np.repeat(np.arange(len(y)), np.diff(ends))
-    pos = np.bincount(ids[y[owner] > 0], minlength=DIM)
-    neg = np.bincount(ids[y[owner] < 0], minlength=DIM)
     share = lambda count, n: np.log((count + SMOOTH) / (n + 2 * SMOOTH))
-    scale = share(pos, (y > 0).sum()) - share(neg, (y < 0).sum())
+    scale = share(count[1], n[1]) - share(count[0], n[0])
     weights = descend(ends, ids, y, scale)
     top = np.bincount(owner, weights=(weights[:-1] * scale)[ids], minlength=len(y))
     norm = np.sqrt(np.bincount(owner, weights=scale[ids] ** 2, minlength=len(y)))
@@ -238,7 +294,7 @@ def scored(docs: DataFrame, model: bytes) -> DataFrame:
 
 def train_on(docs: DataFrame, labels: DataFrame) -> bytes:
     """Fit on documents with a quality label that are not held out."""
-    return fit(docs, labels.where(~held_out("doc_id")).select("doc_id", F.col("quality").alias("label")))
+    return fit(docs.where(~held_out("doc_id")), labels.where(~held_out("doc_id")).select("doc_id", F.col("quality").alias("label")))
 
 
 def op9_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ import gzip
 import hashlib
 import html
 import math
+import pickle
 import random
 import re
 import zlib
@@ -229,6 +230,18 @@ def test_classifier(docs, none, spark):
     assert one["score"] == 1.0
 
 
+def test_classifier_counts_all_training_rows(spark):
+    """The sample bounds the descent, not the features' counts."""
+    rows = [(k, prose(20) + (f" only{k % 7}" if k % 3 else " spam spam"), int(k % 3 > 0)) for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int").repartition(5)
+    model = pickle.loads(classify.fit(df.select("doc_id", "text"), df.select("doc_id", F.col("quality").alias("label")), rows=30))
+    ends, ids = classify.features([t for _, t, _ in rows])
+    y = np.array([q for _, _, q in rows])
+    owner = np.repeat(y, np.diff(ends))
+    log = [np.log((np.bincount(ids[owner == c], minlength=classify.DIM) + 1) / ((y == c).sum() + 2)) for c in (0, 1)]
+    assert np.abs(model.scale - (log[1] - log[0])).max() < 1e-5
+
+
 def shingles(text, width, lower=str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")):
     w = WORD.findall((text or "").translate(lower))
     return frozenset(tuple(w[i : i + width]) for i in range(len(w) - width + 1)) or (frozenset([tuple(w)]) if w else frozenset())
