@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import itertools
 
 import numpy as np
 
@@ -492,9 +493,9 @@ def split_unconnected(n, u, v, label) -> np.ndarray:
     return sets.labels()
 
 
-def lifted_kernighan_lin(n, u, v, cost, is_lifted, outer: int = 20, epsilon: float = 1e-6) -> np.ndarray:
+def lifted_kernighan_lin(n, u, v, cost, is_lifted, outer: int | None = None, epsilon: float = 1e-6) -> np.ndarray:
     """Local search on base and lifted costs from the greedy result: single nodes move to the adjacent cluster, or a new
-    one, and base-adjacent clusters join, as long as the energy falls. Clusters end connected by base edges."""
+    one, and base-adjacent clusters join, as long as the energy falls (``outer`` rounds at most, if given). Clusters end connected by base edges."""
     base = ~is_lifted.astype(bool)
     label = lifted_greedy_additive(n, u, v, cost, is_lifted)
     best, low = label, energy(u, v, cost, label)
@@ -502,7 +503,7 @@ def lifted_kernighan_lin(n, u, v, cost, is_lifted, outer: int = 20, epsilon: flo
     for a, b, x, z in zip(u.tolist(), v.tolist(), cost.tolist(), base.tolist(), strict=True):
         links[a].append((b, x, z))
         links[b].append((a, x, z))
-    for _ in range(outer):
+    for _ in itertools.count() if outer is None else range(outer):  # the energy falls by more than epsilon with each round
         now = label.tolist()
         fresh = n + 1
         for x in range(n):
@@ -526,9 +527,11 @@ def lifted_kernighan_lin(n, u, v, cost, is_lifted, outer: int = 20, epsilon: flo
                 entry[0] += w
                 entry[1] |= z
         pairs = [(a, b, x[0]) for (a, b), x in between.items() if x[1] and x[0] > epsilon]
-        if pairs:  # the best pair of each round: sums of others may change with it
-            a, b, _ = max(pairs, key=lambda p: p[2])
-            label = np.where(label == b, a, label)
+        to: dict[int, int] = {}
+        for a, b, _ in sorted(pairs, key=lambda p: -p[2]):  # disjoint pairs: the sums of others may change with a pair
+            if a not in to and b not in to:
+                to[a] = to[b] = a
+        label = np.array([to.get(x, x) for x in label.tolist()], dtype=label.dtype)
         e = energy(u, v, cost, label)
         if e >= low - epsilon:
             break

@@ -45,7 +45,7 @@ def lifted_greedy_additive_multicut(nodes: DataFrame, edges: DataFrame, weight_s
     return solve(nodes, edges, kernel, ~F.col("is_lifted"), ("cost", "is_lifted"))
 
 
-def lifted_kernighan_lin_multicut(nodes: DataFrame, edges: DataFrame, outer: int = 20) -> DataFrame:
+def lifted_kernighan_lin_multicut(nodes: DataFrame, edges: DataFrame, outer: int | None = None) -> DataFrame:
     """By components of base edges, beyond which no cluster reaches; lifted costs between these are cut whatever is done."""
     return solve(nodes, edges, partial(kernels.lifted_kernighan_lin, outer=outer), ~F.col("is_lifted"), ("cost", "is_lifted"))
 

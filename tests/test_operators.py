@@ -473,3 +473,17 @@ def test_components_in_one_task_and_in_rounds(spark):
     edges = spark.createDataFrame(pairs, "u long, v long")
     assert table(graphs.roots(edges), "node", "root") == table(graphs.roots(edges, one_task=0), "node", "root")
     assert graphs.roots(edges.limit(0)).count() == 0
+
+
+def test_lifted_search_goes_on_until_nothing_improves():
+    """Thirty copies of a graph side by side end as low as thirty times one: no round counts for one copy alone."""
+    rng = np.random.default_rng(193)
+    n, copies = 7, 30
+    u, v = map(np.array, zip(*[(a, b) for a in range(n) for b in range(a + 1, n) if rng.random() < 0.6], strict=True))
+    cost = rng.normal(0, 1, len(u)).round(2)
+    lifted = rng.random(len(u)) < 0.3
+    one = kernels.energy(u, v, cost, kernels.lifted_kernighan_lin(n, u, v, cost, lifted))
+    us, vs = (np.concatenate([x + n * c for c in range(copies)]) for x in (u, v))
+    all_costs = np.tile(cost, copies)
+    label = kernels.lifted_kernighan_lin(n * copies, us, vs, all_costs, np.tile(lifted, copies))
+    assert abs(kernels.energy(us, vs, all_costs, label) - copies * one) < 1e-6
