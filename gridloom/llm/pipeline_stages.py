@@ -13,12 +13,12 @@ from gridloom.llm.classify import keep_quality, train_on
 from gridloom.llm.common import table
 from gridloom.llm.dedup import keep_one
 from gridloom.llm.mixing import mix
-from gridloom.llm.rules import keep_good
+from gridloom.llm.rules import RULES, keep_good
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents that break a quality rule."""
-    return keep_good(docs)
+    """Rejects documents that break a quality rule. Short ones are no worse than others: that rule is op4's alone."""
+    return keep_good(docs, {k: v for k, v in RULES.items() if k != "too_short"})
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import hashlib
 import corpus_pipeline
 from gridloom.llm import bpe
 from gridloom.llm.common import saved, table
+from gridloom.llm.pipeline_stages import quality_rules
 from tests_llm_help import shingle_components
 
 SF = "/root/testdata/sf0.001"
@@ -39,3 +40,8 @@ def test_stages(spark):
                 assert r["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
                 assert r["decoded_sha256"] == hashlib.sha256(text[r["doc_id"]].encode()).hexdigest()
     assert sorted(corpus_pipeline.run(spark, SF).collect()) == sorted(after)
+
+
+def test_rules_keep_short_documents(spark):
+    rows = [(1, "A short and clean note of a few words."), (2, "BUY NOW AND SAVE")]
+    assert [r["doc_id"] for r in quality_rules(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()] == [1]
