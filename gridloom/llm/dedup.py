@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from gridloom.llm.common import own_cache, saved, slices, text_bytes, text_of
 
@@ -374,6 +375,11 @@ def links_in_cells(rows: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> DataFrame:
     """(doc_id, node, n, component_id) of every row of docs (doc_id, text): n is its set's size, node stands for the set."""
+    return grouped(docs, width, percent).drop("comp")
+
+
+def grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The rows of near_duplicates and comp, the node that stands for their group, which doc_ids that are shared do not."""
     rows = saved(with_sets(docs, width), "dedup-rows")
     nodes = saved(
         rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("sig").alias("sig")),
@@ -425,19 +431,38 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT) ->
     named = saved(named, "dedup-named")
     # Written first: then both sides of the join come from plain exchanges, whose hot keys can be split.
     least = saved(named.groupBy("comp").agg(F.min("doc_id").alias("component_id")), "dedup-least")
-    of_node = named.join(least, "comp").select(F.col("node").alias("set_node"), "component_id")
+    of_node = named.join(least, "comp").select(F.col("node").alias("set_node"), "component_id", "comp")
     out = rows.select("doc_id", "node", "n").join(of_node, F.col("node") == F.col("set_node"), "left")
-    return out.select("doc_id", "node", "n", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    head = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
+    return out.select("doc_id", "node", "n", head, "comp")
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> DataFrame:
-    """docs with one row of each group of near duplicates, with their columns: that of its smallest doc_id."""
-    found = saved(near_duplicates(docs, width, percent), "dedup-found")
-    kept = found.where("doc_id <=> component_id")
-    keep = kept.select(F.col("doc_id").alias("__dedup_id")).distinct()
-    out = docs.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("__dedup_id")), "left_semi")
-    twice = kept.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return out.dropDuplicates(["doc_id", "text"]) if twice else out
+    """docs with one row of each group of near duplicates, with their columns: that of its smallest doc_id. Rows without a
+    word are no group; of those with equal doc_id and text one stays where doc_ids are shared."""
+    found = saved(grouped(docs, width, percent), "dedup-found")
+    first = found.where("node IS NOT NULL").groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("head"))
+    keep = first.select(F.col("head.doc_id").alias("__dedup_id"), F.col("head.node").alias("__dedup_node"))
+    if not found.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        keep = keep.select("__dedup_id").unionByName(found.where("node IS NULL").select(F.col("doc_id").alias("__dedup_id")))
+        return docs.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("__dedup_id")), "left_semi")
+    keep = keep.unionByName(found.where("node IS NULL").select(F.col("doc_id").alias("__dedup_id"), F.col("node").alias("__dedup_node")))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__dedup_id")) & F.col("__node").eqNullSafe(F.col("__dedup_node"))
+    out = with_nodes(docs, width).join(keep, same, "left_semi").withColumn("__empty", F.when(F.col("__node").isNull(), text_of()))
+    return out.dropDuplicates(["doc_id", "__node", "__empty"]).select(*docs.columns)
+
+
+def with_nodes(docs: DataFrame, width: int) -> DataFrame:
+    """docs and the node of each row's set in a column __node."""
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for batch in slices(batches, text_bytes("text"), SLICE_BYTES):
+            ends, hashes = shingle_sets([t or "" for t in batch.column(at).to_pylist()], width)
+            node = pa.array(set_nodes(ends, hashes), mask=np.diff(ends) == 0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, node], [*batch.schema.names, "__node"])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("__node", LongType())]))
 
 
 def op1_near_duplicates(docs: DataFrame) -> DataFrame:

@@ -289,6 +289,17 @@ def test_near_duplicates(docs, none, spark, width):
     assert dedup.op1_near_duplicates(none).count() == 0 and dedup.keep_one(none).count() == 0
 
 
+def test_one_row_of_each_group_where_doc_ids_are_shared(spark):
+    words = [f"w{k}" for k in range(100)]
+    near = " ".join([*words[:-1], "other"])
+    rows = [(1, " ".join(words)), (1, near), (2, near), (None, near), (1, "quite another text of some words"), (None, "one more text without an id"),
+            (None, "one more text without an id"), (3, "")]
+    kept = dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    group = [r for r in kept if r["text"] in (rows[0][1], near)]
+    assert len(group) == 1 and group[0]["doc_id"] == 1
+    assert sorted(r["text"] for r in kept if r not in group) == ["", "one more text without an id", "quite another text of some words"]
+
+
 def test_pigeonhole():
     rng = np.random.default_rng(4)
     a = rng.integers(0, 1 << 16, (200, dedup.HASHES)).astype(np.uint16)
