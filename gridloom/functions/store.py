@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; set here only where it is unset, as in tests on one machine."""
+    """``spark.checkpoint.dir``; set here only where it is unset and all of Spark is on this machine, as in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.gettempdir() + "/checkpoints/gridloom"
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")

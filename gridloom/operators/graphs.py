@@ -55,39 +55,41 @@ def edges_from_node_list(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(subgraph_edges(edges, nodes).where("inner").select("edge_id"), "edge_id", "left_semi")
 
 
-#: Distinct edges (16 bytes each) up to which one task finds components by union-find.
-ONE_TASK = 200_000
+#: Nodes that a task's union-find holds at most before it sends on its forest and starts afresh.
+FOREST_NODES = 500_000
 
 
-def roots(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
+def roots(edges: DataFrame) -> DataFrame:
     """(node, root) of every node that has an edge; root is the least node it reaches.
 
-    A graph of at most ``one_task`` edges goes to one task, which needs one job. Beyond that: alternating large and small
-    stars, in practice a logarithmic number of rounds, each a pre-aggregated minimum by node and a join back, whose hot
-    nodes adaptive execution can split.
+    Each task first turns the edges it has into stars by union-find, so a group's many edges are few before any shuffle by
+    node. Then large and small stars alternate until only stars are left, in practice a logarithmic number of rounds, each a
+    pre-aggregated minimum by node and a join back, whose hot nodes adaptive execution can split. Edges that one task held
+    are stars at once.
     """
-    now = stored(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    mark = lambda e: tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
-    before = mark(now)
-    if before[0] <= one_task:
-        return stored(now.coalesce(1).mapInPandas(_united, "node long, root long"))
-    while True:
+    now = edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    now = stored(now.mapInPandas(_forest, "u long, v long").distinct())
+    while not _are_stars(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = stored(both.join(least, "u").where("v > u AND v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         low = stored(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u").where("v != m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
         now = stored(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
-        after = mark(now)
-        if after == before:
-            break
-        before = after
     top = now.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("root"))
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(top)
 
 
-def _united(batches):
-    """Union-find over all of a small graph's edges."""
+def _are_stars(edges: DataFrame) -> bool:
+    """Has every u one edge, and is no u another edge's v?"""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+        edges.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+    )
+    return ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR (up = 1 AND down = 1)").isEmpty()
+
+
+def _forest(batches, limit: int = FOREST_NODES):
+    """Edges (u, v) as stars around the least node of each group, by union-find in bounded memory."""
     up: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -96,11 +98,18 @@ def _united(batches):
             x = up[x]
         return x
 
+    def stars() -> pd.DataFrame:
+        found = [(x, find(x)) for x in up]
+        return pd.DataFrame([e for e in found if e[0] != e[1]], columns=["u", "v"], dtype="int64")
+
     for pdf in batches:
         for a, b in zip(pdf["u"].tolist(), pdf["v"].tolist(), strict=True):
             a, b = find(a), find(b)
             up[max(a, b)] = min(a, b)
-    yield pd.DataFrame({"node": list(up), "root": [find(x) for x in up]}, dtype="int64")
+        if len(up) >= limit:
+            yield stars()
+            up.clear()
+    yield stars()
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame, start: int = 0) -> DataFrame:

@@ -3,6 +3,7 @@
 import itertools
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -467,12 +468,26 @@ def test_remove_ticks(spark):
     assert meshes.minimum_spanning_forest(v, e).count() == len(pairs)
 
 
-def test_components_in_one_task_and_in_rounds(spark):
+def test_components_of_edges_in_one_task_or_many(spark, monkeypatch):
     rng = np.random.default_rng(9)
     pairs = [(int(a), int(b)) for a, b in rng.integers(0, 200, (150, 2))] + [(k, k + 1) for k in range(300, 330)]
+    up = {x: x for p in pairs for x in p if p[0] != p[1]}
+    for _ in up:
+        for a, b in pairs:
+            if a != b:
+                up[a] = up[b] = min(up[a], up[b])
     edges = spark.createDataFrame(pairs, "u long, v long")
-    assert table(graphs.roots(edges), "node", "root") == table(graphs.roots(edges, one_task=0), "node", "root")
+    want = sorted(up.items())
+    assert table(graphs.roots(edges), "node", "root") == want
     assert graphs.roots(edges.limit(0)).count() == 0
+    # Stars of a few nodes, of several tasks, leave the rest to the rounds.
+    small = [pd.concat(list(graphs._forest([pd.DataFrame(pairs[k : k + 7], columns=["u", "v"])], 4))) for k in range(0, len(pairs), 7)]
+    with_coalescing = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert table(graphs.roots(spark.createDataFrame(pd.concat(small))), "node", "root") == want
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", with_coalescing)
 
 
 def test_lifted_search_goes_on_until_nothing_improves():
