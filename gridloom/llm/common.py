@@ -29,10 +29,13 @@ def tokenizer_path(name: str) -> str:
 def work_dir(spark: SparkSession, name: str) -> str:
     """A new folder name (URI) below the folder that all executors share.
 
-    It is the cluster's ``spark.checkpoint.dir``; only where that is unset (tests on one machine) is one set here.
+    It is the cluster's ``spark.checkpoint.dir``; only where that is unset and all of Spark is on this machine (tests) is
+    one set here.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.gettempdir() + "/checkpoints/gridloom"
         spark.conf.set("spark.checkpoint.dir", base)
     if "://" not in base and not base.startswith("file:"):

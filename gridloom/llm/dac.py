@@ -27,7 +27,7 @@ import zlib
 from array import array
 from functools import lru_cache
 from itertools import chain
-from unicodedata import is_normalized
+from unicodedata import is_normalized, normalize
 
 import numpy as np
 import pyarrow as pa
@@ -65,9 +65,10 @@ class WordEncoder:
     """The tokenizers library on whole texts, by way of distinct words.
 
     The vocabulary's normalizer and pre-tokenizer drop white space and never look across it, so a text's ids are the ids
-    of its parts between spaces, tabs and line ends, one after the other. It lower-cases character by character, so texts
-    are lower-cased first (but for the two letters where that is not the same, and where a special token may stand). Its
-    pattern ends a token between a letter and the punctuation after it, so a part's closing punctuation is coded apart.
+    of its parts between spaces, tabs and line ends, one after the other. It composes characters (NFC) and then lower-cases
+    them one by one, so texts are first composed and lower-cased likewise. They are left in capitals, for the library to
+    lower-case, where that is not the same: at two letters, where a special token may stand, and where lower-case letters
+    compose with a mark that their capitals do not compose with (the library would compose them). Its pattern ends a token between a letter and the punctuation after it, so a part's closing punctuation is coded apart.
     Each distinct part that results is encoded once by the library and kept, as bytes of 32-bit ids, in a bounded cache.
     Parts of normalized lower-case letters are one pre-token, so they go straight to the library's model, their UTF-8 bytes
     written as the characters that the byte-level pre-tokenizer gives them.
@@ -93,8 +94,11 @@ class WordEncoder:
         return word, ""
 
     def words(self, text: str) -> list[str]:
+        if not is_normalized("NFC", text):
+            text = normalize("NFC", text)
         if "<|" not in text and "Σ" not in text and "İ" not in text:
-            text = text.lower()
+            lower = text.lower()
+            text = lower if is_normalized("NFC", lower) else text
         return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
@@ -209,7 +213,9 @@ class Shard:
         return out
 
 
-def write_shards(docs: DataFrame, folder: str, vocabulary: str = "word_bpe_49k.json", end_id: int = 2) -> DataFrame:
+def write_shards(
+    docs: DataFrame, folder: str, vocabulary: str = "word_bpe_49k.json", end_id: int = 2, shard_ids: int = SHARD_IDS
+) -> DataFrame:
     """Encode documents (doc_id, text), end each with ``end_id`` and write them to ``folder`` in ascending doc_id order.
 
     Returns the manifest (shard, part, n_docs, n_ids, path), one row a file; (shard, part) ascends with doc_id.
@@ -241,19 +247,21 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str = "word_bpe_49k.j
             )
 
         gc.disable()  # the caches hold no cycles, and walking them takes a fifth of the time
-        for batch in slices(batches, text_bytes("text"), SLICE_BYTES):
-            each = encoder(vocabulary).ids(batch.column(1).to_pylist())
-            for name, ids in zip(batch.column(0).to_pylist(), each, strict=True):
-                names.append(name)
-                held += [ids, end]
-                sizes.append(len(ids) + 1)
-                total += len(ids) + 1
-            if total >= SHARD_IDS:
+        try:
+            for batch in slices(batches, text_bytes("text"), SLICE_BYTES):
+                each = encoder(vocabulary).ids(batch.column(1).to_pylist())
+                for name, ids in zip(batch.column(0).to_pylist(), each, strict=True):
+                    names.append(name)
+                    held += [ids, end]
+                    sizes.append(len(ids) + 1)
+                    total += len(ids) + 1
+                    if total >= shard_ids:
+                        yield close()
+                        names, held, sizes, part, total = [], [], [], part + 1, 0
+            if names:
                 yield close()
-                names, held, sizes, part, total = [], [], [], part + 1, 0
-        gc.enable()
-        if names:
-            yield close()
+        finally:
+            gc.enable()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")

@@ -389,6 +389,28 @@ def test_main_text_in_elements_with_noise_words(spark):
     assert all(got[k].startswith(want[k]) for k in unsure)
 
 
+def test_words_like_the_library_for_all_letters_and_marks():
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    cased = [c for c in points if c.lower() != c or c.upper() != c]
+    marks = [chr(m) for m in range(0x300, 0x346)]
+    words = points + [c + m for c in cased for m in marks] + [f"a{c}{m}." for c in "HJTWYΗΙΥΑ" for m in marks]
+    encoder = dac.encoder("word_bpe_49k.json")
+    for k in range(0, len(words), 5000):
+        text = " ".join(words[k : k + 5000])
+        assert encoder.ids([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids, ascii(text[:20])
+
+
+def test_several_files_of_a_shard(docs, spark):
+    """A file closes at the limit, and what is read back does not depend on it."""
+    few = dac.write_shards(docs.repartition(1), work_dir(spark, "test-dac"), shard_ids=3)
+    few = spark.createDataFrame(few.collect(), dac.MANIFEST)
+    assert few.count() > spark.createDataFrame(dac.write_shards(docs, work_dir(spark, "test-dac")).collect(), dac.MANIFEST).count()
+    assert sorted(dac.read_shards(few, True).collect(), key=lambda r: r["start"]) == sorted(dac.op10_token_files(docs, spark).collect(), key=lambda r: r["start"])
+
+
 def test_token_files(docs, none, spark):
     from tokenizers import Tokenizer
 
