@@ -4,8 +4,8 @@ The text is cut by the vocabulary's pattern. Distinct pieces of a slice of rows
 are put, by byte length, into padded matrices of token ids (one row a piece). Each round, every row merges its leftmost
 pair of minimum rank; ranks of pairs come from an open-addressing hash table held in numpy arrays; the merged row is
 compacted in place; rows without a mergeable pair leave the matrix. A matrix row costs its length for each merge, so
-pieces over ``MATRIX_MAX`` bytes (one run of letters without a break) go through a heap of pairs instead, which merges
-in the same order in n log n.
+a piece of more than ``ROW`` bytes (one run of letters without a break) is a matrix of its own, of rows of ROW columns:
+each round merges the leftmost pair of minimum rank of all rows, found by the rows' minima, and compacts its row alone.
 
 Defined cases: null text is the empty text and has no ids; ids of repeated rows are equal; any length of text is taken
 whole; an empty table gives an empty table. Ids decode to the text's exact UTF-8 bytes.
@@ -14,7 +14,6 @@ whole; an empty table gives an empty table. Ids decode to the text's exact UTF-8
 from __future__ import annotations
 
 import base64
-import heapq
 from functools import lru_cache
 from itertools import chain
 
@@ -26,7 +25,8 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import own_cache, slices, text_bytes, text_of, tokenizer_path
 
 NONE = np.int32(2**31 - 1)
-MATRIX_MAX = 512
+#: Columns of a matrix row at most.
+ROW = 512
 CACHE_MAX = 300_000
 SLICE_BYTES = 3_000_000
 
@@ -120,8 +120,8 @@ class ByteBPE:
             whole = self.ranks.get(raw)
             if whole is not None:
                 self.cache[piece] = (whole,)
-            elif len(raw) > MATRIX_MAX:
-                self.cache[piece] = tuple(self._heap(raw))
+            elif len(raw) > ROW:
+                self.cache[piece] = tuple(self._rows(raw))
             else:
                 buckets.setdefault((len(raw) - 1).bit_length(), []).append((piece, raw))
         for bits, rows in buckets.items():
@@ -169,39 +169,61 @@ class ByteBPE:
             rank[prev, at[prev] - 1] = self.pairs.get(ids[prev, at[prev] - 1], best[prev])
         return out
 
-    def _heap(self, raw: bytes) -> list[int]:
-        """The same merges for one long piece: a heap of (rank, position) over a linked list."""
-        ids = self.single[np.frombuffer(raw, dtype=np.uint8)]
-        n = len(ids)
-        first = self.pairs.get(ids[:-1], ids[1:])
-        ids = ids.tolist()
-        nxt, prv, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-        now = first.tolist() + [int(NONE)]
-        heap = [(r, k) for k, r in enumerate(now) if r != NONE]
-        heapq.heapify(heap)
+    def _rows(self, raw: bytes, width: int = ROW) -> list[int]:
+        """One piece over several rows, each padded with -1; a row's last pair is with the next row's first id."""
+        flat = self.single[np.frombuffer(raw, dtype=np.uint8)]
+        n, rows = len(flat), -(-len(flat) // width)
+        ids = np.full((rows, width), -1, dtype=np.int32)
+        rank = np.full((rows, width), NONE, dtype=np.int32)
+        ids.ravel()[:n] = flat
+        rank.ravel()[: n - 1] = self.pairs.get(flat[:-1], flat[1:])
+        length = [width] * (rows - 1) + [n - width * (rows - 1)]
+        before, after = list(range(-1, rows - 1)), list(range(1, rows + 1))  # rows that are not empty
+        low = rank.min(axis=1)
         known: dict[tuple[int, int], int] = {}
 
-        def rank(a: int, b: int) -> int:
+        def of_pair(a: int, b: int) -> int:
             if (a, b) not in known:
-                known[a, b] = self.ranks.get(self.bytes_of[a] + self.bytes_of[b], int(NONE))
+                known[a, b] = int(self.pairs.get(np.array([a]), np.array([b]))[0])
             return known[a, b]
 
-        while heap:
-            r, k = heapq.heappop(heap)
-            if not alive[k] or now[k] != r:
-                continue
-            gone = nxt[k]
-            ids[k] = r
-            alive[gone] = False
-            nxt[k] = nxt[gone]
-            if nxt[k] < n:
-                prv[nxt[k]] = k
-            for j in (k, prv[k]):
-                if j >= 0:
-                    now[j] = rank(ids[j], ids[nxt[j]]) if nxt[j] < n else int(NONE)
-                    if now[j] != NONE:
-                        heapq.heappush(heap, (now[j], j))
-        return [x for x, there in zip(ids, alive, strict=True) if there]
+        def drop(r: int, at: int) -> None:
+            """Take column ``at`` out of row r."""
+            end = length[r]
+            ids[r, at : end - 1] = ids[r, at + 1 : end]
+            rank[r, at : end - 1] = rank[r, at + 1 : end]
+            ids[r, end - 1], rank[r, end - 1] = -1, NONE
+            length[r] = end - 1
+            if end == 1:
+                if before[r] >= 0:
+                    after[before[r]] = after[r]
+                if after[r] < rows:
+                    before[after[r]] = before[r]
+
+        while True:
+            r = int(low.argmin())
+            best = int(low[r])
+            if best == NONE:
+                return ids[ids >= 0].tolist()
+            at = int(rank[r].argmin())
+            if at + 1 < length[r]:
+                drop(r, at + 1)
+            else:
+                s = after[r]
+                drop(s, 0)
+                low[s] = rank[s].min()
+            ids[r, at] = best
+            if at + 1 < length[r]:
+                rank[r, at] = of_pair(best, int(ids[r, at + 1]))
+            else:
+                rank[r, at] = of_pair(best, int(ids[after[r], 0])) if after[r] < rows else NONE
+            if at > 0:
+                rank[r, at - 1] = of_pair(int(ids[r, at - 1]), best)
+            elif before[r] >= 0:
+                p = before[r]
+                rank[p, length[p] - 1] = of_pair(int(ids[p, length[p] - 1]), best)
+                low[p] = rank[p].min()
+            low[r] = rank[r].min()
 
 
 @lru_cache(maxsize=2)
