@@ -15,8 +15,8 @@ it and others like it hold most of the page's text (``MOSTLY``). A doubtful elem
 doubtful one, unless the page has articles outside such elements (then it holds comments or the like).
 
 Counts are pre-aggregated by node and value and only then by node, so a host of any size is spread over tasks; equal pages
-of a host count once. Pages meet the list of their host's unimportant nodes by a broadcast, or, where these lists are too
-long for one, in a join by host and salt.
+of a host count once. Pages meet the list of their host's unimportant nodes in one join by host, of two plain exchanges:
+Spark sends the lists to all tasks where they are under its broadcast threshold, and splits a hot host's pages where not.
 
 Left of a page is: the text in its article elements (in main elements if there is none, else in the body), the
 paragraphs, headings, list items and cells in document order. Inside article or main, the tree takes away containers
@@ -50,9 +50,6 @@ CLEARED = 0.9
 MOSTLY = 3
 #: A node has to occur so often before its importance counts.
 MIN_SEEN = 3
-#: Unimportant nodes (8 bytes each) that are sent to all tasks at most; more than these are joined by host and salt.
-BROADCAST_NODES = 200_000
-SALTS = 64
 SLICE_BYTES = 6_000_000
 
 TOKEN = re.compile(
@@ -383,13 +380,8 @@ def main_text(pages: DataFrame, least: float = LEAST) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
-    low = saved(low, "site-low")
-    if (low.agg(F.sum(F.size("low") + F.size("cleared"))).first()[0] or 0) <= BROADCAST_NODES:
-        joined = rows.join(F.broadcast(low), F.col("host") == F.col("site"), "left")
-    else:  # a host's pages go to SALTS tasks
-        salted = low.withColumn("grain", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        grain = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")
-        joined = rows.join(salted, (F.col("host") == F.col("site")) & (grain == F.col("grain")), "left")
+    # Written first: its size is then known, and both sides of the join come from plain exchanges.
+    joined = rows.join(saved(low, "site-low"), F.col("host") == F.col("site"), "left")
     return joined.select("page_id", "url", "html", "low", "cleared").mapInArrow(run, "page_id long, url string, text string")
 
 
