@@ -6,8 +6,8 @@ them counts as so many features. Fit: every feature's log-count ratio between
 the classes, from the indicator counts of all training rows (smoothed); the indicators, scaled by the ratios, go into a
 linear model with hinge loss, fitted by dual coordinate descent; its margins on the sample are turned into scores by a
 logistic curve. The counts are summed within each task, then by ranges of features (``RANGE`` each). Only the descent and
-the curve take a sample, of at most ``FIT_ROWS`` labelled rows of at most ``FIT_FEATURES`` features together: tasks turn its
-texts into features, one task fits.
+the curve take a sample, in the order of the ids' hashes: ``FIT_ROWS`` labelled rows at most, and no row more once they have
+``FIT_FEATURES`` features together. Tasks turn its texts into features, one task reads these in that order and fits.
 
 Defined cases: null text is the empty text, which has the feature of an empty text alone and gets a score like any other;
 texts of any length are read whole; repeated rows get equal scores; rows with null doc_id are held out; with labels of
@@ -33,7 +33,7 @@ from gridloom.llm.common import own_cache, slices, text_bytes, text_of
 #: Hash buckets of the n-grams: the model's size, whatever the corpus.
 BITS = 18
 DIM = 1 << BITS
-#: Labelled rows of a fit at most, and their features together at most.
+#: Labelled rows of a fit at most, and the features of these rows from which on none is added, whatever its length.
 FIT_ROWS = 6_000
 FIT_FEATURES = 12_000_000
 #: Features whose counts are one row on their way from the tasks that count to those that sum.
@@ -214,38 +214,37 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, most: int = FI
         yield count_rows(sums)
 
     def train(batches):
-        sample: list[tuple[int, int, np.ndarray]] = []
+        kept: list[tuple[int, np.ndarray]] = []
+        total = 0
         count, n = np.zeros((2, DIM), dtype=np.int64), np.zeros(2, dtype=np.int64)
         for batch in batches:
             column = batch.column(3)
             flat, ends = column.values.to_numpy(), column.offsets.to_numpy()
-            named = zip(*(batch.column(c).to_pylist() for c in (0, 1, 2, 4)), strict=True)
-            for k, (part, key, label, data) in enumerate(named):
+            named = zip(*(batch.column(c).to_pylist() for c in (0, 2, 4)), strict=True)
+            for k, (part, label, data) in enumerate(named):
                 if part is None:
-                    sample.append((key, label, flat[ends[k] : ends[k + 1]].copy()))
+                    if total < most:
+                        kept.append((label, flat[ends[k] : ends[k + 1]].copy()))
+                        total += ends[k + 1] - ends[k]
                     continue
                 values = np.frombuffer(zlib.decompress(data), dtype=np.int64)
                 if part < 0:
                     n += values
                 else:
                     count[:, part * RANGE : (part + 1) * RANGE] += values.reshape(2, -1)
-        sample.sort(key=lambda x: (x[0], x[1], len(x[2])))
-        kept, total = [], 0
-        for x in sample:
-            if total + len(x[2]) <= most:
-                kept.append(x)
-                total += len(x[2])
-        y = np.array([1.0 if x[1] else -1.0 for x in kept])
+        y = np.array([1.0 if label else -1.0 for label, _ in kept])
         if len(set(y.tolist())) < 2:
             model: Model | float = float((y > 0).mean()) if len(y) else 0.5
         else:
-            model = fitted(y, [x[2] for x in kept], count, n)
+            model = fitted(y, [ids for _, ids in kept], count, n)
         yield pa.RecordBatch.from_pydict({"model": pa.array([zlib.compress(pickle.dumps(model), 1)], pa.binary())})
 
     schema = "part int, key long, label int, ids array<int>, counts binary"
     coded = joined.select("key", "label", "text", "sampled").mapInArrow(learn, schema)
     summed = coded.repartition(F.coalesce(F.col("part").cast("long"), F.col("key"))).mapInArrow(add, schema)
-    found = summed.repartition(1).mapInArrow(train, "model binary").first()
+    # One task, whose rows Spark sorts (and spills): it holds no more of them than the fit takes.
+    in_order = summed.repartition(1).sortWithinPartitions("part", "key", "label", F.size("ids"), F.xxhash64("ids"))
+    found = in_order.mapInArrow(train, "model binary").first()
     return zlib.decompress(found[0]) if found else pickle.dumps(0.5)
 
 
