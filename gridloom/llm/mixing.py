@@ -10,9 +10,11 @@ until one of them is 0 or 1, in the direction that a fair draw weighted to keep
 documents is settled but for one, and the group's expected mass is kept up to that one document. A reduction tree
 combines the groups: leaves are bounded buckets of documents of one source and one size class (a power of two), the next
 level takes the leaves' residuals by source and class, again in bounded buckets until one is left for each, and the root
-takes, of a source, each class's residual and ``RESERVE`` documents (64 classes at most) from the largest size down,
-rounding each to the copy that keeps the running difference from the expected mass smallest. A source thus ends within
-about its smallest such document of its target. Draws come from hashes of the document id, so reruns agree whatever the partitioning is.
+settles, of a source, each class's residual and ``RESERVE`` documents (64 classes at most) from the largest class down: the
+one that its class leaves open has the pool of all smaller classes for a partner, which give or take the mass evenly. So what
+is open in the end is about as small as the source's smallest document, and one draw by its probability settles it. Every document's expected copies stay
+t / s through all levels, and a source ends within about that document's size of its target. Draws come from hashes of the
+document id and ``seed``, so reruns agree whatever the partitioning is.
 
 Defined cases: null text has size 0; documents of size 0 are taken 0 times and take no part; rows with equal doc_id,
 source and size are settled as one (its mass is theirs together, and each is taken equally often), other rows with equal
@@ -22,6 +24,7 @@ docs, and extra columns may have any names but those starting with ``__mix_``.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,7 +39,7 @@ WEIGHTS = (1, 2, 3)
 LEAF = 100
 FANIN = 200
 #: Documents of each source and size class that go to the root unsettled, to make up there for larger ones.
-RESERVE = 4
+RESERVE = 16
 NODE = "doc_id long, source string, size long, n long, whole int, p double, class int, bucket int, key long, open boolean, leaf boolean"
 
 
@@ -119,23 +122,49 @@ def _level(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.concat([held, pdf.assign(p=p, open=still)]).assign(leaf=False)
 
 
+def settle_with_pools(p: np.ndarray, mass: np.ndarray, key: list[int], kind: np.ndarray) -> np.ndarray:
+    """Every p 0 or 1: class by class in the given order, the one that a class leaves open swaps mass with all later classes.
+
+    The pool's probabilities move by the same amount, up or down, so a fair draw keeps every expectation. A swap ends when the
+    document or one of the pool is at 0 or 1; that one is settled. Without a pool, a draw by its probability settles it.
+    """
+    p = p.astype(np.float64).copy()
+    for c in dict.fromkeys(kind.tolist()):
+        own = np.flatnonzero(kind == c)
+        settled, left = settle(p[own].tolist(), mass[own].tolist(), [key[i] for i in own])
+        p[own] = settled
+        if left < 0:
+            continue
+        j, turn, later = int(own[left]), 0, np.arange(own[-1] + 1, len(p))
+        while 0 < p[j] < 1:
+            turn -= 1
+            pool = later[(p[later] > 0) & (p[later] < 1)]
+            if not len(pool):
+                p[j] = draw(key[j], turn) < p[j]
+                break
+            total = float(mass[pool].sum())
+            up = min((1 - p[j]) * mass[j], p[pool].min() * total)  # mass that j can take from the pool
+            down = min(p[j] * mass[j], (1 - p[pool].max()) * total)
+            move = up if draw(key[j], turn) * (up + down) < down else -down
+            p[j] += move / mass[j]
+            p[pool] -= move / total
+            p[np.abs(p) < 1e-9], p[np.abs(p - 1) < 1e-9] = 0.0, 1.0
+    return p
+
+
 def _root(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The residuals of a source, largest first."""
-    pdf = pdf.assign(mass=pdf["size"] * pdf["n"]).sort_values(["mass", "key", "doc_id"], ascending=False, kind="stable")
-    owed, out = 0.0, []
-    for p, mass in zip(pdf["p"], pdf["mass"], strict=True):
-        owed += p * mass
-        x = 1.0 if owed > mass / 2 else 0.0
-        owed -= x * mass
-        out.append(x)
-    return pdf.drop(columns="mass").assign(p=out, open=False)
-
-
-def rounded(rows: DataFrame) -> DataFrame:
+    """The residuals and reserve of a source."""
+    pdf = pdf.sort_values(["class", "key", "doc_id", "size"], ascending=False, kind="stable")
+    mass = (pdf["size"] * pdf["n"]).to_numpy(dtype=np.float64)
+    p = settle_with_pools(pdf["p"].to_numpy(), mass, pdf["key"].tolist(), pdf["class"].to_numpy())
+    return pdf.assign(p=p, open=False)
+
+
+def rounded(rows: DataFrame, seed: int = 11) -> DataFrame:
     """rows (doc_id, source, size, n, whole, p) with p turned into 0 or 1, for rows with size > 0 and 0 < p < 1."""
     keyed = saved(
         rows.withColumn("class", F.floor(F.log2(F.col("size") * F.col("n"))).cast("int")).withColumn(
-            "key", F.xxhash64(F.lit(11), "doc_id", "size")
+            "key", F.xxhash64(F.lit(seed), "doc_id", "size")
         ),
         "mix-rows",
     )
@@ -143,7 +172,7 @@ def rounded(rows: DataFrame) -> DataFrame:
     counts = keyed.groupBy(F.col("source").alias("s"), F.col("class").alias("c")).agg(F.count(F.lit(1)).alias("rows"))
     level = keyed.join(counts, F.col("source").eqNullSafe(F.col("s")) & (F.col("class") == F.col("c"))).select(
         *keyed.columns,
-        F.pmod(F.xxhash64(F.lit(13), "doc_id", "size"), F.ceil(F.col("rows") / LEAF)).cast("int").alias("bucket"),
+        F.pmod(F.xxhash64(F.lit(13), "key"), F.ceil(F.col("rows") / LEAF)).cast("int").alias("bucket"),
         F.lit(True).alias("open"),
         F.lit(True).alias("leaf"),
     )
@@ -162,7 +191,7 @@ def rounded(rows: DataFrame) -> DataFrame:
     return done.unionByName(residual.unionByName(reserve).groupBy("source").applyInPandas(_root, NODE))
 
 
-def copies(docs: DataFrame, cap: int = CAP) -> DataFrame:
+def copies(docs: DataFrame, cap: int = CAP, seed: int = 11) -> DataFrame:
     """(doc_id, source, size, n, source_size, target, copies): n rows of docs are to be taken ``copies`` times each."""
     sized = saved(
         docs.select(
@@ -182,7 +211,7 @@ def copies(docs: DataFrame, cap: int = CAP) -> DataFrame:
         "doc_id", "source", "size", "n", F.floor(ratio).cast("int").alias("whole"), (ratio - F.floor(ratio)).alias("p")
     )
     moving = (F.col("size") > 0) & (F.col("p") > 0)
-    settled = rounded(aimed.where(moving)).select("doc_id", "source", "size", "n", "whole", "p")
+    settled = rounded(aimed.where(moving), seed).select("doc_id", "source", "size", "n", "whole", "p")
     every = settled.unionByName(aimed.where(~moving))
     taken = F.when(F.col("size") == 0, 0).otherwise(F.col("whole") + F.col("p").cast("int"))
     return every.join(aims, same).select(
