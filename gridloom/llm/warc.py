@@ -12,13 +12,18 @@ decoded nor copied. Session option ``spark.sql.python.filterPushdown.enabled`` m
 
 Defined cases: null html is an empty payload; null url is written as an empty target; a null page_id reads back as null;
 payloads of any length; several pages with the largest page_id of equal payloads are all responses; an empty table writes
-no archive and reads as an empty table; other columns of pages are ignored.
+no archive and reads as an empty table; other columns of pages are ignored. Archives of other writers: plain ``.warc`` files
+are read by Content-Length; ids that are not this writer's give a null page_id or refers_to; header names are matched
+whatever their case and may go on over lines; a record without a type has the type ''; digests other than SHA-1 in base 32
+or hex are null; payload_bytes is the payload's length where it can be told, else null; the payload of a request or
+response is what follows the HTTP header, that of any other record (warcinfo, resource, metadata, ...) its whole block, that
+of a revisit is empty.
 """
 
 from __future__ import annotations
 
 import base64
-import hashlib
+import re
 import struct
 import uuid
 import zlib
@@ -60,8 +65,19 @@ def urn(page_id: int | None) -> str:
 
 
 def of_urn(value: str | None) -> int | None:
-    number = value[len("<urn:x-page:") : -1] if value else ""
-    return int(number) if number else None
+    """The page_id of a record id; null for other writers' ids."""
+    found = re.fullmatch(r"<urn:x-page:(-?\d{1,19})>", value or "")
+    return int(found[1]) if found else None
+
+
+def of_digest(value: str) -> str | None:
+    """Hex of a labelled SHA-1 digest, which is in base 32 as a rule; null for others."""
+    kind, _, digits = value.partition(":")
+    if kind.strip().lower() not in ("sha1", "sha-1"):
+        return None
+    if re.fullmatch(r"[0-9a-fA-F]{40}", digits):
+        return digits.lower()
+    return base64.b32decode(digits.upper()).hex() if re.fullmatch(r"[A-Za-z2-7]{32}", digits) else None
 
 
 def member(data: bytes) -> bytes:
@@ -97,8 +113,9 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
 def with_revisits(pages: DataFrame, min_bytes: int = MIN_DEDUP_BYTES) -> DataFrame:
     """(page_id, url, payload, digest, first): first is the largest page_id of equal payloads, null below min_bytes.
 
-    Equal means equal SHA-1 and length. The largest ids are pre-aggregated by digest, and only digests that occur more
-    than once are joined back, on the digest, by a join whose hot keys adaptive execution can split.
+    Equal means equal SHA-1. The largest ids are pre-aggregated by digest, and digests that occur more than once are
+    written, so both sides of the join back come from plain exchanges, whose hot digests adaptive execution can split.
+    Pages below min_bytes take no part in that join, whatever they have in common.
     """
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"),
@@ -113,7 +130,8 @@ def with_revisits(pages: DataFrame, min_bytes: int = MIN_DEDUP_BYTES) -> DataFra
         .where("n > 1")
         .drop("n")
     )
-    return rows.join(firsts, big & (F.col("digest") == F.col("same")), "left").drop("same")
+    joined = rows.where(big).join(saved(firsts, "warc-firsts"), F.col("digest") == F.col("same"), "left").drop("same")
+    return joined.unionByName(rows.where(~big).withColumn("first", F.lit(None).cast("long")))
 
 
 def write_warc(records: DataFrame, folder: str) -> DataFrame:
@@ -151,6 +169,107 @@ def write_warc(records: DataFrame, folder: str) -> DataFrame:
     return columns.mapInArrow(run, "path string, n_records long, n_bytes long")
 
 
+def header_fields(head: bytes) -> dict[str, str]:
+    """Fields of a record header by lower-case name; lines that start with white space go on with the field before."""
+    text = re.sub(r"\r?\n[ \t]+", " ", head.decode("utf-8", "replace"))
+    pairs = (line.partition(":") for line in text.split("\n")[1:])
+    return {name.strip().lower(): value.strip() for name, colon, value in pairs if colon}
+
+
+def cut_header(data: bytes) -> int:
+    """Where the empty line after a record header ends, -1 if it is not in data."""
+    found = re.search(rb"\r?\n\r?\n", data)
+    return found.end() if found else -1
+
+
+class Plain:
+    """A record that is not compressed, at place ``at`` of f."""
+
+    def __init__(self, f, at: int):
+        self.f, self.at = f, at
+
+    def read(self) -> bytes:
+        return self.f.read(8192)
+
+    def header(self) -> bytes:
+        self.f.seek(self.at)
+        data = self.read().lstrip(b"\r\n")
+        while (cut := cut_header(data)) < 0:
+            more = self.read()
+            if not more:
+                if data.strip():
+                    raise ValueError("cut off in a record header")
+                return b""
+            data = (data + more).lstrip(b"\r\n")
+        self.rest, self.start = data[cut:], self.f.tell() - (len(data) - cut)
+        return data[:cut]
+
+    def block(self, length: int) -> bytes:
+        self.f.seek(self.start)
+        out = self.f.read(length)
+        if len(out) < length:
+            raise ValueError("cut off in a record")
+        return out
+
+    def end(self, length: int, skipped: bool) -> int:
+        return self.start + length
+
+
+class Member(Plain):
+    """A record that is a gzip member."""
+
+    def __init__(self, f, at: int):
+        super().__init__(f, at)
+        self.inflate, self.packed, self.first, self.size_out = zlib.decompressobj(31), b"", b"", 0
+
+    def read(self) -> bytes:
+        """The next piece of at most 64 KB inflated; empty at the member's end."""
+        while not self.inflate.eof:
+            self.packed = self.packed or self.f.read(8192)
+            if not self.packed:
+                raise ValueError("cut off in a record")
+            self.first = self.first or self.packed[:8192]
+            piece = self.inflate.decompress(self.packed, 1 << 16)
+            self.packed = self.inflate.unconsumed_tail
+            if piece:
+                self.size_out += len(piece)
+                return piece
+        return b""
+
+    def block(self, length: int) -> bytes:
+        out = bytearray(self.rest)
+        while len(out) < length and (piece := self.read()):
+            out += piece
+        if len(out) < length:
+            raise ValueError("cut off in a record")
+        return bytes(out[:length])
+
+    def end(self, length: int, skipped: bool) -> int:
+        size = self.size() if skipped else 0
+        if size:
+            return self.at + size
+        before = self.size_out - len(self.rest)  # header and line ends before it
+        while self.read():
+            pass
+        if self.size_out - before > length + 4:
+            raise ValueError("more than one record in a gzip member")
+        return self.f.tell() - len(self.inflate.unused_data)
+
+    def size(self) -> int:
+        """Length of this gzip member by its sl field, 0 if it has none."""
+        start = self.first
+        if len(start) < 24 or not start[3] & 4:
+            return 0
+        end = 12 + struct.unpack_from("<H", start, 10)[0]
+        at = 12
+        while at + 4 <= end:
+            name, size = struct.unpack_from("<2sH", start, at)
+            if name == b"sl" and size == 8:
+                return struct.unpack_from("<I", start, at + 4)[0]
+            at += 4 + size
+        return 0
+
+
 class Files(InputPartition):
     def __init__(self, paths: list[str]):
         self.paths = paths
@@ -221,65 +340,47 @@ class WarcReader(DataSourceReader):
 
     def records(self, f, payloads: bool):
         """Header fields of each wanted record, with its payload if asked for."""
+        f.seek(0)
+        packed = f.read(2) == b"\x1f\x8b"
         at, end = 0, f.size()
         while at < end:
-            f.seek(at)
-            first = f.read(8192)
-            inflate = zlib.decompressobj(31)
-            head = inflate.decompress(first, 65536)
-            source = inflate.unconsumed_tail
-            while b"\r\n\r\n" not in head:
-                source = source or f.read(8192)
-                if not source:
-                    raise ValueError("cut off in a record header")
-                head += inflate.decompress(source, 65536)
-                source = inflate.unconsumed_tail
-            raw, rest = head.split(b"\r\n\r\n", 1)
-            fields = dict(x.split(": ", 1) for x in raw.decode().split("\r\n")[1:] if ": " in x)
-            digest = fields.get("WARC-Payload-Digest", "")
+            source = (Member if packed else Plain)(f, at)
+            head = source.header()
+            if not head.strip():  # nothing but line ends up to the end of the file
+                return
+            fields = header_fields(head)
+            length = int(fields.get("content-length", 0))
+            kind = fields.get("warc-type", "")
             row = {
-                "page_id": of_urn(fields.get("WARC-Record-ID")),
-                "target_uri": fields.get("WARC-Target-URI", ""),
-                "record_type": fields["WARC-Type"],
-                "payload_bytes": int(fields.get("X-Payload-Length", -1)),
-                "digest": base64.b32decode(digest[5:]).hex() if digest.startswith("sha1:") else None,
-                "refers_to": of_urn(fields.get("WARC-Refers-To")),
+                "page_id": of_urn(fields.get("warc-record-id")),
+                "target_uri": fields.get("warc-target-uri", ""),
+                "record_type": kind,
+                "digest": of_digest(fields.get("warc-payload-digest", "")),
+                "refers_to": of_urn(fields.get("warc-refers-to")),
                 "payload": None,
             }
-            wanted = self.wanted(row)
-            length = self.member_length(first)
-            if not (wanted and payloads) and length:
-                at += length
-            else:
-                block = bytearray(rest) if wanted and payloads else None
-                while not inflate.eof:
-                    source = source or f.read(1 << 16)
-                    if not source:
-                        raise ValueError("cut off in a record")
-                    piece = inflate.decompress(source, 1 << 20)
-                    source = inflate.unconsumed_tail
-                    if block is not None:
-                        block += piece
-                at = f.tell() - len(inflate.unused_data)
-                if block is not None:
-                    content = bytes(block[: int(fields["Content-Length"])])
-                    row["payload"] = content.partition(b"\r\n\r\n")[2] if row["record_type"] == "response" else b""
-            if wanted:
+            stated = fields.get("x-payload-length", "")
+            row["payload_bytes"] = int(stated) if stated.isdigit() else None
+            http = "application/http" in fields.get("content-type", "").lower()
+            if row["payload_bytes"] is None and kind != "revisit" and not http:
+                row["payload_bytes"] = length
+            # The payload's length of a foreign HTTP record is known when its block is read.
+            untold = row["payload_bytes"] is None and http and kind != "revisit"
+            block = None
+            if untold and (payloads or "payload_bytes" in self.needed()) or payloads and self.wanted(row):
+                block = source.block(length)
+                content = block.partition(b"\r\n\r\n")[2] if http else block
+                if untold:
+                    row["payload_bytes"] = len(content)
+                if payloads:
+                    row["payload"] = b"" if kind == "revisit" else content
+            at = source.end(length, block is None)
+            if self.wanted(row):
                 yield row
 
-    @staticmethod
-    def member_length(start: bytes) -> int:
-        """Length of this gzip member by its sl field, 0 if it has none."""
-        if len(start) < 24 or not start[3] & 4:
-            return 0
-        end = 12 + struct.unpack_from("<H", start, 10)[0]
-        at = 12
-        while at + 4 <= end:
-            name, size = struct.unpack_from("<2sH", start, at)
-            if name == b"sl" and size == 8:
-                return struct.unpack_from("<I", start, at + 4)[0]
-            at += 4 + size
-        return 0
+    def needed(self) -> set[str]:
+        """Columns that are asked for or compared."""
+        return {f.name for f in self.schema.fields} | {name for name, *_ in self.tests} if self.schema else set(HEADER_COLUMNS)
 
 
 class WarcSource(DataSource):
