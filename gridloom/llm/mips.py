@@ -1,15 +1,16 @@
 """Exact top-k inner products by norm-bucketed retrieval.
 
-Vectors are sorted by length and cut into buckets of at most ``BUCKET`` rows. Each query starts with a threshold: its k-th
-best score among the ``SEEDS`` longest vectors, a bounded set. Against a bucket whose longest vector has length L, a
-query q with threshold t needs a cosine of t / (|q| L) or more. Where that is over 1 the bucket is passed over; where it
-is ``COSINE`` or more, coordinate pruning keeps the rows whose normalized values at the query's largest coordinates lie in
-the range that such a cosine allows; else length pruning keeps the rows of length t / |q| or more. The rows that stay
-are verified by their integer products, and raise the threshold for the rows after them.
-
-Queries travel in blocks: a block of queries meets each group of buckets once, by an equi-join on the group's number.
-Every (query, bucket) pair sends on k rows at most; the best k of a query are ranked at the end, with a limit before the
-shuffle.
+Vectors are sorted by length and cut into buckets of at most ``BUCKET`` rows, up to ``GROUP`` of which travel together. Each
+query starts with a threshold: its k-th best score among the ``SEEDS`` longest vectors, a bounded set. Against a bucket whose
+longest vector has length L, a query q with threshold t needs a cosine of t / (|q| L) or more. Where that is over 1 the bucket
+and all after it are passed over; where it is ``COSINE`` or more, coordinate pruning keeps the rows whose normalized values at
+the query's largest coordinates lie in the range that such a cosine allows; else length pruning keeps the rows of length
+t / |q| or more. The rows that stay are verified by their integer products, and raise the threshold for the buckets after them.
+
+Queries travel in blocks of similar t / |q|, which is the length that a vector needs. Groups are put on at most ``LEVELS``
+levels by the length of their longest vector; a block is sent to the groups of the levels that reach the least length that
+one of its queries needs, each once, by an equi-join on level and place, and to no others. Every (query, group) pair sends on
+k rows at most; the best k of a query are ranked at the end, with a limit before the shuffle.
 
 Defined cases: vectors that are null, or hold null or non-finite components, take no part, neither as queries nor as
 candidates; a vector's candidates are those of as many components as its own and of another vec_id; ties go to the
@@ -33,8 +34,10 @@ SEEDS = 4096
 SEED_BYTES = 4 << 20
 COSINE = 0.4
 FOCUS = 4
-#: Buckets that a block of queries meets in one group.
-GROUP = 4
+#: Buckets that travel together, and their bytes at most.
+GROUP, GROUP_BYTES = 4, 16 << 20
+#: Levels of group lengths, by which groups out of a block's reach are known, at most.
+LEVELS = 256
 SLACK = 1e-9
 
 
@@ -72,8 +75,12 @@ def matrix(batch, name: str) -> tuple[np.ndarray, np.ndarray]:
     return column.values.to_numpy(), column.offsets.to_numpy()
 
 
-def buckets(rows: DataFrame, size: int) -> DataFrame:
-    """Rows in their order as blocks (grp, dim, n, ids, data, norms, high): high is the largest length."""
+BLOCK = "no long, dim int, ids binary, data binary, norms binary, t binary, edge double"
+
+
+def blocks(rows: DataFrame, size: int, queries: bool = False) -> DataFrame:
+    """Rows (vec_id, v, norm2, dim, t) in their order as blocks, each of one dim and sorted by length. ``edge`` is the largest
+    length of a block, or, of a block of queries, the least length that one of them needs of a vector."""
 
     def run(batches):
         from pyspark import TaskContext
@@ -87,27 +94,37 @@ def buckets(rows: DataFrame, size: int) -> DataFrame:
             ids = np.array([r[0] for r in rows_], dtype=np.int64)
             data = np.array([r[1] for r in rows_], dtype=np.int64).reshape(len(rows_), dim)
             norms = np.sqrt(np.array([r[2] for r in rows_], dtype=np.float64))
+            t = np.array([r[3] for r in rows_], dtype=np.float64)
             order = np.argsort(-norms, kind="stable")
+            edge = float(needed(t, norms).min() if queries else norms.max())
             return pa.RecordBatch.from_pydict(
                 {
                     "no": pa.array([part * 1_000_003 + seq], pa.int64()), "dim": pa.array([dim], pa.int32()),
                     "ids": [ids[order].tobytes()], "data": [data[order].tobytes()], "norms": [norms[order].tobytes()],
+                    "t": [t[order].tobytes()], "edge": [edge],
                 }
             )
 
         for batch in batches:
-            ids, norm2, dims = (batch.column(k).to_numpy() for k in (0, 2, 3))
+            ids, norm2, dims, t = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 2, 3, 4))
             values, ends = matrix(batch, "v")
             for k in range(batch.num_rows):
                 dim = int(dims[k])
                 rows_ = held.setdefault(dim, [])
-                rows_.append((ids[k], values[ends[k] : ends[k + 1]], norm2[k]))
-                if len(rows_) >= size:
+                rows_.append((ids[k], values[ends[k] : ends[k + 1]], norm2[k], t[k]))
+                if len(rows_) >= min(size, max(BUCKET // 64, GROUP_BYTES // (8 * max(dim, 1)))):
                     yield block(dim, held.pop(dim))
         for dim, rows_ in held.items():
             yield block(dim, rows_)
 
-    return rows.mapInArrow(run, "no long, dim int, ids binary, data binary, norms binary")
+    return rows.select("vec_id", "v", "norm2", "dim", "t").mapInArrow(run, BLOCK)
+
+
+def needed(t: np.ndarray, norms: np.ndarray) -> np.ndarray:
+    """The least length of a vector whose product with a query can be t; -inf where there is no such bound."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        need = np.where((t > 0) & (norms > 0), t / norms * (1 - SLACK), -np.inf)
+    return np.where(np.isnan(t), -np.inf, need)
 
 
 def search_bucket(q, q_norm, q_id, t, data, norms, ids, k, big):
@@ -146,9 +163,84 @@ def search_bucket(q, q_norm, q_id, t, data, norms, ids, k, big):
     return ids[rows[top]], score[top]
 
 
+def search_group(q, q_norm, q_id, t, data, norms, ids, k, big):
+    """The best k of a group for one query, bucket by bucket, the threshold rising; as (ids, scores), or None."""
+    held = None
+    for start in range(0, len(ids), BUCKET):
+        if t is not None and q_norm > 0 and t / q_norm > norms[start] * (1 + SLACK):
+            break
+        own = slice(start, start + BUCKET)
+        found = search_bucket(q, q_norm, q_id, t, data[own], norms[own], ids[own], k, big)
+        if found is None:
+            continue
+        if held is not None:
+            found = np.concatenate([held[0], found[0]]), np.concatenate([held[1], found[1]])
+            top = best(found[1], found[0], k)
+            found = found[0][top], found[1][top]
+        held = found
+        if len(held[0]) == k and (t is None or held[1][-1] > t):
+            t = float(held[1][-1])
+    return held
+
+
+def with_thresholds(queries: DataFrame, seeds: dict[int, tuple[np.ndarray, np.ndarray]], k: int) -> DataFrame:
+    """queries and t, their k-th best score among the seeds of their dim (null if there are fewer), and need."""
+
+    def run(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                q_ids, norm2, dims = (batch.column(c).to_numpy() for c in (0, 2, 3))
+                lists = batch.column(1).to_pylist()
+                t = np.full(batch.num_rows, np.nan)
+                for dim in set(dims.tolist()) & set(seeds):
+                    own = np.flatnonzero(dims == dim)
+                    q = np.array([lists[j] for j in own], dtype=np.int64).reshape(len(own), dim)
+                    ids, data = seeds[dim]
+                    big = float(np.abs(q).max(initial=0)) * float(np.abs(data).max(initial=0)) * max(dim, 1)
+                    score = exact(q, data, big)
+                    for j, row in zip(own, score, strict=True):
+                        others = row[ids != q_ids[j]]
+                        if len(others) >= k:
+                            t[j] = np.partition(others, len(others) - k)[len(others) - k]
+                need = pa.array(needed(t, np.sqrt(norm2)))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(t), need], [*batch.schema.names, "t", "need"])
+
+    return queries.select("vec_id", "v", "norm2", "dim").mapInArrow(
+        run, "vec_id long, v array<long>, norm2 double, dim int, t double, need double"
+    )
+
+
+def paired(asked: DataFrame, stored: DataFrame) -> DataFrame:
+    """Blocks of queries (columns q_*) with each group of vectors that may be long enough for one of them."""
+    groups = max(1, stored.count())
+    levels = min(LEVELS, groups)
+    places = -(-groups // levels)
+    cuts = [F.lit(1 - x / levels) for x in range(levels + 1)]
+    # One row of at most LEVELS + 1 lengths for each number of components.
+    edges = F.broadcast(
+        stored.groupBy(F.col("dim").alias("d")).agg(F.percentile_approx("edge", F.array(*cuts), 10_000).alias("cuts"), F.max("edge").alias("top"))
+        .select("d", F.array_distinct(F.concat(F.array("top"), "cuts")).alias("cuts"))
+    )
+    # A group is on the level of the number of cuts above its length; a block goes as far as the cuts reach what it needs.
+    right = stored.join(edges, F.col("dim") == F.col("d")).select(
+        "dim", "ids", "data", "norms", F.size(F.filter("cuts", lambda c: c > F.col("edge"))).alias("level"),
+        F.pmod(F.xxhash64("no"), F.lit(places)).cast("int").alias("place"),
+    )
+    last = F.size(F.filter("cuts", lambda c: c >= F.col("edge")))
+    left = (
+        asked.join(edges, F.col("dim") == F.col("d"))
+        .withColumn("last", last).where("last > 0")
+        .withColumn("q_level", F.explode(F.sequence(F.lit(0), "last")))
+        .withColumn("q_place", F.explode(F.sequence(F.lit(0), F.lit(places - 1))))
+        .select(*(F.col(c).alias(f"q_{c}") for c in ("dim", "ids", "data", "norms", "t")), "q_level", "q_place")
+    )
+    same = (F.col("q_dim") == F.col("dim")) & (F.col("q_level") == F.col("level")) & (F.col("q_place") == F.col("place"))
+    return left.join(right, same)
+
+
 def top_products(queries: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best of vectors for each of queries, both as from ``quantized``."""
-    spark = vectors.sparkSession
     widest = vectors.agg(F.max("dim")).first()[0] or 1
     n = int(max(k + 1, min(SEEDS, SEED_BYTES // (8 * widest))))
     seeds: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -158,39 +250,12 @@ def top_products(queries: DataFrame, vectors: DataFrame, k: int = 5) -> DataFram
         data = np.array([r["v"] for r in own], dtype=np.int64).reshape(len(own), dim)
         seeds[dim] = (np.array([r["vec_id"] for r in own]), data)
 
-    def thresholds(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                dim = row["dim"]
-                q = np.frombuffer(row["data"], dtype=np.int64).reshape(-1, dim)
-                q_ids = np.frombuffer(row["ids"], dtype=np.int64)
-                t = np.full(len(q), np.nan)
-                if dim in seeds:
-                    ids, data = seeds[dim]
-                    big = float(np.abs(q).max(initial=0)) * float(np.abs(data).max(initial=0)) * max(dim, 1)
-                    score = exact(q, data, big)
-                    for j in range(len(q)):
-                        own = score[j][ids != q_ids[j]]
-                        if len(own) >= k:
-                            t[j] = np.partition(own, len(own) - k)[len(own) - k]
-                names = ["no", "dim", "ids", "data", "norms", "t"]
-                yield pa.RecordBatch.from_pylist([{**row, "t": t.tobytes()}], pa.schema(
-                    [(a, b) for a, b in zip(names, [pa.int64(), pa.int32(), *[pa.binary()] * 4], strict=True)]
-                ))
-
-    ordered = vectors.repartitionByRange(F.col("norm2").desc(), "vec_id").sortWithinPartitions(F.col("norm2").desc(), "vec_id")
-    stored = saved(buckets(ordered, BUCKET), "mips-buckets")
-    asked = saved(
-        buckets(queries, QUERY_BLOCK).mapInArrow(
-            thresholds, "no long, dim int, ids binary, data binary, norms binary, t binary"
-        ),
-        "mips-queries",
-    )
-    groups = max(1, -(-stored.count() // GROUP))
-    left = asked.select(*(F.col(c).alias(f"q_{c}") for c in ("dim", "ids", "data", "norms", "t")),
-                        F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("grp"))
-    right = stored.withColumn("at", F.pmod(F.xxhash64("no"), F.lit(groups)).cast("int"))
-    pairs = left.join(right, (F.col("grp") == F.col("at")) & (F.col("q_dim") == F.col("dim")))
+    longest = (F.col("norm2").desc(), F.col("vec_id"))
+    ordered = vectors.withColumn("t", F.lit(None).cast("double")).repartitionByRange(*longest).sortWithinPartitions(*longest)
+    stored = saved(blocks(ordered, BUCKET * GROUP), "mips-groups")
+    hardest = (F.col("need").desc(), F.col("vec_id"))
+    of_queries = with_thresholds(queries, seeds, k).repartitionByRange(*hardest).sortWithinPartitions(*hardest)
+    asked = saved(blocks(of_queries, QUERY_BLOCK, queries=True), "mips-queries")
 
     def search(batches):
         for batch in batches:
@@ -205,7 +270,7 @@ def top_products(queries: DataFrame, vectors: DataFrame, k: int = 5) -> DataFram
                 big = float(np.abs(q).max(initial=0)) * float(np.abs(data).max(initial=0)) * max(dim, 1)
                 out_q, out_v, out_s = [], [], []
                 for j in range(len(q)):
-                    found = search_bucket(q[j], q_norms[j], q_ids[j], None if np.isnan(t[j]) else t[j], data, norms, ids, k, big)
+                    found = search_group(q[j], q_norms[j], q_ids[j], None if np.isnan(t[j]) else t[j], data, norms, ids, k, big)
                     if found is not None:
                         out_q.append(np.full(len(found[0]), q_ids[j]))
                         out_v.append(found[0])
@@ -215,6 +280,7 @@ def top_products(queries: DataFrame, vectors: DataFrame, k: int = 5) -> DataFram
                         {"query_id": np.concatenate(out_q), "vec_id": np.concatenate(out_v), "score": np.concatenate(out_s)}
                     )
 
+    pairs = paired(asked, stored)
     found = pairs.select("q_data", "q_ids", "q_norms", "q_t", "dim", "data", "ids", "norms").mapInArrow(
         search, "query_id long, vec_id long, score long"
     )
