@@ -11,7 +11,8 @@
    all that are gathered there, in cells of bounded size, by signature and then by full sets; only links leave a cell.
    Buckets of unlinked nodes that meet in this way already are passed over. So every pair in a bucket is either in one
    component or compared, and no pairs within a group are emitted.
-5. Components of all links, by alternating large and small stars; a component's id is its smallest doc_id.
+5. Components of all links, by stars of each task's links and then alternating large and small stars; a component's id is
+   its smallest doc_id.
 
 No step brings documents, links or components to the driver. Sets are needed only for nodes in buckets with others; a
 bit map of fixed size (``MAP_BITS``) picks these out while the texts are read again. Sets are lists of 48-bit hashes.
@@ -34,6 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from gridloom.llm.common import own_cache, saved, slices, text_bytes, text_of
+from gridloom.operators.graphs import roots
 
 SLICE_BYTES = 1_500_000
 CACHE_MAX = 300_000
@@ -272,33 +274,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def components(edges: DataFrame, a: str = "node", b: str = "hub") -> DataFrame:
-    """(node, comp) of every node with an edge; comp is the least node that it reaches.
-
-    Alternating large and small stars: each round links a node's neighbours with the least one, from large to small,
-    until nothing changes. Every round is a pre-aggregation and a join by node, both written to the shared folder: so both
-    sides of the join come from plain exchanges, whose hot nodes adaptive execution can split.
-    """
-    u, v = F.greatest(a, b).alias("u"), F.least(a, b).alias("v")
-    edges = saved(edges.where(F.col(a) != F.col(b)).select(u, v).distinct(), "edges")
-    mark = lambda e: tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
-    before = mark(edges)
-    while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(saved(least, "star-minima"), "u").where("v > u AND v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = saved(large, "large-star")
-        low = saved(large.groupBy("u").agg(F.min("v").alias("m")), "star-minima")
-        small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = small.unionByName(low.select("u", F.col("m").alias("v"))).select(
-            F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")
-        )
-        edges = saved(small.distinct(), "small-star")
-        after = mark(edges)
-        if after == before:
-            break
-        before = after
-    roots = edges.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("comp"))
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(roots)
+    """(node, comp) of every node with an edge; comp is the least node that it reaches."""
+    return roots(edges.select(F.col(a).alias("u"), F.col(b).alias("v"))).select("node", F.col("root").alias("comp"))
 
 
 def cells(members: DataFrame) -> DataFrame:
@@ -307,7 +284,9 @@ def cells(members: DataFrame) -> DataFrame:
     size = members.groupBy(F.col("main").alias("m")).agg(
         F.ceil(F.sum(other.cast("int")) / OTHERS).cast("int").alias("n_o"), F.ceil(F.count(F.lit(1)) / ALL).cast("int").alias("n_a")
     )
-    sized = members.join(size, F.col("main") == F.col("m"))
+    # The sizes are written, so that their join can be split, and the rows are dealt anew by node before they multiply.
+    sized = members.join(saved(size, "dedup-cells"), F.col("main") == F.col("m"))
+    sized = saved(sized.select("main", "node", "comp", "n_o", "n_a"), "dedup-sized").repartition("node", "main")
     left = sized.where(other).select(
         "main", F.pmod(F.xxhash64(F.lit(3), "node"), "n_o").cast("int").alias("o"),
         F.explode(F.sequence(F.lit(0), F.col("n_a") - 1)).alias("a"), F.lit(True).alias("other"), "node", "comp",
@@ -410,7 +389,7 @@ def grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
         inside.groupBy("key").agg(F.max(F.struct("comp_size", "comp")).alias("main"), F.min("comp").alias("low"), F.max("comp").alias("high"))
         .where("low != high").select("key", F.col("main.comp").alias("main"), F.col("main.comp_size").alias("main_size"))
     )
-    open_ = saved(inside.join(split, "key").select("key", "main", "main_size", "node", "comp"), "dedup-open")
+    open_ = saved(inside.join(saved(split, "dedup-split"), "key").select("key", "main", "main_size", "node", "comp"), "dedup-open")
     grouped = open_.where("main_size > 1")
     # Nodes that are gathered for one component meet there: a bucket of such nodes alone holds no other pairs.
     home = grouped.groupBy("node").agg(F.max(F.struct("main_size", "main"))["main"].alias("home"))
