@@ -89,6 +89,10 @@ def test_bpe_round_trip(docs, none):
     assert bpe.op8_bpe(none).count() == 0
     odd = ["".join(rnd.choice("ab") for _ in range(rnd.randint(1, 2000))) for _ in range(60)] + ["a" * 3000]
     assert codec.ids(odd) == [enc.encode_ordinary(t) for t in odd]
+    whole = [t for t in odd if len(t) > 1] + ["é日" * 700, "etaoin shrdlu" * 90]
+    for t in whole:  # a piece over rows of any width
+        for width in (2, 7, 512):
+            assert codec._rows(t.encode(), width) == enc._encode_single_piece(t)
 
 
 def test_quality_rules(docs, none, spark):
@@ -143,6 +147,47 @@ def test_warc(spark):
     assert warc.read_warc(spark, empty).count() == 0
 
 
+def test_payloads_that_all_pages_share(spark):
+    """The join back takes no small page, and a payload of most pages is one digest."""
+    rows = [(k, "u", ["short", "x" * 1200, "y" * 1000, "z" * 999][min(k % 7, 3)], "") for k in range(300)]
+    got = {r["page_id"]: r["first"] for r in warc.with_revisits(spark.createDataFrame(rows, PAGES)).collect()}
+    assert got == {k: {1: 295, 2: 296}.get(k % 7) for k in range(300)}
+
+
+FOREIGN = (
+    b"WARC/1.0\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:6a2b8b1c-3d5c-4d8c-8b0e-0a0d7ac1c0aa>\r\nContent-Length: 11\r\n"
+    b"Content-Type: application/warc-fields\r\n\r\nsoftware: x\r\n\r\n"
+    b"WARC/1.0\r\nwarc-type:response\r\nWARC-TARGET-URI: http://a/\r\n b\r\nWarc-Record-Id: <urn:uuid:00000000-0000-0000-0000-000000000001>\r\n"
+    b"WARC-Payload-Digest: sha1:3I42H3S6NNFQ2MSVX7XZKYAYSCX5QBYJ\r\ncontent-type: application/http; msgtype=response\r\ncontent-length: 46\r\n\r\n"
+    b"HTTP/1.1 200 OK\r\nContent-Type: text/x\r\n\r\nhello\r\n\r\n"
+    b"WARC/1.0\r\nWARC-Record-ID: <urn:x-page:7>\r\nWARC-Payload-Digest: md5:xx\r\nContent-Length: 0\r\n\r\n\r\n\r\n"
+)
+
+
+def test_warc_archives_of_other_writers(spark, tmp_path):
+    """Plain and compressed: foreign ids, headers in any case and over lines, types and digests that are missing."""
+    assert FOREIGN.count(b"hello") == 1
+    cuts = [0, *(m.start() for m in re.finditer(rb"WARC/1.0", FOREIGN))][1:] + [len(FOREIGN)]
+    (tmp_path / "plain").mkdir()
+    (tmp_path / "packed").mkdir()
+    (tmp_path / "plain" / "x.warc").write_bytes(FOREIGN)
+    (tmp_path / "packed" / "x.warc.gz").write_bytes(b"".join(gzip.compress(FOREIGN[a:b]) for a, b in zip(cuts, cuts[1:])))
+    for kind in ("plain", "packed"):
+        got = warc.read_warc(spark, f"file://{tmp_path}/{kind}").collect()
+        want = [
+            (None, "", "warcinfo", 11, None, None, b"software: x"),
+            (None, "http://a/ b", "response", 5, "da39a3ee5e6b4b0d3255bfef95601890afd80709", None, b"hello"),
+            (7, "", "", 0, None, None, b""),
+        ]
+        assert [tuple(r[:6]) + (bytes(r[6]),) for r in got] == want
+        slim = warc.read_warc(spark, f"file://{tmp_path}/{kind}", ["record_type", "payload_bytes"]).where("payload_bytes = 5").collect()
+        assert [tuple(r) for r in slim] == [("response", 5)]
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "x.warc.gz").write_bytes(gzip.compress(FOREIGN))
+    with pytest.raises(Exception, match="more than one record"):
+        warc.read_warc(spark, f"file://{tmp_path}/bad").collect()
+
+
 def test_warc_reader_on_foreign_members(tmp_path):
     """Members without the sl field, as other writers make them."""
     import pyarrow as pa
@@ -174,6 +219,37 @@ def test_top_products(spark):
     assert mips.op6_topk(df.limit(0)).count() == 0
 
 
+def test_blocks_go_only_to_groups_in_reach(spark, monkeypatch):
+    """Lengths that fall off quickly: few of all pairs of blocks and groups are made, and every result is there."""
+    monkeypatch.setattr(mips, "BUCKET", 16)
+    monkeypatch.setattr(mips, "GROUP", 2)
+    monkeypatch.setattr(mips, "QUERY_BLOCK", 8)
+    monkeypatch.setattr(mips, "SEEDS", 16)
+    rng = np.random.default_rng(6)
+    rows = [(k, [float(x) for x in rng.normal(size=6) * 1.02 ** -(k % 900)]) for k in range(900)]
+    v = mips.saved(mips.quantized(spark.createDataFrame(rows, "vec_id long, embedding array<double>")), "test-mips")
+    made = []
+
+    def counted(asked, stored, paired=mips.paired):
+        made.extend([paired(asked, stored).count(), asked.count() * stored.count()])
+        return paired(asked, stored)
+
+    monkeypatch.setattr(mips, "paired", counted)
+    got = {tuple(r) for r in mips.top_products(v.where("vec_id % 10 = 0"), v, 3).collect()}
+    ints = {k: np.floor(256 * np.array(x)).astype(int) for k, x in rows}
+    want = set()
+    for q in range(0, 900, 10):
+        top = sorted((-int(ints[q] @ y), k) for k, y in ints.items() if k != q)[:3]
+        want |= {(q, r + 1, k, -s) for r, (s, k) in enumerate(top)}
+    assert got == want
+    assert made[0] < made[1] / 2, made
+
+
+def test_products_beyond_floating_point():
+    a, b = np.array([[2**31, 3]]), np.array([[2**30 + 1, 5], [1, 7]])
+    assert mips.exact(a, b, 2.0**62).tolist() == [[2**61 + 2**31 + 15, 2**31 + 21]]
+
+
 def test_mixing(docs, none, spark):
     rows = [(k, prose(rnd.choice([3, 10, 60, 300])), "abcdef"[k % 6] if k % 3 else "hot") for k in range(600)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
@@ -208,6 +284,34 @@ def test_mixing(docs, none, spark):
     assert mixed.columns == docs.columns and mixing.mix(none).count() == 0
 
 
+def test_expected_copies(spark):
+    """Over many seeds, a document's copies come to target / size on average: also in sources that the root settles alone."""
+    size = {"a": [5, 5, 5, 5, 5, 5, 5, 5], "b": [700, 90, 31, 2, 1], "c": [40], "d": [k % 17 + 1 for k in range(400)]}
+    rows = [(k, "w " * n, s) for s, ns in size.items() for k, n in enumerate(ns, 1000 * ord(s))]
+    sized = mixing.saved(spark.createDataFrame(rows, "doc_id long, text string, source string"), "test-mix")
+    # One table with every seed's documents as sources of their own: the same rounding, many draws.
+    p = {"a": 0.25, "b": 0.4, "c": 0.7, "d": 0.55}
+    seeds = 120
+    many = sized.select("doc_id", "source", F.size(F.split(F.trim("text"), " ")).cast("long").alias("size")).crossJoin(spark.range(seeds))
+    prob = F.create_map(*(F.lit(x) for kv in p.items() for x in kv))
+    # Another doc_id for each seed gives another key.
+    many = many.select(
+        (F.col("doc_id") + 1_000_000 * F.col("id")).alias("doc_id"), F.concat("source", F.lit("-"), "id").alias("source"), "size",
+        F.lit(1).cast("long").alias("n"), F.lit(0).alias("whole"), prob[F.col("source")].alias("p"),
+    )
+    got = mixing.rounded(many).toPandas()
+    got["kind"] = got["source"].str[0]
+    got["doc"] = got["doc_id"] % 1_000_000
+    assert set(got["p"]) <= {0.0, 1.0} and len(got) == seeds * len(rows)
+    mean = got.groupby(["kind", "doc"])["p"].mean()
+    for (kind, doc), x in mean.items():
+        assert abs(x - p[kind]) < 4.5 * math.sqrt(0.25 / seeds), (kind, doc, x)
+    total = got.assign(mass=got["p"] * got["size"]).groupby(["kind", "source"])["mass"].sum()
+    for (kind, _), x in total.items():
+        last = {"a": 5, "b": 700, "c": 40, "d": 17}[kind]
+        assert abs(x - p[kind] * sum(size[kind])) <= last
+
+
 def test_targets_with_caps(spark):
     rows = [("a", 1), ("b", 1000), ("c", 10), (None, 0)]
     got = {r["source"]: r["target"] for r in mixing.targets(spark.createDataFrame(rows, "source string, source_size long")).collect()}
@@ -242,6 +346,72 @@ def test_classifier_counts_all_training_rows(spark):
     assert np.abs(model.scale - (log[1] - log[0])).max() < 1e-5
 
 
+def test_classifier_against_brute_force(spark):
+    """Log-count ratios and the descent's optimum, from n-grams of the texts in plain Python."""
+    rows = [(k, prose(30 + k % 9) if k % 3 else "BUY NOW!! w1 " * (2 + k % 4), int(k % 3 > 0)) for k in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int").repartition(4)
+    model = pickle.loads(classify.fit(df.select("doc_id", "text"), df.select("doc_id", F.col("quality").alias("label"))))
+    order = [r["doc_id"] for r in df.select("doc_id", F.xxhash64(F.lit(23), "doc_id").alias("key")).orderBy("key").collect()]
+    text, label = {k: t for k, t, _ in rows}, {k: y for k, _, y in rows}
+    grams = {}
+    for k in order:
+        words = [classify.word_codes(w) for w in text[k].split()]
+        own = set()
+        for c in (0, 1):
+            own |= {w[c] % 2**64 for w in words}
+            own |= {(a[c] * int(classify.MIX) + b[c] + c) % 2**64 for a, b in zip(words, words[1:])}
+        core = [w[0] for w in words]
+        like = sum(w in core[max(i - 2, 0) : i] for i, w in enumerate(core))
+        own |= set(range(1000, 1000 + like * 100 // len(core))) | {6}
+        grams[k] = sorted({x * int(classify.MIX) % 2**64 >> (64 - classify.BITS) for x in own})
+    ratio = np.zeros(classify.DIM)
+    count = {c: collections.Counter(x for k in order if label[k] == c for x in grams[k]) for c in (0, 1)}
+    size = {c: sum(label[k] == c for k in order) for c in (0, 1)}
+    for x in range(classify.DIM):
+        ratio[x] = math.log((count[1][x] + 1) / (size[1] + 2)) - math.log((count[0][x] + 1) / (size[0] + 2))
+    assert np.abs(model.scale - ratio).max() < 1e-5
+    # The weights are near the optimum of the regularized hinge loss: the duality gap is small.
+    y = np.array([1.0 if label[k] else -1.0 for k in order])
+    x = np.zeros((len(order), classify.DIM + 1))
+    for r, k in enumerate(order):
+        x[r, grams[k]] = ratio[grams[k]]
+        x[r] /= np.sqrt((x[r] ** 2).sum()) + 1e-9
+        x[r, -1] = 1.0
+    flat = np.concatenate([np.array(grams[k]) for k in order])
+    ends = np.concatenate([[0], np.cumsum([len(grams[k]) for k in order])])
+    w = classify.descend(ends, flat, y, ratio)
+    cost = np.where(y > 0, len(y) / (2 * (y > 0).sum()), len(y) / (2 * (y < 0).sum())) * classify.COST * 10
+    primal = 0.5 * w @ w + (cost * np.maximum(0, 1 - y * (x @ w))).sum()
+    slow = np.zeros(len(y))  # plain projected ascent on the dual
+    q = (x * y[:, None]) @ (x * y[:, None]).T
+    step = 1.0 / np.linalg.eigvalsh(q)[-1]
+    for _ in range(20_000):
+        slow = np.clip(slow + step * (1 - q @ slow), 0, cost)
+    dual = slow.sum() - 0.5 * slow @ q @ slow
+    assert dual <= primal * (1 + 1e-9) and primal - dual < 0.02 * abs(dual), (primal, dual)
+    shown = model.weights / np.where(ratio == 0, 1, ratio)
+    assert np.abs(shown[ratio != 0] - w[:-1][ratio != 0]).max() < 1e-3
+
+
+def test_bound_of_the_sample_does_not_look_at_lengths(spark):
+    """The descent takes rows in the order of their hashes until they have so many features, long ones as they come."""
+    rows = [(k, prose(400 if k % 2 else 5), k % 2) for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int").repartition(3)
+    order = [r["doc_id"] for r in df.select("doc_id", F.xxhash64(F.lit(23), "doc_id").alias("key")).orderBy("key").collect()]
+    ends, ids = classify.features([rows[k][1] for k in order])
+    limit = int(ends[20]) + 1  # the 21st row in order is taken, the 22nd is not
+
+    def spied(y, lists, count, n, fitted=classify.fitted):
+        return [len(x) for x in lists]
+
+    classify_fitted, classify.fitted = classify.fitted, spied
+    try:
+        taken = pickle.loads(classify.fit(df.select("doc_id", "text"), df.select("doc_id", F.col("quality").alias("label")), most=limit))
+    finally:
+        classify.fitted = classify_fitted
+    assert taken == np.diff(ends[:22]).tolist()
+
+
 def shingles(text, width, lower=str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")):
     w = WORD.findall((text or "").translate(lower))
     return frozenset(tuple(w[i : i + width]) for i in range(len(w) - width + 1)) or (frozenset([tuple(w)]) if w else frozenset())
@@ -356,8 +526,33 @@ def test_main_text_of_a_large_host_without_articles(spark):
         inner = "".join(f"<{t}>{x}</{t}>" for t, x in zip(["p"] * n + tags, lines, strict=True))
         rows.append((k, f"http://large/{k}", f"<body><div class=x>{inner}</div><div class=y><p>Always the same</p></div></body>", "clash"))
         want[k] = "\n".join(lines)
-    got = {r["page_id"]: r["text"] for r in sitetree.op3_main_text(spark.createDataFrame(rows, PAGES)).collect()}
-    assert got == want
+    pages = spark.createDataFrame(rows, PAGES)
+    assert {r["page_id"]: r["text"] for r in sitetree.op3_main_text(pages).collect()} == want
+    # The same where the lists of unimportant nodes are too long to be sent to all tasks.
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert {r["page_id"]: r["text"] for r in sitetree.op3_main_text(pages.where("page_id < 600")).collect()} == {k: want[k] for k in range(600)}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_importance_like_brute_force(spark):
+    """Entropies of presentation and content of every node, from counts in plain Python."""
+    rows = [(f"h{k % 2}", rnd.randrange(5), rnd.randrange(3), rnd.randrange(1 + k % 40), k) for k in range(400)]
+    nodes = spark.createDataFrame(rows, "host string, path long, style long, content long, page long")
+    got = {(r["host"], r["path"]): r for r in sitetree.importance(nodes).collect()}
+
+    def entropy(values):
+        n = collections.Counter(values)
+        return -sum(c / len(values) * math.log(c / len(values)) for c in n.values()) / math.log(len(values)), len(n)
+
+    assert set(got) == {r[:2] for r in rows}
+    for key, r in got.items():
+        own = [x for x in rows if x[:2] == key]
+        (look, kinds), (content, _) = entropy([x[2] for x in own]), entropy([x[3] for x in own])
+        weight = sitetree.GAMMA**kinds
+        assert r["seen"] == len(own) and abs(r["content"] - content) < 1e-9
+        assert abs(r["importance"] - max((1 - weight) * look + weight * content, content)) < 1e-9
 
 
 def test_main_text_in_elements_with_noise_words(spark):
