@@ -2,8 +2,9 @@
 
 A cell's corners are numbered by bits (z, y, x); its edges are (axis, low corner). On each face, seen from outside and run
 through counter-clockwise, the contour goes from where the walk leaves the inside to where it last entered it. Each edge
-that is crossed is left in just one of its two faces, so these steps close to loops, which are cut into fans. On faces with
-two inside corners across, each corner is cut off by itself; both cells of a face see it alike, so the surface is closed.
+that is crossed is left in just one of its two faces, so these steps close to loops, which are cut into triangles without a cut
+across a face of the cell, which the cell beyond could make too. On faces with two inside corners across, each corner is cut
+off by itself; both cells of a face see it alike, so the surface is closed.
 """
 
 from __future__ import annotations
@@ -46,6 +47,29 @@ def faces() -> list[list[int]]:
     return out
 
 
+def on_one_face(e: int, f: int) -> bool:
+    """Are two edges on a common face of the cell?"""
+    (axis, low, _), (other, low_f, _) = edge_ends(e), edge_ends(f)
+    return any(k not in (axis, other) and not (low ^ low_f) & BITS[k] for k in range(3))
+
+
+def cut(loop: list[int]) -> list[tuple[int, int, int]]:
+    """Triangles of a loop of edges, with as few cuts between edges of one face as there can be (the first such way)."""
+
+    @lru_cache(maxsize=None)
+    def best(i: int, j: int) -> tuple[int, tuple]:
+        if j - i < 2:
+            return 0, ()
+        ways = []
+        for k in range(i + 1, j):
+            bad = sum(on_one_face(loop[a], loop[b]) for a, b in ((i, k), (k, j)) if b - a > 1)
+            (m, left), (n, right) = best(i, k), best(k, j)
+            ways.append((m + n + bad, left + ((loop[i], loop[k], loop[j]),) + right))
+        return min(ways, key=lambda w: w[0])
+
+    return list(best(0, len(loop) - 1)[1])
+
+
 @lru_cache(maxsize=1)
 def triangles() -> list[list[tuple[int, int, int]]]:
     """Triangles (three edge numbers) of each of the 256 cases; bit k of a case: corner k is inside."""
@@ -68,7 +92,7 @@ def triangles() -> list[list[tuple[int, int, int]]]:
             while e != start:
                 loop.append(e)
                 e = left.pop(e)
-            found += [(loop[0], loop[k], loop[k + 1]) for k in range(1, len(loop) - 1)]
+            found += cut(loop)
         out.append(found)
     return out
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from gridloom.operators import fields, filters, flow, graphs, kernels, meshes, partition, rag, skeletons, surfaces, warp
@@ -315,17 +317,47 @@ def map_coordinates(spark, d):
     return rounded(warp.map_coordinates(px, at, shape, 1, -1.0), "value", digits=5)
 
 
-@query("affine_cubic")
+KEYS = "CASE WHEN {t} <= 1 THEN (1.5 * {t} - 2.5) * {t} * {t} + 1 WHEN {t} < 2 THEN ((-0.5 * {t} + 2.5) * {t} - 4) * {t} + 2 ELSE 0 END"
+
+
+@query("affine_cubic", w(PX, AT) + f"""SELECT tg.node_id AS target, round(sum(({KEYS.format(t='abs(cy - y_)')}) * ({KEYS.format(t='abs(cx - x_)')}) * coalesce(value, 0)), 11) + 0.0 AS value
+FROM (SELECT node_id, cy, cx, floor(cy) + a AS y_, floor(cx) + b AS x_ FROM tg, range(-1, 3) p(a), range(-1, 3) q(b)) tg
+LEFT JOIN px ON px.y = y_ AND px.x = x_ GROUP BY 1""")
 def affine_cubic(spark, d):
     px, shape = grid(spark, d)
-    return warp.affine_transform(px, warp_targets(px), MATRIX, shape, 3, 0.0)
+    return rounded(warp.affine_transform(px, warp_targets(px), MATRIX, shape, 3, 0.0), "value", digits=11)
+
+
+def _spline(t, n):
+    return " + ".join(f"{(-1) ** k * math.comb(n + 1, k) / math.factorial(n)!r} * pow(greatest({t} + {(n + 1) / 2 - k!r}, 0), {n})" for k in range(n + 2))
+
+
+def _spline_sql(order):
+    base = "floor({} + 0.5)" if order % 2 == 0 else "floor({})"
+    low, high = -(order // 2), order // 2 + 1 + order % 2
+    return w(PX, AT) + f"""SELECT tg.node_id AS target, round(sum(({_spline('abs(cy - y_)', order)}) * ({_spline('abs(cx - x_)', order)}) * coalesce(value, 0)), 11) + 0.0 AS value
+FROM (SELECT node_id, cy, cx, {base.format('cy')} + a AS y_, {base.format('cx')} + b AS x_ FROM tg, range({low}, {high}) p(a), range({low}, {high}) q(b)) tg
+LEFT JOIN px ON px.y = y_ AND px.x = x_ GROUP BY 1"""
 
 
-@query("resample_half")
+def _register_splines():
+    for order in (2, 4, 5):
+
+        def run(spark, d, order=order):
+            px, shape = grid(spark, d)
+            return rounded(warp.affine_transform(px, warp_targets(px), MATRIX, shape, order, 0.0), "value", digits=11)
+
+        query(f"affine_spline_{order}", _spline_sql(order))(run)
+
+
+_register_splines()
+
+
+@query("resample_half", w(PX, _filtered("g", 0.5, 0, 0)) + """SELECT node_id AS target, round(value, 5) + 0.0 AS value FROM g WHERE y % 2 = 0 AND x % 2 = 0""")
 def resample_half(spark, d):
     px, shape = grid(spark, d)
     own = px.where("y % 2 = 0 AND x % 2 = 0").select(F.col("node_id").alias("target"), "z", (F.col("y") / 2).alias("y"), (F.col("x") / 2).alias("x"))
-    return warp.resample(px, own, [(2.0, 0.0, 0.0), (0.0, 2.0, 0.0)], shape)
+    return rounded(warp.resample(px, own, [(2.0, 0.0, 0.0), (0.0, 2.0, 0.0)], shape), "value", digits=5)
 
 
 # Meshes and skeletons, made of the event grid's squares and of order lines.
@@ -383,7 +415,16 @@ def lattice_to_physical(spark, d):
     return meshes.lattice_to_physical(meshes.merge_skeletons(*fragments(spark, d))[0], (2.5, 1.0, 0.5))
 
 
-@query("minimum_spanning_forest")
+#: The fragments' graph, lighter edges than an edge around its first end, and what stays unconnected by these.
+FOREST = """me AS (SELECT DISTINCT least(a.vertex_id, b.vertex_id) AS u, greatest(a.vertex_id, b.vertex_id) AS v, (a.x - b.x) * (a.x - b.x) AS len
+  FROM mv a JOIN mv b ON a.label = b.label AND a.z = b.z AND a.y = b.y AND b.x = (a.x + 1) % 13 WHERE a.vertex_id <> b.vertex_id),
+ge AS (SELECT row_number() OVER (ORDER BY u, v) - 1 AS edge_id, u, v, len FROM me),
+gb AS (SELECT u AS a, v AS b, len, edge_id FROM ge UNION ALL SELECT v, u, len, edge_id FROM ge),
+lt(e, len, node) AS (SELECT edge_id, len, u FROM ge UNION SELECT lt.e, lt.len, gb.b FROM lt JOIN gb ON lt.node = gb.a
+  WHERE gb.len < lt.len OR (gb.len = lt.len AND gb.edge_id < lt.e))"""
+
+
+@query("minimum_spanning_forest", rec(SK, FOREST) + "SELECT edge_id, u, v FROM ge WHERE NOT EXISTS (SELECT 1 FROM lt WHERE lt.e = ge.edge_id AND lt.node = ge.v)")
 def minimum_spanning_forest(spark, d):
     vertices, edges = meshes.merge_skeletons(*fragments(spark, d))
     return meshes.minimum_spanning_forest(vertices, meshes.skeleton_to_graph(vertices, edges))
@@ -405,9 +446,13 @@ def draw_instances_all(spark, d):
     return meshes.draw_instances(px.select(F.col("node_id").alias("order"), F.col("other").alias("label"), "z", "y", "x"), shape, 1)
 
 
-@query("marching_cubes_vertices")
+@query("marching_cubes_vertices", w("""vx AS (SELECT event_id AS node_id, event_id // 100 AS z, event_id // 10 % 10 AS y, event_id % 10 AS x, value FROM events),
+cr AS (SELECT a.node_id * 3 + axis AS key, a.z + CASE WHEN axis = 0 THEN t ELSE 0 END AS z, a.y + CASE WHEN axis = 1 THEN t ELSE 0 END AS y, a.x + CASE WHEN axis = 2 THEN t ELSE 0 END AS x
+  FROM (SELECT a.*, axis, (60.0::DOUBLE - a.value) / (b.value - a.value) AS t FROM vx a, (VALUES (0, 1, 0, 0), (1, 0, 1, 0), (2, 0, 0, 1)) o(axis, dz, dy, dx), vx b
+    WHERE b.z = a.z + dz AND b.y = a.y + dy AND b.x = a.x + dx AND (a.value > 60) <> (b.value > 60)) a)""") + """
+SELECT row_number() OVER (ORDER BY key) - 1 AS vertex_id, round(z, 9) + 0.0 AS z, round(y, 9) + 0.0 AS y, round(x, 9) + 0.0 AS x FROM cr""")
 def marching_cubes_vertices(spark, d):
-    return surfaces.marching_cubes(*event_volume(spark, d), 60.0)[0]
+    return rounded(surfaces.marching_cubes(*event_volume(spark, d), 60.0)[0], "z", "y", "x", digits=9)
 
 
 @query("marching_cubes_faces")

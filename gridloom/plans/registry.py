@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridloom.plans import graphs, relational
+from gridloom.plans import graphs, properties, relational
 
-QUERIES: dict = relational.QUERIES | graphs.QUERIES
-ORACLES: dict[str, str] = relational.ORACLES | graphs.ORACLES
+QUERIES: dict = relational.QUERIES | graphs.QUERIES | properties.QUERIES
+ORACLES: dict[str, str] = relational.ORACLES | graphs.ORACLES | properties.ORACLES
