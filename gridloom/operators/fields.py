@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.grid import with_targets
-from gridloom.plans.solve import solve
+from gridloom.functions.store import stored
+from gridloom.plans.solve import in_parts, solve
 
 
 def distance_transform(pixels: DataFrame, shape, sampling=(1.0, 1.0, 1.0)) -> DataFrame:
@@ -221,41 +222,66 @@ def geodesic_distance_field(pixels: DataFrame, shape, sampling=(1.0, 1.0, 1.0))
 
 
 def geodesic_distances(pixels: DataFrame, points: DataFrame, shape, sampling=(1.0, 1.0, 1.0)) -> DataFrame:
-    """(a, b, distance) between points (point_id, node_id) by one front a point, the mean of both directions, 0 to itself.
-    For few points: each is a solve of its own."""
-    ids = [(r["point_id"], r["node_id"]) for r in points.collect()]  # the caller's short list of points
-    out = None
-    for i, node in ids:
-        field = geodesic_distance_field(pixels.withColumn("source", F.col("node_id") == node), shape, sampling)
-        part = points.join(field, "node_id").select(F.lit(i).alias("a"), F.col("point_id").alias("b"), "distance")
-        out = part if out is None else out.unionByName(part)
-    back = out.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("distance").alias("back"))
-    both = out.join(back, ["a", "b"])
-    return both.select("a", "b", F.when(F.col("a") == F.col("b"), 0.0).otherwise((F.col("distance") + F.col("back")) / 2).alias("distance"))
-
-
-def dijkstra_path(pixels: DataFrame, shape, target: int, connectivity: int = 1, spacing=(1.0, 1.0, 1.0), mode: str = "physical") -> DataFrame:
-    """(step, node_id): the cheapest path from a source to the target, along predecessors; an error if there is none. The
-    walk is made in the task that has solved the target's component."""
+    """(a, b, distance) between points (point_id, node_id), the mean of both directions, 0 to itself, inf between components.
+    One front a point, all in one plan: each point's component of the pixels is a part of its own, solved in a task."""
+    edges = stored(mask_edges(pixels, shape, 1, (1.0, 1.0, 1.0)))
+    steps = grid_steps(shape, 1)
+    axes = F.array(*(F.lit([abs(d) for d in o].index(1)) for o in steps))
+    n = shape[0] * shape[1] * shape[2]
+    axis = F.element_at(axes, (F.call_function("div", F.col("edge_id"), F.lit(n)) + 1).cast("int"))
+    nodes = pixels.select(F.col("node_id").alias("node"), "speed")
+    named, inner = in_parts(nodes, edges, None)
+    asked = points.join(named.select(F.col("node").alias("node_id"), F.col("part").alias("p")), "node_id")
+    own = asked.join(named, F.col("p") == F.col("part")).select("point_id", "node", "speed", (F.col("node") == F.col("node_id")).alias("source"))
+    own_edges = asked.join(inner, F.col("p") == F.col("part")).select(F.col("point_id").alias("point_e"), "edge_id", "u", "v", axis.alias("axis"))
+
+    def run(key, pdf: pd.DataFrame, edges_: pd.DataFrame) -> pd.DataFrame:
+        pdf, edges_ = pdf.sort_values("node"), edges_.sort_values("edge_id")
+        ids = pdf["node"].to_numpy()
+        u, v = np.searchsorted(ids, edges_["u"]), np.searchsorted(ids, edges_["v"])
+        time = fast_marching(len(ids), u, v, edges_["axis"].to_numpy(), pdf["speed"].to_numpy(), pdf["source"].to_numpy(), sampling)
+        return pd.DataFrame({"a": key[0], "node_id": ids, "distance": time})
+
+    found = own.groupBy("point_id").cogroup(own_edges.groupBy("point_e")).applyInPandas(run, "a long, node_id long, distance double")
+    to = points.select(F.col("point_id").alias("b"), "node_id")
+    one = stored(found.join(to, "node_id").select("a", "b", "distance"))
+    pairs = points.select(F.col("point_id").alias("a")).crossJoin(points.select(F.col("point_id").alias("b")))  # the result's own rows
+    pairs = pairs.join(one, ["a", "b"], "left").join(one.toDF("b", "a", "back"), ["a", "b"], "left")
+    mean = (F.col("distance") + F.col("back")) / 2
+    return pairs.select("a", "b", F.when(F.col("a") == F.col("b"), 0.0).otherwise(F.coalesce(mean, F.lit(float("inf")))).alias("distance"))
+
+
+def dijkstra_path(pixels: DataFrame, shape, target, connectivity: int = 1, spacing=(1.0, 1.0, 1.0), mode: str = "physical") -> DataFrame:
+    """(step, node_id): the cheapest path from a source to the target, or to the cheapest of a list of targets (ties by node
+    id), along predecessors; an error if there is none. The walks are made in the tasks that have solved the targets'
+    components; the cheapest one stays."""
+    wanted = [target] if isinstance(target, int) else list(target)
     edges = mask_edges(pixels, shape, connectivity, spacing)
-    nodes = pixels.select(F.col("node_id").alias("node"), "cost", F.col("source").cast("int").alias("source"))
-    nodes = nodes.withColumn("id", F.col("node").cast("long"))
-
-    def kernel(n, u, v, length, cost, source, ids):
-        out = np.full(n, -1)
-        at = int(np.searchsorted(ids, target))
-        if at < n and ids[at] == target:
-            _, before = dijkstra(n, u, v, length, cost, source, mode)
-            if before[at] < 0:
-                raise ValueError(f"no path to {target}")
-            walk = [at]
-            while before[walk[-1]] != walk[-1]:
-                walk.append(int(before[walk[-1]]))
-            out[walk[::-1]] = np.arange(len(walk))
-        return out
-
-    found = solve(nodes, edges, kernel, None, ("length",), ("cost", "source", "id"), dense=False)
-    return found.where("label >= 0").select(F.col("label").alias("step"), F.col("node").alias("node_id"))
+    nodes = pixels.select(F.col("node_id").alias("node"), "cost", F.col("source").cast("int").alias("source"), F.col("node_id").isin(wanted).alias("goal"))
+    named, inner = in_parts(nodes, edges, None)
+    right = inner.select(F.col("part").alias("part_e"), "edge_id", "u", "v", "length")
+
+    def run(pdf: pd.DataFrame, edges_: pd.DataFrame) -> pd.DataFrame:
+        pdf, edges_ = pdf.sort_values("node"), edges_.sort_values("edge_id")
+        ids, goals = pdf["node"].to_numpy(), np.flatnonzero(pdf["goal"])
+        u, v = np.searchsorted(ids, edges_["u"]), np.searchsorted(ids, edges_["v"])
+        dist, before = dijkstra(len(ids), u, v, edges_["length"].to_numpy(), pdf["cost"].to_numpy(), pdf["source"].to_numpy(), mode)
+        at = int(goals[np.argmin(dist[goals])]) if len(goals) else -1
+        if at < 0 or before[at] < 0:
+            return pd.DataFrame({"total": [], "goal": [], "step": [], "node_id": []}).astype({"total": float, "goal": int, "step": int, "node_id": int})
+        walk = [at]
+        while before[walk[-1]] != walk[-1]:
+            walk.append(int(before[walk[-1]]))
+        return pd.DataFrame({"total": dist[at], "goal": ids[at], "step": np.arange(len(walk)), "node_id": ids[walk[::-1]]})
+
+    ask = named.where("goal").select("part").distinct()
+    parts, right = named.join(ask, "part", "left_semi"), right.join(ask.withColumnRenamed("part", "part_e"), "part_e", "left_semi")
+    walks = parts.groupBy("part").cogroup(right.groupBy("part_e")).applyInPandas(run, "total double, goal long, step long, node_id long")
+    walks = stored(walks)
+    best = walks.agg(F.min(F.struct("total", "goal"))).first()[0]
+    if best is None:
+        raise ValueError(f"no path to {target}")
+    return walks.where(F.col("goal") == best["goal"]).select("step", "node_id")
 
 
 def geodesic_gradient(field: DataFrame, pixels: DataFrame, shape, sampling=(1.0, 1.0, 1.0)) -> DataFrame:

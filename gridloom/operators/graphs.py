@@ -25,6 +25,36 @@ def from_edges(pairs: DataFrame, n_nodes: int | None = None, position: str = "po
     return row_numbers(firsts, ["first"], "edge_id").select("edge_id", "u", "v")
 
 
+def from_unique_edges(pairs: DataFrame, n_nodes: int | None = None, position: str = "pos") -> DataFrame:
+    """As from_edges of pairs that are known to be distinct: ids in the order of ``position``, no shuffle by pair. Self edges
+    and endpoints beyond the nodes are errors; a pair that is there twice stays so."""
+    u, v = F.least("u", "v"), F.greatest("u", "v")
+    bad = F.col("u") == F.col("v")
+    if n_nodes is not None:
+        bad |= (v >= n_nodes) | (u < 0)
+    checked = F.when(bad, F.raise_error(F.concat(F.lit("no edge: "), F.col("u"), F.lit(" "), F.col("v"))).cast("long")).otherwise(u)
+    return row_numbers(pairs.select(position, checked.alias("u"), v.alias("v")), [position], "edge_id").select("edge_id", "u", "v")
+
+
+def merged(labels: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(node, label) of a union-find's elements (node, label) after merging pairs (u, v) of elements: label is the least
+    element of each set, so ``merged(merged(x, a), b)`` is ``merged(x, a and b)``. Elements that were never merged name
+    themselves."""
+    old = labels.where("node != label").select(F.col("node").alias("u"), F.col("label").alias("v"))
+    found = roots(old.unionByName(pairs.select("u", "v")))
+    return labels.select("node").join(found, "node", "left").select("node", F.coalesce("root", "node").alias("label"))
+
+
+def merged_to(labels: DataFrame, pairs: DataFrame) -> DataFrame:
+    """As merged, but each set is named as its first pair's target (pairs (pos, u, v): u goes to v) was before."""
+    own = merged(labels, pairs)
+    before = labels.select(F.col("node").alias("v"), F.col("label").alias("name"))
+    first = pairs.join(before, "v").join(own.select(F.col("node").alias("v"), F.col("label").alias("set")), "v")
+    names = first.groupBy("set").agg(F.min_by("name", "pos").alias("name"))
+    out = own.join(names, F.col("label") == F.col("set"), "left").join(labels.select("node", F.col("label").alias("was")), "node")
+    return out.select("node", F.coalesce("name", "was").alias("label"))
+
+
 def find_edges(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """pairs (u, v) with edge_id, -1 where there is no such edge."""
     keyed = edges.select(F.col("u").alias("_u"), F.col("v").alias("_v"), "edge_id")
@@ -193,9 +223,14 @@ def agreement_contraction(nodes: DataFrame, edges: DataFrame, proposals: list[Da
     return labels, contract(edges, labels)
 
 
-def lifted_objective(edges: DataFrame, lifted: DataFrame, overwrite: bool = False) -> DataFrame:
+def lifted_objective(edges: DataFrame, lifted: DataFrame, overwrite: bool = False, bfs_distance: int | None = None) -> DataFrame:
     """(u, v, cost, is_lifted): base edges (u, v, cost) and lifted ones (pos, u, v, cost) as one table. Lifted costs add
-    to an existing pair's, or, where ``overwrite``, the last one stands."""
+    to an existing pair's, or, where ``overwrite``, the last one stands. With ``bfs_distance``, pairs of 2 to so many hops are
+    lifted edges too, of cost 0 where ``lifted`` has none."""
+    if bfs_distance is not None:
+        nodes = edges.select(F.explode(F.array("u", "v")).alias("node")).distinct().withColumn("label", F.lit(0))
+        near = lifted_edges_from_node_labels(edges, nodes, bfs_distance).select(F.lit(-1).cast("long").alias("pos"), "u", "v", F.lit(0.0).alias("cost"))
+        lifted = lifted.select(F.col("pos").cast("long").alias("pos"), "u", "v", "cost").unionByName(near)
     base = edges.select("u", "v", "cost", F.lit(False).alias("is_lifted"), F.lit(-1).cast("long").alias("pos"))
     more = lifted.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "cost", F.lit(True).alias("is_lifted"), F.col("pos").cast("long").alias("pos"))
     cost = F.max_by("cost", "pos") if overwrite else F.sum("cost")

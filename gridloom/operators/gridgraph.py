@@ -139,3 +139,18 @@ def grid_lifted_edges(affinities: DataFrame, offsets, shape) -> DataFrame:
         )
         out = rows if out is None else out.unionByName(rows)
     return out
+
+
+def grid_affinity_features_with_lifted(spark: SparkSession, affinities: DataFrame, offsets, shape) -> tuple[DataFrame, DataFrame]:
+    """(grid_affinity_features of the one-step offsets, grid_lifted_edges of the others), channels as in ``offsets``. A zero
+    offset, or one with its opposite, is an error."""
+    full = [full_offset(o) for o in offsets]
+    if any(not any(o) for o in full):
+        raise ValueError("an offset of no steps")
+    lifted = grid_lifted_edges(affinities, offsets, shape)
+    short = [k for k, o in enumerate(full) if sum(map(abs, o)) == 1]
+    number = F.create_map(*(F.lit(x) for k, c in enumerate(short) for x in (c, k))) if short else F.lit(None)
+    own = affinities.where(F.col("channel").isin(short)).withColumn("channel", number[F.col("channel")] if short else F.col("channel"))
+    if lifted is None:
+        lifted = affinities.limit(0).select("channel", "node_id", F.col("node_id").alias("u"), F.col("node_id").alias("v"), F.col("affinity").alias("weight"))
+    return grid_affinity_features(spark, own, [full[k] for k in short], shape), lifted

@@ -202,27 +202,91 @@ def energy(u, v, cost, label) -> float:
     return float(cost[label[u] != label[v]].sum())
 
 
-def fusion_move(n, u, v, cost, iterations: int = 10, stop: int = 4, sigma: float = 1.0, seed: int = 0) -> np.ndarray:
-    """Fuse noisy greedy proposals with the best labels: contract what both agree on, solve the rest; energy never rises."""
+def greedy_proposal(rng, n, u, v, cost, sigma: float = 1.0) -> np.ndarray:
+    """greedy_additive on costs with noise of ``sigma`` times their spread."""
+    return greedy_additive(n, u, v, cost + rng.normal(0, sigma * max(float(np.std(cost)), 1e-12), len(cost)))
+
+
+def watershed_proposal(rng, n, u, v, cost, sigma: float = 1.0, seeds: float = 0.1) -> np.ndarray:
+    """Floods from both ends of random negative edges over noisy costs, the most attractive first. ``seeds``: how many, or, up
+    to 1, which share of the nodes. All in one if there is no negative edge."""
+    negative = np.flatnonzero(cost < 0)
+    if not len(negative):
+        return np.zeros(n, dtype=np.int64)
+    target = max(1, int((n * seeds if seeds <= 1 else seeds) + 0.5))
+    seed = np.zeros(n, dtype=np.int64)
+    for k, e in enumerate(rng.choice(negative, min(len(negative), max(1, target // 2))).tolist()):
+        seed[u[e]], seed[v[e]] = 2 * k + 1, 2 * k + 2
+    return edge_weighted_watershed(n, u, v, -(cost + rng.normal(0, sigma, len(cost))), seed)
+
+
+def agreed(n, u, v, labelings: list[np.ndarray]) -> np.ndarray:
+    """Dense names of the nodes joined along every edge whose ends agree in all labelings."""
+    same = Clusters(n)
+    for a, b in zip(u.tolist(), v.tolist(), strict=True):
+        if all(x[a] == x[b] for x in labelings):
+            a, b = same.find(a), same.find(b)
+            if a != b:
+                same.up[max(a, b)] = min(a, b)
+    return np.unique(same.labels(), return_inverse=True)[1]
+
+
+def fusion_move(
+    n, u, v, cost, iterations: int = 10, stop: int = 4, sigma: float = 1.0, seed: int = 0, propose=None, solver=greedy_additive,
+    proposals: int = 1, start: np.ndarray | None = None,
+) -> np.ndarray:
+    """Fuse proposals (``propose(rng, n, u, v, cost)``; noisy greedy ones if none is given) with the best labels: contract what
+    both agree on, solve the rest. Of several proposals a round, those that are no better alone are also fused together. The
+    energy never rises; ``stop`` rounds without a fall end the search."""
     rng = np.random.default_rng(seed)
-    best = greedy_additive(n, u, v, cost)
+    make = propose or (lambda *a: greedy_proposal(*a, sigma=sigma))
+    best = solver(n, u, v, cost) if start is None else np.asarray(start)
+    low, idle = energy(u, v, cost, best), 0
+
+    def fused(labelings: list[np.ndarray]) -> np.ndarray:
+        dense = agreed(n, u, v, labelings)
+        cu, cv = dense[u], dense[v]
+        cut = cu != cv
+        return solver(int(dense.max(initial=-1)) + 1, cu[cut], cv[cut], cost[cut])[dense]
+
+    for _ in range(iterations):
+        made = [make(rng, n, u, v, cost) for _ in range(proposals)]
+        candidates = [x for m in made for x in (fused([best, m]), m)]
+        if len(made) > 1:
+            candidates.append(fused([best, *made]))
+        scores = [energy(u, v, cost, x) for x in candidates]
+        k = int(np.argmin(scores))
+        if scores[k] < low - 1e-12:
+            best, low, idle = candidates[k], scores[k], 0
+        else:
+            idle += 1
+            if idle >= stop:
+                break
+    return best
+
+
+def lifted_fusion_move(
+    n, u, v, cost, is_lifted, iterations: int = 10, stop: int = 4, sigma: float = 1.0, seed: int = 0, propose=None, start: np.ndarray | None = None,
+) -> np.ndarray:
+    """As fusion_move on base and lifted costs: proposals come from the base graph, nodes join along base edges alone, and the
+    rest is solved by lifted_greedy_additive. Clusters end connected by base edges; the energy is never above the start's."""
+    rng = np.random.default_rng(seed)
+    base = ~is_lifted.astype(bool)
+    bu, bv, bc = u[base], v[base], cost[base]
+    make = propose or (lambda *a: greedy_proposal(*a, sigma=sigma))
+    best = lifted_greedy_additive(n, u, v, cost, is_lifted) if start is None else split_unconnected(n, bu, bv, np.asarray(start))
     low, idle = energy(u, v, cost, best), 0
     for _ in range(iterations):
-        proposal = greedy_additive(n, u, v, cost + rng.normal(0, sigma * max(float(np.std(cost)), 1e-12), len(cost)))
-        same = Clusters(n)
-        for a, b in zip(u.tolist(), v.tolist(), strict=True):
-            if best[a] == best[b] and proposal[a] == proposal[b]:
-                a, b = same.find(a), same.find(b)
-                if a != b:
-                    same.up[max(a, b)] = min(a, b)
-        _, dense = np.unique(same.labels(), return_inverse=True)
+        proposal = split_unconnected(n, bu, bv, make(rng, n, bu, bv, bc))
+        dense = agreed(n, bu, bv, [best, proposal])
         cu, cv = dense[u], dense[v]
         cut = cu != cv
-        fused = greedy_additive(int(dense.max(initial=-1)) + 1, cu[cut], cv[cut], cost[cut])[dense]
-        candidates = [(energy(u, v, cost, x), k, x) for k, x in enumerate((fused, proposal))]
-        e, _, x = min(candidates, key=lambda c: c[:2])
-        if e < low - 1e-12:
-            best, low, idle = x, e, 0
+        fused = lifted_greedy_additive(int(dense.max(initial=-1)) + 1, cu[cut], cv[cut], cost[cut], is_lifted[cut])[dense]
+        candidates = [split_unconnected(n, bu, bv, fused), proposal]
+        scores = [energy(u, v, cost, x) for x in candidates]
+        k = int(np.argmin(scores))
+        if scores[k] < low - 1e-12:
+            best, low, idle = candidates[k], scores[k], 0
         else:
             idle += 1
             if idle >= stop:
@@ -493,11 +557,11 @@ def split_unconnected(n, u, v, label) -> np.ndarray:
     return sets.labels()
 
 
-def lifted_kernighan_lin(n, u, v, cost, is_lifted, outer: int | None = None, epsilon: float = 1e-6) -> np.ndarray:
-    """Local search on base and lifted costs from the greedy result: single nodes move to the adjacent cluster, or a new
+def lifted_kernighan_lin(n, u, v, cost, is_lifted, outer: int | None = None, epsilon: float = 1e-6, start: np.ndarray | None = None) -> np.ndarray:
+    """Local search on base and lifted costs from ``start`` (the greedy result if none): single nodes move to the adjacent cluster, or a new
     one, and base-adjacent clusters join, as long as the energy falls (``outer`` rounds at most, if given). Clusters end connected by base edges."""
     base = ~is_lifted.astype(bool)
-    label = lifted_greedy_additive(n, u, v, cost, is_lifted)
+    label = lifted_greedy_additive(n, u, v, cost, is_lifted) if start is None else split_unconnected(n, u[base], v[base], np.asarray(start))
     best, low = label, energy(u, v, cost, label)
     links: list[list[tuple[int, float, bool]]] = [[] for _ in range(n)]
     for a, b, x, z in zip(u.tolist(), v.tolist(), cost.tolist(), base.tolist(), strict=True):

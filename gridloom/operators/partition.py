@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import partial
 
 import numpy as np
@@ -9,13 +10,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.grid import with_targets
+from gridloom.functions.store import stored
 from gridloom.operators import kernels
 from gridloom.operators.graphs import connected_components
 from gridloom.plans.solve import solve
 
 
-def greedy_additive_multicut(nodes: DataFrame, edges: DataFrame, weight_stop: float = 0.0, node_num_stop: float = -1.0) -> DataFrame:
-    """(node, label). By components of positive edges: summed weights between these stay negative, so they never merge."""
+def greedy_additive_multicut(
+    nodes: DataFrame, edges: DataFrame, weight_stop: float = 0.0, node_num_stop: float = -1.0, add_noise: bool = False, seed: int = 42, sigma: float = 1.0,
+) -> DataFrame:
+    """(node, label). By components of positive edges: summed weights between these stay negative, so they never merge. Noise
+    of standard deviation ``sigma`` is drawn from each edge's id and ``seed``, whatever the partitioning is."""
+    if add_noise:
+        even = lambda k: (F.pmod(F.xxhash64(F.lit(seed), F.lit(k), "edge_id"), F.lit(1 << 53)) + 1) / float((1 << 53) + 1)
+        normal = F.sqrt(-2 * F.log(even(0))) * F.cos(2 * math.pi * even(1))
+        edges = edges.withColumn("cost", F.col("cost") + sigma * normal)
     whole = weight_stop < 0 or node_num_stop > 0
     kernel = partial(kernels.greedy_additive, weight_stop=weight_stop, node_num_stop=node_num_stop)
     return solve(nodes, edges, kernel, F.col("cost") > 0, whole=whole)
@@ -35,8 +44,31 @@ def kernighan_lin_multicut(nodes: DataFrame, edges: DataFrame, outer: int = 100,
     return solve(nodes, edges, kernel, F.col("cost") > 0, whole=not decompose)
 
 
-def fusion_move_multicut(nodes: DataFrame, edges: DataFrame, iterations: int = 10, stop: int = 4, seed: int = 0) -> DataFrame:
-    return solve(nodes, edges, partial(kernels.fusion_move, iterations=iterations, stop=stop, seed=seed), F.col("cost") > 0)
+def fusion_move_multicut(
+    nodes: DataFrame, edges: DataFrame, iterations: int = 10, stop: int = 4, seed: int = 0, propose=None, solver=kernels.greedy_additive, proposals: int = 1,
+) -> DataFrame:
+    """Proposals by ``propose`` (kernels.greedy_proposal, kernels.watershed_proposal or any function (rng, n, u, v, cost)), the
+    contracted graphs by ``solver``, any kernel (n, u, v, cost)."""
+    kernel = partial(kernels.fusion_move, iterations=iterations, stop=stop, seed=seed, propose=propose, solver=solver, proposals=proposals)
+    return solve(nodes, edges, kernel, F.col("cost") > 0)
+
+
+def lifted_fusion_move_multicut(nodes: DataFrame, edges: DataFrame, iterations: int = 10, stop: int = 4, seed: int = 0, propose=None) -> DataFrame:
+    """edges: (edge_id, u, v, cost, is_lifted). By components of base edges."""
+    kernel = partial(kernels.lifted_fusion_move, iterations=iterations, stop=stop, seed=seed, propose=propose)
+    return solve(nodes, edges, kernel, ~F.col("is_lifted"), ("cost", "is_lifted"))
+
+
+def lifted_chained_multicut(nodes: DataFrame, edges: DataFrame, chain: list) -> DataFrame:
+    """Kernels (n, u, v, cost, is_lifted[, start]) one after the other, each but the first with the labels so far."""
+
+    def kernel(n, u, v, cost, is_lifted):
+        label = chain[0](n, u, v, cost, is_lifted)
+        for step in chain[1:]:
+            label = step(n, u, v, cost, is_lifted, start=label)
+        return label
+
+    return solve(nodes, edges, kernel, ~F.col("is_lifted"), ("cost", "is_lifted"))
 
 
 def lifted_greedy_additive_multicut(nodes: DataFrame, edges: DataFrame, weight_stop: float = 0.0) -> DataFrame:
@@ -68,14 +100,15 @@ def mutex_watershed_clustering(nodes: DataFrame, edges: DataFrame, start: int =
     return solve(nodes, edges, kernels.mutex_watershed, ~F.col("is_mutex"), ("cost", "is_mutex"), start=start)
 
 
-def grid_mutex_edges(pixels: DataFrame, affinities: DataFrame, offsets, n_attractive: int, shape, strides=None) -> DataFrame:
+def grid_mutex_edges(pixels: DataFrame, affinities: DataFrame, offsets, n_attractive: int, shape, strides=None, randomized: bool = False, seed: int = 0) -> DataFrame:
     """(edge_id, u, v, cost, is_mutex) of affinities (channel, node_id, affinity): the first channels attract, the others
-    are mutexes; strides thin out the mutexes. Ids are channel-major."""
+    are mutexes; strides thin out the mutexes, or, ``randomized``, as large a share is drawn by pixel and channel. Ids are
+    channel-major."""
     keep = pixels.where("mask") if "mask" in pixels.columns else pixels
     rows = with_targets(keep.select("node_id", "z", "y", "x"), offsets, shape)
     if strides is not None:
-        on = F.lit(True)
-        for name, s in zip(("z", "y", "x")[-len(strides) :], strides, strict=True):
+        on = F.pmod(F.xxhash64(F.lit(seed), "channel", "node_id"), F.lit(math.prod(strides))) == 0 if randomized else F.lit(True)
+        for name, s in zip(("z", "y", "x")[-len(strides) :], [] if randomized else strides, strict=not randomized):
             on &= (F.col(name) % s) == 0
         rows = rows.where((F.col("channel") < n_attractive) | on)
     rows = rows.join(keep.select(F.col("node_id").alias("to")), "to", "left_semi")
@@ -87,9 +120,9 @@ def grid_mutex_edges(pixels: DataFrame, affinities: DataFrame, offsets, n_attrac
     )
 
 
-def mutex_watershed(pixels: DataFrame, affinities: DataFrame, offsets, n_attractive: int, shape, strides=None) -> DataFrame:
+def mutex_watershed(pixels: DataFrame, affinities: DataFrame, offsets, n_attractive: int, shape, strides=None, randomized: bool = False, seed: int = 0) -> DataFrame:
     """(node_id, label): labels from 1 by least pixel, masked pixels 0."""
-    edges = grid_mutex_edges(pixels, affinities, offsets, n_attractive, shape, strides)
+    edges = grid_mutex_edges(pixels, affinities, offsets, n_attractive, shape, strides, randomized, seed)
     keep = pixels.where("mask") if "mask" in pixels.columns else pixels
     labels = mutex_watershed_clustering(keep.select(F.col("node_id").alias("node")), edges, start=1)
     out = pixels.select("node_id").join(labels.withColumnRenamed("node", "node_id"), "node_id", "left")
@@ -114,10 +147,38 @@ def semantic_classes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return solve(nodes, edges, kernel, F.col("kind") == 0, ("cost", "kind"), dense=False)
 
 
+def semantic_mutex_watershed(
+    pixels: DataFrame, affinities: DataFrame, offsets, n_attractive: int, shape, strides=None, randomized: bool = False, mask_label: int = 0, seed: int = 0,
+) -> DataFrame:
+    """(node_id, label, class). Channels of affinities from the number of offsets on are scores of classes: each pixel asks for
+    its best class (all of them on ties). Labels from 1 by least pixel; classes -1 where a cluster has none; masked pixels have
+    label 0 and class ``mask_label``."""
+    pairs = grid_mutex_edges(pixels, affinities.where(F.col("channel") < len(offsets)), offsets, n_attractive, shape, strides, randomized, seed)
+    keep = pixels.where("mask") if "mask" in pixels.columns else pixels
+    scores = affinities.where(F.col("channel") >= len(offsets)).join(keep.select("node_id"), "node_id", "left_semi")
+    best = scores.join(scores.groupBy("node_id").agg(F.max("affinity").alias("best")), "node_id").where("affinity = best")
+    n = shape[0] * shape[1] * shape[2]
+    tags = best.select(
+        (F.col("channel").cast("long") * n + F.col("node_id")).alias("edge_id"), F.col("node_id").alias("u"), F.col("node_id").alias("v"),
+        F.col("affinity").cast("double").alias("cost"), (F.col("channel") - len(offsets) + 2).cast("int").alias("kind"),
+    )
+    edges = stored(pairs.select("edge_id", "u", "v", "cost", F.col("is_mutex").cast("int").alias("kind")).unionByName(tags))
+    nodes = keep.select(F.col("node_id").alias("node"))
+    labels = semantic_mutex_watershed_clustering(nodes, edges).join(semantic_classes(nodes, edges).withColumnRenamed("label", "class"), "node")
+    out = pixels.select("node_id").join(labels.withColumnRenamed("node", "node_id"), "node_id", "left")
+    zero = F.lit(0).cast("long")
+    return out.select("node_id", F.coalesce(F.col("label") + 1, zero).alias("label"), F.coalesce("class", F.lit(mask_label).cast("long")).alias("class"))
+
+
 def gasp(nodes: DataFrame, edges: DataFrame, linkage: str = "mean", num_clusters_stop: int = 1) -> DataFrame:
-    """edges: (edge_id, u, v, cost, size). By components of positive edges while the cluster stop cannot bind."""
-    kernel = partial(kernels.gasp, linkage=linkage, num_clusters_stop=num_clusters_stop)
-    return solve(nodes, edges, kernel, F.col("cost") > 0, ("cost", "size"), whole=num_clusters_stop > 1)
+    """edges: (edge_id, u, v, cost, size[, mergeable]). By components of positive edges while the cluster stop cannot bind. An
+    edge that is not mergeable keeps its ends apart when its turn comes."""
+    more = ("mergeable",) if "mergeable" in edges.columns else ()
+
+    def kernel(n, u, v, cost, size, mergeable=None):
+        return kernels.gasp(n, u, v, cost, size, linkage, num_clusters_stop, mergeable)
+
+    return solve(nodes, edges, kernel, F.col("cost") > 0, ("cost", "size", *more), whole=num_clusters_stop > 1)
 
 
 def edge_weighted_agglomeration(nodes: DataFrame, edges: DataFrame, num_clusters_stop: int = 1, size_regularizer: float = 1.0) -> DataFrame:

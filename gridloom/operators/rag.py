@@ -130,8 +130,15 @@ def lifted_edges(edges: DataFrame, pixels: DataFrame, offsets, shape) -> DataFra
 
 
 def lifted_affinity_features(lifted: DataFrame, pixels: DataFrame, affinities: DataFrame, offsets, shape, full: bool = False) -> DataFrame:
-    """As affinity_features, for the pairs of ``lifted``."""
-    return affinity_features(lifted, pixels, affinities, offsets, shape, full)
+    """As affinity_features, for the pairs (u, v) of ``lifted``; a pair that is there twice, in whichever order, is an error."""
+    pairs = lifted.groupBy(*pair_of("u", "v")).agg(F.count(F.lit(1)).alias("n"))
+    once = F.when(F.col("n") > 1, F.raise_error(F.concat(F.lit("a pair twice: "), "u", F.lit(" "), "v")).cast("long")).otherwise(F.col("u"))
+    return affinity_features(pairs.select(once.alias("u"), "v"), pixels, affinities, offsets, shape, full)
+
+
+def pair_of(u: str, v: str):
+    """The two columns in order, as u and v."""
+    return F.least(u, v).alias("u"), F.greatest(u, v).alias("v")
 
 
 def accumulate_labels(pixels: DataFrame, other: str = "other", ignore_value: int | None = None) -> DataFrame:

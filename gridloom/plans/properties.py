@@ -6,13 +6,16 @@ alone. The results themselves are the queries of ``plans/graphs.py``.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.functions.store import stored
-from gridloom.operators import fields, graphs
+from gridloom.functions.store import shared_folder, stored
+from gridloom.operators import fields, filaments, graphs, kernels, meshes, meshfields, partition, rag
 from gridloom.plans import graphs as g
 from gridloom.plans.relational import CT, ED, PX, grid, rounded, w
+from gridloom.sources import tables as t
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -333,3 +336,280 @@ def marching_cubes_is_closed_inside(spark, d):
         spark, used=vertices.join(corners, "vertex_id").count() == vertices.count() == corners.count(), overused=edges.where("count > 2").count(),
         turned=ways.groupBy("a", "b").count().where("count > 1").count() == 0,
     )
+
+
+# Graphs from files, union-find, contraction.
+
+
+def region_edges(spark, d):
+    return rounded(g.region_graph(spark, d)[1].select("edge_id", "u", "v", "cost"), "cost")
+
+
+@query("text_graph", w(PX, CT, ED, g.GR) + "SELECT row_number() OVER (ORDER BY u, v) - 1 AS edge_id, u, v, round(cost, 6) + 0.0 AS cost, (SELECT max(greatest(u, v)) + 1 FROM gr) AS nodes FROM gr")
+def text_graph(spark, d):
+    """The region graph written as a text file of ``u v cost`` rows and loaded again."""
+    path = f"{shared_folder(spark)}/text-{uuid.uuid4().hex}"
+    region_edges(spark, d).select(F.col("v").alias("u"), F.col("u").alias("v"), "cost").write.csv(path, sep=" ")
+    nodes, edges = t.text_graph(spark, path)
+    return edges.withColumn("nodes", F.lit(nodes.count()))
+
+
+@query("lifted_problem", w(PX, CT, ED, g.GR) + """SELECT row_number() OVER (ORDER BY l, u, v) - 1 AS edge_id, u, v, cost, l AS is_lifted FROM (
+SELECT u, v, round(cost, 6) + 0.0 AS cost, FALSE AS l FROM gr UNION ALL SELECT u, v + 100000, -1.0, TRUE FROM gr)""")
+def lifted_problem(spark, d):
+    path = f"{shared_folder(spark)}/lifted-{uuid.uuid4().hex}"
+    edges = region_edges(spark, d)
+    edges.write.parquet(f"{path}/local")
+    edges.select("u", (F.col("v") + 100_000).alias("v"), F.lit(-1.0).alias("cost")).write.parquet(f"{path}/lifted")
+    return t.lifted_problem(spark, path)[1]
+
+
+@query("graph_from_unique_edges", w(PX, CT, ED, g.GR) + "SELECT row_number() OVER (ORDER BY (u * 7919 + v) % 1000003, u, v) - 1 AS edge_id, u, v FROM gr")
+def graph_from_unique_edges(spark, d):
+    pairs = g.region_graph(spark, d)[1].select("u", "v")
+    rank = F.format_string("%07d-%012d-%012d", (F.col("u") * 7919 + F.col("v")) % 1_000_003, "u", "v")
+    return graphs.from_unique_edges(pairs.select(rank.alias("pos"), F.col("v").alias("u"), F.col("u").alias("v")))
+
+
+#: Sets after merging along edges of cost over 4 and then over 0.
+UF = g.RC.replace("cost > 4", "cost > 0")
+
+
+@query("union_find_merged", g.rec(PX, CT, ED, g.GR, UF) + "SELECT node, root AS label FROM root")
+def union_find_merged(spark, d):
+    """Two merges, one after the other."""
+    nodes, edges = g.region_graph(spark, d)
+    first = graphs.merged(nodes.select("node", F.col("node").alias("label")), edges.where("cost > 4"))
+    return graphs.merged(stored(first), edges.where("cost > 0"))
+
+
+@query("union_find_merged_to", w(PX, CT, ED) + """SELECT node, CASE WHEN node % 20 < 19 THEN node - node % 20 + 7 ELSE node END AS label FROM (SELECT DISTINCT label AS node FROM px)""")
+def union_find_merged_to(spark, d):
+    """The regions of a row of squares, but for its last, go to the eighth: the first pair says so."""
+    nodes, _ = g.region_graph(spark, d)
+    base = F.col("node") - F.col("node") % 20
+    pairs = nodes.where("node % 20 < 19 AND node % 20 != 7").select((F.col("node") % 20).alias("pos"), F.col("node").alias("u"), (base + 7).alias("v"))
+    return graphs.merged_to(nodes.select("node", F.col("node").alias("label")), pairs)
+
+
+AG = """nd AS (SELECT DISTINCT label AS node FROM px),
+bw AS (SELECT u AS a, v AS b FROM ed WHERE u // 40 = v // 40 AND u % 20 // 4 = v % 20 // 4 UNION ALL SELECT v, u FROM ed WHERE u // 40 = v // 40 AND u % 20 // 4 = v % 20 // 4),
+rc(node, r) AS (SELECT node, node FROM nd UNION SELECT rc.node, bw.b FROM rc JOIN bw ON rc.r = bw.a),
+lb AS (SELECT node, dense_rank() OVER (ORDER BY min(r)) - 1 AS label FROM rc GROUP BY node)"""
+
+
+@query("agreement_contraction", g.rec(PX, CT, ED, g.GR, AG) + """SELECT least(a.label, b.label) AS u, greatest(a.label, b.label) AS v, round(sum(cost), 5) + 0.0 AS cost
+FROM gr JOIN lb a ON gr.u = a.node JOIN lb b ON gr.v = b.node WHERE a.label <> b.label GROUP BY 1, 2""")
+def agreement_contraction(spark, d):
+    nodes, edges = g.region_graph(spark, d)
+    proposals = [nodes.select("node", F.expr("node div 40").alias("label")), nodes.select("node", F.expr("node % 20 div 4").alias("label"))]
+    return rounded(graphs.agreement_contraction(nodes, edges, proposals)[1], "cost", digits=5)
+
+
+# Solvers with options.
+
+
+def lifted_graph(spark, d):
+    nodes, edges = g.region_graph(spark, d)
+    base = edges.select("edge_id", "u", "v", "cost", F.lit(False).alias("is_lifted"))
+    px, shape = grid(spark, d)
+    lifted = rag.lifted_edges(edges, px, g.OFFSETS, shape)
+    more = lifted.select((F.lit(1 << 40) + F.col("u") * 100_000 + F.col("v")).alias("edge_id"), "u", "v", F.lit(-1.0).alias("cost"), F.lit(True).alias("is_lifted"))
+    return nodes, stored(base.unionByName(more))
+
+
+def plain_query(name: str):
+    def add(f):
+        QUERIES[name] = f
+        return f
+
+    return add
+
+
+@plain_query("lifted_fusion_move")
+def lifted_fusion_move(spark, d):
+    return partition.lifted_fusion_move_multicut(*lifted_graph(spark, d))
+
+
+@plain_query("lifted_chained")
+def lifted_chained(spark, d):
+    return partition.lifted_chained_multicut(*lifted_graph(spark, d), [kernels.lifted_greedy_additive, kernels.lifted_kernighan_lin, kernels.lifted_fusion_move])
+
+
+@plain_query("multicut_fusion_watershed_proposals")
+def multicut_fusion_watershed_proposals(spark, d):
+    return partition.fusion_move_multicut(*g.region_graph(spark, d), propose=kernels.watershed_proposal, proposals=2)
+
+
+@plain_query("multicut_greedy_noisy")
+def multicut_greedy_noisy(spark, d):
+    return partition.greedy_additive_multicut(*g.region_graph(spark, d), add_noise=True, sigma=2.0)
+
+
+@plain_query("gasp_not_mergeable")
+def gasp_not_mergeable(spark, d):
+    nodes, edges = g.region_graph(spark, d)
+    return partition.gasp(nodes, edges.withColumn("mergeable", (F.col("u") + F.col("v")) % 3 != 0), linkage="max")
+
+
+@query("lifted_energies_fall", w(PX) + "SELECT count(DISTINCT label) AS nodes, TRUE AS fusion, TRUE AS chain, CAST(0 AS BIGINT) AS split FROM px")
+def lifted_energies_fall(spark, d):
+    nodes, edges = lifted_graph(spark, d)
+    greedy = graphs.multicut_energy(edges, partition.lifted_greedy_additive_multicut(nodes, edges)).first()[0]
+    fusion, chain = (stored(QUERIES[n](spark, d)) for n in ("lifted_fusion_move", "lifted_chained"))
+    energy = lambda x: graphs.multicut_energy(edges, x).first()[0] <= greedy + 1e-6
+    base = edges.where("NOT is_lifted")
+    return one_row(spark, nodes=nodes.join(fusion, "node").count(), fusion=energy(fusion), chain=energy(chain),
+                   split=split_clusters(nodes, base, fusion) + split_clusters(nodes, base, chain))
+
+
+@query("solver_options", w(PX) + "SELECT count(DISTINCT label) AS nodes, TRUE AS no_worse, TRUE AS connected, TRUE AS kept_apart FROM px")
+def solver_options(spark, d):
+    """Watershed proposals give no worse energy than greedy joining; noisy and constrained clusters are connected; ends of an
+    edge that is not mergeable and outweighs all that it competes with stay apart."""
+    nodes, edges = g.region_graph(spark, d)
+    edges = stored(edges)
+    greedy = graphs.multicut_energy(edges, g.QUERIES["multicut_greedy_additive"](spark, d)).first()[0]
+    fused = stored(QUERIES["multicut_fusion_watershed_proposals"](spark, d))
+    noisy, apart = (stored(QUERIES[n](spark, d)) for n in ("multicut_greedy_noisy", "gasp_not_mergeable"))
+    top = edges.orderBy(F.col("cost").desc()).where("(u + v) % 3 = 0 AND cost > 0").limit(1)
+    strongest = edges.agg(F.max("cost")).first()[0]
+    ends = [r["label"] for r in top.where(F.col("cost") == strongest).select(F.explode(F.array("u", "v")).alias("node")).join(apart, "node").collect()]  # one edge
+    return one_row(
+        spark, nodes=fused.join(nodes, "node").count(), no_worse=graphs.multicut_energy(edges, fused).first()[0] <= greedy + 1e-6,
+        connected=split_clusters(nodes, edges, noisy) + split_clusters(nodes, edges, apart) == 0, kept_apart=len(set(ends)) == len(ends),
+    )
+
+
+@plain_query("semantic_mutex_watershed")
+def semantic_mutex_watershed(spark, d):
+    px, shape = grid(spark, d)
+    n = 4
+    affs = g.other_affinities(spark, d, g.OFFSETS[:n])
+    noisy = affs.withColumn("affinity", F.col("affinity") + (F.xxhash64("channel", "node_id") % 1000) / 2000).select("channel", "node_id", "affinity")
+    score = lambda k: F.struct(F.lit(n + k).alias("channel"), (F.pmod(F.col("other") + k, F.lit(3)) / 4).alias("affinity"))
+    classes = px.select("node_id", F.explode(F.array(score(0), score(1))).alias("s")).select("s.channel", "node_id", "s.affinity")
+    masked = px.withColumn("mask", F.col("value") > 1)
+    return partition.semantic_mutex_watershed(masked, noisy.unionByName(classes), g.OFFSETS[:n], 2, shape, (2, 2), randomized=True, mask_label=-7)
+
+
+@query("semantic_mutex_watershed_is_consistent", w(PX) + """SELECT count(*) FILTER (value > 1) AS pixels, count(*) FILTER (value <= 1) AS masked,
+TRUE AS connected, CAST(0 AS BIGINT) AS mixed, TRUE AS dense, CAST(0 AS BIGINT) AS unknown FROM px""")
+def semantic_mutex_watershed_is_consistent(spark, d):
+    """Labels are connected and dense, with one class each; masked pixels have label 0 and the mask's class."""
+    px, shape = grid(spark, d)
+    out = stored(semantic_mutex_watershed(spark, d))
+    own = out.where("label > 0")
+    n = own.select("label").distinct().count()
+    return one_row(
+        spark, pixels=own.count(), masked=out.where("label = 0 AND class = -7").count(), connected=grid_pieces(px, shape, out.select("node_id", "label")) == n,
+        mixed=own.groupBy("label").agg(F.count_distinct("class").alias("k")).where("k > 1").count(), dense=own.agg(F.max("label")).first()[0] == n,
+        unknown=own.where("class NOT IN (-1, 0, 1)").count(),
+    )
+
+
+# Points, meshes and filaments.
+
+
+@plain_query("geodesic_distances")
+def geodesic_distances(spark, d):
+    px, shape = g.field_pixels(spark, d)
+    return fields.geodesic_distances(px, px.where("source").select(F.col("node_id").alias("point_id"), "node_id"), shape)
+
+
+@query("geodesic_distances_match_fields", w(PX, "p AS (SELECT node_id FROM px WHERE value > 8 AND node_id % 1009 = 0)") + """
+SELECT (SELECT count(*) FROM p) * (SELECT count(*) FROM p) AS pairs, TRUE AS symmetric, CAST(0 AS BIGINT) AS wrong""")
+def geodesic_distances_match_fields(spark, d):
+    """The matrix is symmetric with a diagonal of 0, and its first row the mean of fields from both ends."""
+    px, shape = g.field_pixels(spark, d)
+    m = stored(geodesic_distances(spark, d))
+    back = m.toDF("b", "a", "back")
+    odd = m.join(back, ["a", "b"]).where("distance != back OR (a = b AND distance != 0)").count()
+    first = m.agg(F.min("a")).first()[0]
+    field = fields.geodesic_distance_field(px.withColumn("source", F.col("node_id") == first), shape).select(F.col("node_id").alias("b"), F.col("distance").alias("there"))
+    wrong = m.where(F.col("a") == first).join(field, "b").where("(distance < there * 0.8 OR distance > there * 1.25) AND there < double('infinity')").count()
+    return one_row(spark, pairs=m.count(), symmetric=odd == 0, wrong=wrong)
+
+
+TARGETS = (550, 737, 910)
+
+
+@query("dijkstra_path_to_nearest", g.rec(PX, _shortest("SELECT node_id, y, x, 1 + value AS cost FROM px", "b.cost", "node_id = 0")) + f"""
+SELECT node AS target, round(dist, 4) + 0.0 AS cost FROM sp WHERE node IN {TARGETS} ORDER BY dist LIMIT 1""")
+def dijkstra_path_to_nearest(spark, d):
+    """The path to the cheapest of several targets, and its cost."""
+    px, shape = grid(spark, d)
+    own = px.select("node_id", "z", "y", "x", (F.col("node_id") == 0).alias("source"), (1 + F.col("value")).alias("cost"))
+    walk = fields.dijkstra_path(own, shape, list(TARGETS), 2, mode="node").join(px.select("node_id", "value"), "node_id")
+    cost = F.sum(F.when(F.col("step") > 0, 1 + F.col("value")).otherwise(0.0))
+    return rounded(walk.agg(F.max_by("node_id", "step").alias("target"), cost.alias("cost")), "cost", digits=4)
+
+
+@plain_query("mesh_geodesic_field")
+def mesh_geodesic_field(spark, d):
+    vertices, faces = g.grid_mesh(spark, d)
+    flat = vertices.withColumns({"z": F.lit(0.0), "source": F.col("vertex_id") == 0, "speed": F.lit(0.5)})
+    return meshfields.geodesic_distance_field_mesh(flat, faces)
+
+
+@query("mesh_front_bounds", w(PX) + "SELECT count(*) AS vertices, CAST(0 AS BIGINT) AS wrong, CAST(0 AS BIGINT) AS crooked FROM px")
+def mesh_front_bounds(spark, d):
+    """On a flat mesh of speed one half, a front takes twice the straight distance at least, and at most twice the way along
+    the axes, which it takes exactly on the axes."""
+    px, _ = grid(spark, d)
+    rows = mesh_geodesic_field(spark, d).join(px.select(F.col("node_id").alias("vertex_id"), "y", "x"), "vertex_id")
+    straight, along = 2 * F.sqrt(F.col("y") * F.col("y") + F.col("x") * F.col("x")), 2.0 * (F.col("y") + F.col("x"))
+    wrong = (F.col("distance") < straight - 1e-9) | (F.col("distance") > along + 1e-9)
+    crooked = ((F.col("y") == 0) | (F.col("x") == 0)) & (F.abs(F.col("distance") - along) > 1e-9)
+    return rows.agg(F.count(F.lit(1)).alias("vertices"), F.sum(wrong.cast("long")).alias("wrong"), F.sum(crooked.cast("long")).alias("crooked"))
+
+
+@query("mesh_geodesic_distances", w(PX) + """SELECT a.node_id AS a, b.node_id AS b, 2.0 * abs(a.x - b.x) AS distance FROM px a, px b
+WHERE a.y = 0 AND b.y = 0 AND a.x % 40 = 0 AND b.x % 40 = 0""")
+def mesh_geodesic_distances(spark, d):
+    """Between vertices on one side of a flat mesh of speed one half."""
+    vertices, faces = g.grid_mesh(spark, d)
+    flat = vertices.withColumns({"z": F.lit(0.0), "speed": F.lit(0.5)})
+    return rounded(meshfields.geodesic_distances_mesh(flat, faces, flat.where("y = 0 AND x % 40 = 0").select("vertex_id")), "distance")
+
+
+def filament_graph(spark, d):
+    vertices, edges = meshes.merge_skeletons(*g.fragments(spark, d))
+    return vertices.select("vertex_id", "z", "y", "x", "label"), stored(meshes.skeleton_to_graph(vertices, edges))
+
+
+@plain_query("join_close_components")
+def join_close_components(spark, d):
+    vertices, edges = filament_graph(spark, d)
+    return filaments.join_close_components(vertices, edges, 3.5)
+
+
+@query("joins_connect_components", "SELECT TRUE AS kept, TRUE AS one_each, TRUE AS near")
+def joins_connect_components(spark, d):
+    """Old edges stay, every new one makes one component of two, and none is longer than the gap allowed."""
+    vertices, edges = filament_graph(spark, d)
+    after = stored(join_close_components(spark, d))
+    linked = edges.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    pieces = lambda e: graphs.connected_components(linked, e.select("u", "v")).select("label").distinct().count()
+    new = after.join(edges.select("edge_id"), "edge_id", "left_anti")
+    long = meshes.with_lengths(vertices, new).where("length > 3.5 * 3.5").count()
+    kept = after.join(edges, ["edge_id", "u", "v"]).count() == edges.count()
+    return one_row(spark, kept=kept, one_each=pieces(edges) - pieces(after) == new.count(), near=long == 0)
+
+
+@plain_query("clean_filament_graph")
+def clean_filament_graph(spark, d):
+    vertices, edges = filament_graph(spark, d)
+    return filaments.clean_filament_graph(vertices.drop("label"), edges, tick_length=1.5, join_dist=2.5)[1]
+
+
+@query("draw_tubes", w(g.SK, """ed AS (SELECT row_number() OVER (ORDER BY u, v) - 1 AS edge_id, u, v, z, y, xu, xv, label FROM (SELECT DISTINCT least(a.vertex_id, b.vertex_id) AS u,
+  greatest(a.vertex_id, b.vertex_id) AS v, a.z, a.y, least(a.x, b.x) AS xu, greatest(a.x, b.x) AS xv, a.label
+  FROM mv a JOIN mv b ON a.label = b.label AND a.z = b.z AND a.y = b.y AND b.x = (a.x + 1) % 13 WHERE a.vertex_id <> b.vertex_id)),
+ln AS (SELECT edge_id, s AS step, z, y, xu + s AS x, label FROM ed, range(0, 13) r(s) WHERE s <= xv - xu),
+b(n, dz, dy, dx) AS (VALUES (0, -1, 0, 0), (1, 0, -1, 0), (2, 0, 0, -1), (3, 0, 0, 0), (4, 0, 0, 1), (5, 0, 1, 0), (6, 1, 0, 0))""") + """
+SELECT ((z + dz) * 2000 + y + dy) * 13 + x + dx AS node_id, arg_max(label, n::BIGINT * 1000000000 + edge_id * 100 + step) + 1 AS label FROM ln, b
+WHERE z + dz BETWEEN 0 AND 10 AND y + dy BETWEEN 0 AND 1999 AND x + dx BETWEEN 0 AND 12 GROUP BY 1""")
+def draw_tubes(spark, d):
+    vertices, edges = filament_graph(spark, d)
+    return filaments.draw_tubes(vertices, edges, vertices.select(F.col("vertex_id").alias("node"), "label"), (11, 2000, 13), 1)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.functions.store import row_numbers
+
 EVENT_WIDTH = 100
 EMBEDDING_WIDTH = 25
 #: Codes of the event types, in the order of their names.
@@ -51,6 +53,27 @@ def text_edges(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, sep=" ", schema="u long, v long, cost double")
 
 
+def text_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes (node), edges (edge_id, u, v, cost)) of such a file: nodes 0 to the largest end, edge ids in the order of the
+    canonical pairs."""
+    rows = text_edges(spark, path)
+    top = rows.agg(F.max(F.greatest("u", "v"))).first()[0]
+    nodes = spark.range((top if top is not None else -1) + 1).select(F.col("id").alias("node"))
+    pairs = rows.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "cost")
+    return nodes, row_numbers(pairs, ["u", "v", "cost"], "edge_id").select("edge_id", "u", "v", "cost")
+
+
+def lifted_problem(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes (node), edges (edge_id, u, v, cost, is_lifted)) of a folder of Parquet files ``local`` and ``lifted`` with
+    (u, v, cost): local edges are numbered first."""
+    local, lifted = (spark.read.parquet(f"{path.rstrip('/')}/{n}").select("u", "v", F.col("cost").cast("double").alias("cost")) for n in ("local", "lifted"))
+    both = local.withColumn("is_lifted", F.lit(False)).unionByName(lifted.withColumn("is_lifted", F.lit(True)))
+    top = both.agg(F.max(F.greatest("u", "v"))).first()[0]
+    nodes = spark.range((top if top is not None else -1) + 1).select(F.col("id").alias("node"))
+    pairs = both.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "cost", "is_lifted")
+    return nodes, row_numbers(pairs, ["is_lifted", "u", "v", "cost"], "edge_id").select("edge_id", "u", "v", "cost", "is_lifted")
+
+
 def packed_graph(edges: DataFrame, n_nodes: int) -> DataFrame:
     """One row of the flat form [nodes, edges, u0, v0, ...]; for graphs that fit a row."""
     flat = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("edge_id", "u", "v"))), lambda e: F.array(e["u"], e["v"])))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.grid import full
 from gridloom.functions.store import row_numbers
-from gridloom.operators import affinities, fields, filters, flow, graphs, gridgraph, kernels, meshes, multiset, overlap, partition, rag, skeletons, surfaces, warp
+from gridloom.operators import affinities, fields, filaments, filters, flow, graphs, gridgraph, kernels, meshes, meshfields, multiset, overlap, partition, rag, skeletons, surfaces, warp
 from gridloom.operators.blocking import Blocking
 from gridloom.plans.solve import solve
 
@@ -502,3 +502,119 @@ def test_lifted_search_goes_on_until_nothing_improves():
     all_costs = np.tile(cost, copies)
     label = kernels.lifted_kernighan_lin(n * copies, us, vs, all_costs, np.tile(lifted, copies))
     assert abs(kernels.energy(us, vs, all_costs, label) - copies * one) < 1e-6
+
+
+def line(points, first=0):
+    """Vertices (vertex_id, z, y, x) and edges of a polyline."""
+    return [(first + k, 0.0, float(y), float(x)) for k, (y, x) in enumerate(points)], [(first + k, first + k + 1) for k in range(len(points) - 1)]
+
+
+def skeleton(spark, *lines):
+    rows, pairs = [], []
+    for points in lines:
+        v, e = line(points, len(rows))
+        rows += v
+        pairs += e
+    vertices = spark.createDataFrame(rows, "vertex_id long, z double, y double, x double")
+    return vertices, spark.createDataFrame([(k, *p) for k, p in enumerate(pairs)], "edge_id long, u long, v long")
+
+
+def test_ends_join_across_straight_gaps_alone(spark):
+    # 0-3 and 4-7 go on along one line; 8-10 starts as near, but at a right angle; 11-12 is too far away.
+    v, e = skeleton(spark, [(0, x) for x in range(4)], [(0, x) for x in range(5, 9)], [(y, 3) for y in range(2, 5)], [(0, 20), (0, 21)])
+    after = table(filaments.join_close_components(v, e, 2.5), "edge_id", "u", "v")
+    assert after == table(e, "edge_id", "u", "v") + [(9, 3, 4)]
+    assert table(filaments.join_close_components(v, e.limit(0), 2.5), "u") == []
+
+
+def test_junctions_split_by_angle(spark):
+    # A line with a side arm at its middle (vertex 2), and a crossing at vertex 6 of two lines.
+    v = spark.createDataFrame(
+        [(0, 0, 0, 0), (1, 0, 0, 1), (2, 0, 0, 2), (3, 0, 0, 3), (4, 0, 1, 2), (5, 0, 2, 2), (6, 0, 9, 9), (7, 0, 9, 8), (8, 0, 9, 10), (9, 0, 8, 9), (10, 0, 10, 9)],
+        "vertex_id long, z long, y long, x long",
+    )
+    pairs = [(0, 1), (1, 2), (2, 3), (2, 4), (4, 5), (6, 7), (6, 8), (6, 9), (6, 10)]
+    e = spark.createDataFrame([(k, *p) for k, p in enumerate(pairs)], "edge_id long, u long, v long")
+    v2, e2 = filaments.split_junctions(v, e)
+    assert table(e2, "edge_id", "u", "v") == [(0, 0, 1), (1, 1, 2), (2, 2, 3), (4, 4, 5), (5, 6, 7), (6, 6, 8), (7, 11, 9), (8, 11, 10)]
+    assert v2.count() == 12 and tuple(v2.where("vertex_id = 11").first()) == (11, 0, 9, 9)
+    cleaned = filaments.clean_filament_graph(v, e, join_dist=0.5)
+    assert cleaned[1].count() == 8 and cleaned[0].count() == 12
+    # Arms too close to both others stay.
+    assert filaments.split_junctions(v, e, min_branch_angle=95.0)[1].where("edge_id = 3").count() == 1
+
+
+def test_tubes(spark):
+    v = spark.createDataFrame([(0, 0, 0, 0), (1, 0, 4, 2), (2, 0, 0, 2)], "vertex_id long, z long, y long, x long")
+    e = spark.createDataFrame([(0, 0, 1), (1, 2, 1)], "edge_id long, u long, v long")
+    labels = spark.createDataFrame([(0, 5), (1, 5), (2, 8)], "node long, label long")
+    got = dict(table(filaments.draw_tubes(v, e, labels, (1, 5, 3), 0), "node_id", "label"))
+    want = {}
+    for start, label in (((0, 0), 6), ((0, 2), 9)):
+        for t in np.linspace(0, 1, 5):
+            y, x = np.rint(np.array(start) + t * (np.array([4, 2]) - start)).astype(int)
+            want[int(y * 3 + x)] = label
+    assert got == want
+
+
+def test_front_on_a_mesh(spark):
+    """On an equilateral triangle a front from one corner, and a planar one, arrive as geometry says."""
+    h = 3**0.5 / 2
+    c, a, b = np.array([0, h, 0.5]), np.array([0, 0, 0.0]), np.array([0, 0, 1.0])
+    assert abs(meshfields.arrival(c, a, b, 0.0, 0.0, 2.0) - 2 * h) < 1e-12  # from the side between them
+    assert abs(meshfields.arrival(c, a, b, 0.0, 5.0, 1.0) - 1.0) < 1e-12  # along the edge
+    rows = [(0, 0, 0, 0, True, 1.0), (1, 0, 0, 1, False, 1.0), (2, 0, 1, 0, False, 1.0), (3, 0, 1, 1, False, 0.0), (4, 9, 9, 9, False, 1.0)]
+    v = spark.createDataFrame([(i, float(z), float(y), float(x), s, f) for i, z, y, x, s, f in rows], "vertex_id long, z double, y double, x double, source boolean, speed double")
+    f = spark.createDataFrame([(0, 1, 2), (1, 3, 2)], "a long, b long, c long")
+    got = dict(table(meshfields.geodesic_distance_field_mesh(v, f), "vertex_id", "distance"))
+    assert got[0] == 0 and got[1] == got[2] == 1 and got[3] == got[4] == float("inf")
+    points = spark.createDataFrame([(0,), (2,), (4,)], "vertex_id long")
+    m = {(x, y): t for x, y, t in table(meshfields.geodesic_distances_mesh(v, f, points), "a", "b", "distance")}
+    assert m[0, 2] == m[2, 0] == 1 and m[0, 4] == float("inf") and m[4, 4] == 0
+
+
+def test_pairs_that_are_there_twice_are_an_error(spark):
+    px = spark.createDataFrame([(0, 0, 0, 0, 1), (1, 0, 0, 1, 2)], "node_id long, z int, y int, x int, label long")
+    affs = spark.createDataFrame([(0, 0, 0.5)], "channel int, node_id long, affinity double")
+    one = spark.createDataFrame([(1, 2)], "u long, v long")
+    assert rag.lifted_affinity_features(one, px, affs, [(0, 1)], (1, 1, 2)).count() == 1
+    with pytest.raises(Exception, match="a pair twice"):
+        rag.lifted_affinity_features(one.unionByName(one.selectExpr("v AS u", "u AS v")), px, affs, [(0, 1)], (1, 1, 2)).collect()
+
+
+def test_local_and_lifted_affinities_together(spark):
+    rng = np.random.default_rng(4)
+    offsets, shape = [(0, 1), (2, 2), (1, 0)], (1, 6, 7)
+    affs = spark.createDataFrame([(c, n, float(rng.random())) for c in range(3) for n in range(42)], "channel int, node_id long, affinity double")
+    local, lifted = gridgraph.grid_affinity_features_with_lifted(spark, affs, offsets, shape)
+    alone = gridgraph.grid_affinity_features(spark, affs.where("channel != 1").withColumn("channel", F.expr("int(channel / 2)")), [offsets[0], offsets[2]], shape)
+    assert table(local, "edge_id", "weight", "valid") == table(alone, "edge_id", "weight", "valid")
+    assert table(lifted, "node_id", "weight") == table(gridgraph.grid_lifted_edges(affs, offsets, shape), "node_id", "weight") and lifted.count() == 20
+    with pytest.raises(ValueError, match="no steps"):
+        gridgraph.grid_affinity_features_with_lifted(spark, affs, [(0, 0)], shape)
+
+
+def test_lifted_objective_within_hops(spark):
+    edges = spark.createDataFrame([(0, 0, 1, 1.0), (1, 1, 2, 2.0), (2, 2, 3, 3.0)], "edge_id long, u long, v long, cost double")
+    more = spark.createDataFrame([(0, 0, 2, -4.0)], "pos long, u long, v long, cost double")
+    got = table(graphs.lifted_objective(edges, more, bfs_distance=2), "u", "v", "cost", "is_lifted")
+    assert got == [(0, 1, 1.0, False), (0, 2, -4.0, True), (1, 2, 2.0, False), (1, 3, 0.0, True), (2, 3, 3.0, False)]
+
+
+def test_fusion_with_several_proposals_and_other_solvers():
+    rng = np.random.default_rng(11)
+    n = 24
+    u, v = map(np.array, zip(*[(a, b) for a in range(n) for b in range(a) if rng.random() < 0.3]))
+    cost = rng.normal(0, 1, len(u))
+    greedy = kernels.energy(u, v, cost, kernels.greedy_additive(n, u, v, cost))
+    for propose in (None, kernels.watershed_proposal):
+        for proposals in (1, 3):
+            best = kernels.fusion_move(n, u, v, cost, propose=propose, proposals=proposals, solver=kernels.greedy_fixation, start=kernels.greedy_additive(n, u, v, cost))
+            assert kernels.energy(u, v, cost, best) <= greedy + 1e-9
+    assert len(set(kernels.watershed_proposal(rng, n, u, v, np.abs(cost)).tolist())) == 1
+    lifted = rng.random(len(u)) < 0.4
+    start = kernels.lifted_greedy_additive(n, u, v, cost, lifted)
+    for propose in (None, kernels.watershed_proposal):
+        best = kernels.lifted_fusion_move(n, u, v, cost, lifted, propose=propose)
+        assert kernels.energy(u, v, cost, best) <= kernels.energy(u, v, cost, start) + 1e-9
+        assert len(set(kernels.split_unconnected(n, u[~lifted], v[~lifted], best).tolist())) == len(set(best.tolist()))
