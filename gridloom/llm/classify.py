@@ -37,7 +37,7 @@ DIM = 1 << BITS
 FIT_ROWS = 6_000
 FIT_FEATURES = 12_000_000
 #: Features whose counts are one row on their way from the tasks that count to those that sum.
-RANGE = 1 << 12
+RANGE = 1 << 9
 SMOOTH = 1.0
 COST = 0.1
 EPOCHS = 30
