@@ -97,13 +97,12 @@ def relabel_sequential(rows: DataFrame, label: str = "label", offset: int = 1) -
 
 def run_lengths(rows: DataFrame, position: str = "node_id", mask: str = "mask", span: int = 1 << 20) -> DataFrame:
     """(run, length): lengths of the runs of a boolean column in order of position, beginning with a run of false (of
-    length 0 if the first is true).
+    length 0 if the first is true). Positions count up by one, as a grid's node ids do: lengths are their differences.
 
     Runs are found within spans of positions; only the runs at the spans' ends, two a span at most, are put together in
     one order.
     """
     block = F.expr(f"{position} div {span}")
-    order = Window.partitionBy("_b").orderBy(position)
     cut = rows.select(F.col(position).alias("pos"), F.col(mask).alias("on"), block.alias("_b"))
     order = Window.partitionBy("_b").orderBy("pos")
     starts = cut.withColumn("_new", F.coalesce((F.col("on") != F.lag("on").over(order)).cast("int"), F.lit(1)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,12 +29,13 @@ class EntryStore:
     """A store of distinct histogram entries that batches of a stream add to: ``stream.writeStream.foreachBatch(store.update)``.
 
     Each batch writes a new version of the store, named by the batch's number, so a batch that is run again after a failure
-    starts from the version before it.
+    starts from the version before it; older versions are removed. Without a path, a store has a new folder of its own; to go
+    on with a store later, give it one.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None):
         self.spark = spark
-        self.path = path or f"{shared_folder(spark)}/entry-store"
+        self.path = path or f"{shared_folder(spark)}/entry-store-{uuid.uuid4().hex}"
 
     def version(self, batch_id: int) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{batch_id}")
@@ -44,3 +47,6 @@ class EntryStore:
         else:
             merged = multiset.merge_entries(self.version(batch_id - 1), batch)
         merged.write.mode("overwrite").parquet(f"{self.path}/{batch_id}")
+        if batch_id > 1:
+            old = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{batch_id - 2}")
+            old.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(old, True)
