@@ -136,17 +136,9 @@ def graph_round_trip(spark, d):
 
 
 @query("lifted_objective", w(PX, CT, ED, GR) + """SELECT u, v, round(sum(cost), 6) + 0.0 AS cost, bool_and(l) AS is_lifted FROM (
-  SELECT u, v, cost, false AS l FROM gr UNION ALL SELECT node_id % 400, node_id % 400 + 1 + node_id % 3, value / 8, true FROM px WHERE node_id % 400 < 390
+  SELECT u, v, cost, false AS l FROM gr UNION ALL SELECT label, label + 1 + node_id % 3, value / 8, true FROM px WHERE label + 1 + node_id % 3 IN (SELECT label FROM px)
 ) GROUP BY u, v""")
 def lifted_objective(spark, d):
-    px, _ = grid(spark, d)
-    u = F.col("node_id") % 400
-    more = px.where(u < 390).select(F.col("node_id").alias("pos"), u.alias("u"), (u + 1 + F.col("node_id") % 3).alias("v"), (F.col("value") / 8).alias("cost"))
-    return rounded(graphs.lifted_objective(region_graph(spark, d)[1], more), "cost")
-
-
-@query("lifted_objective_all")
-def lifted_objective_all(spark, d):
     """Every pixel of every region votes for a lifted edge to one of the three regions after its own."""
     px, _ = grid(spark, d)
     nodes, edges = region_graph(spark, d)
@@ -173,23 +165,16 @@ def vector_difference_transform(spark, d):
     return fields.vector_difference_transform(px.withColumn("value", F.when(F.col("value") < 1, 0).otherwise(1)), shape)
 
 
-@query("point_nms", w(PX, "pt AS (SELECT node_id AS point_id, y, x, value / 40 AS radius FROM px WHERE node_id % 3 = 0)") + """
+@query("point_nms", w(PX, "pt AS (SELECT node_id AS point_id, y, x, value / 40 AS radius FROM px)") + """
 SELECT DISTINCT best AS point_id FROM (SELECT a.point_id, b.point_id AS best,
   row_number() OVER (PARTITION BY a.point_id ORDER BY b.radius DESC, b.point_id) AS r
   FROM pt a JOIN pt b ON CAST(sqrt((a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x)) AS FLOAT) <= CAST(a.radius AS FLOAT)) WHERE r = 1""")
 def point_nms(spark, d):
     px, _ = grid(spark, d)
-    points = px.where("node_id % 3 = 0").select(F.col("node_id").alias("point_id"), "z", "y", "x", (F.col("value") / 40).alias("radius"))
+    points = px.select(F.col("node_id").alias("point_id"), "z", "y", "x", (F.col("value") / 40).alias("radius"))
     return fields.non_maximum_suppression(points).select("point_id")
 
 
-@query("point_nms_all")
-def point_nms_all(spark, d):
-    """``point_nms`` with every pixel as a point."""
-    px, _ = grid(spark, d)
-    return fields.non_maximum_suppression(px.select(F.col("node_id").alias("point_id"), "z", "y", "x", (F.col("value") / 40).alias("radius"))).select("point_id")
-
-
 def field_pixels(spark, d):
     px, shape = grid(spark, d)
     keep = px.where("value > 8").select("node_id", "z", "y", "x", (F.col("node_id") % 1009 == 0).alias("source"), (1 + F.col("value") / 50).alias("cost"))
@@ -432,20 +417,13 @@ def minimum_spanning_forest(spark, d):
 
 @query("draw_instances", w(PX, "b AS (SELECT * FROM (VALUES (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)) o(dy, dx))") + """
 SELECT (p.y + dy) * 100 + p.x + dx AS node_id, arg_max(p.other, p.node_id) + 1 AS label FROM px p, b, hw
-WHERE p.node_id % 7 = 0 AND p.y + dy >= 0 AND p.y + dy < h AND p.x + dx >= 0 AND p.x + dx < w GROUP BY 1""")
+WHERE p.y + dy >= 0 AND p.y + dy < h AND p.x + dx >= 0 AND p.x + dx < w GROUP BY 1""")
 def draw_instances(spark, d):
     px, shape = grid(spark, d)
-    points = px.where("node_id % 7 = 0").select(F.col("node_id").alias("order"), F.col("other").alias("label"), "z", "y", "x")
+    points = px.select(F.col("node_id").alias("order"), F.col("other").alias("label"), "z", "y", "x")
     return meshes.draw_instances(points, shape, 1)
 
 
-@query("draw_instances_all")
-def draw_instances_all(spark, d):
-    """``draw_instances`` with every pixel as a point."""
-    px, shape = grid(spark, d)
-    return meshes.draw_instances(px.select(F.col("node_id").alias("order"), F.col("other").alias("label"), "z", "y", "x"), shape, 1)
-
-
 @query("marching_cubes_vertices", w("""vx AS (SELECT event_id AS node_id, event_id // 100 AS z, event_id // 10 % 10 AS y, event_id % 10 AS x, value FROM events),
 cr AS (SELECT a.node_id * 3 + axis AS key, a.z + CASE WHEN axis = 0 THEN t ELSE 0 END AS z, a.y + CASE WHEN axis = 1 THEN t ELSE 0 END AS y, a.x + CASE WHEN axis = 2 THEN t ELSE 0 END AS x
   FROM (SELECT a.*, axis, (60.0::DOUBLE - a.value) / (b.value - a.value) AS t FROM vx a, (VALUES (0, 1, 0, 0), (1, 0, 1, 0), (2, 0, 0, 1)) o(axis, dz, dy, dx), vx b

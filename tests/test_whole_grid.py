@@ -1,4 +1,4 @@
-"""Queries over every pixel, which have no SQL, against brute force on the smallest tables."""
+"""Queries over every pixel, beside their SQL, against brute force on the smallest tables."""
 
 import numpy as np
 import pandas as pd
@@ -16,27 +16,27 @@ def px():
     return pd.DataFrame({"id": e.event_id, "y": y, "x": x, "label": y // 5 * 20 + x // 5, "other": e.user_id % 7, "value": e.value}).reset_index(drop=True)
 
 
-def test_point_nms_all(spark, px):
+def test_point_nms(spark, px):
     yx, radius, ids = px[["y", "x"]].to_numpy(), px.value.to_numpy() / 40, px.id.to_numpy()
     want = set()
     for k in range(len(px)):
         near = np.flatnonzero(np.sqrt(((yx - yx[k]) ** 2).sum(axis=1)).astype(np.float32) <= np.float32(radius[k]))
         want |= {ids[min(near, key=lambda j: (-radius[j], ids[j]))]} if len(near) else set()
-    got = [r["point_id"] for r in registry.QUERIES["point_nms_all"](spark, SF).collect()]
+    got = [r["point_id"] for r in registry.QUERIES["point_nms"](spark, SF).collect()]
     assert sorted(got) == sorted(want)
 
 
-def test_draw_instances_all(spark, px):
+def test_draw_instances(spark, px):
     h = int(px.y.max()) + 1
     drawn = {}
     for r in px.itertuples():  # by id: the last one stands
         for dy, dx in ((0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)):
             if 0 <= r.y + dy < h and 0 <= r.x + dx < 100:
                 drawn[(r.y + dy) * 100 + r.x + dx] = r.other + 1
-    assert {r["node_id"]: r["label"] for r in registry.QUERIES["draw_instances_all"](spark, SF).collect()} == drawn
+    assert {r["node_id"]: r["label"] for r in registry.QUERIES["draw_instances"](spark, SF).collect()} == drawn
 
 
-def test_lifted_objective_all(spark, px):
+def test_lifted_objective(spark, px):
     at = {(r.y, r.x): r for r in px.itertuples()}
     border, cost, lifted = {}, {}, {}
     for (y, x), a in at.items():
@@ -50,6 +50,6 @@ def test_lifted_objective_all(spark, px):
         e = (r.label, r.label + 1 + r.id % 3)
         if e[1] in labels:
             cost[e], lifted[e] = cost.get(e, 0.0) + r.value / 8, lifted.get(e, True)
-    got = {(r["u"], r["v"]): (r["cost"], r["is_lifted"]) for r in registry.QUERIES["lifted_objective_all"](spark, SF).collect()}
+    got = {(r["u"], r["v"]): (r["cost"], r["is_lifted"]) for r in registry.QUERIES["lifted_objective"](spark, SF).collect()}
     assert {e: v[1] for e, v in got.items()} == lifted
     assert max(abs(got[e][0] - c) for e, c in cost.items()) < 2e-6
