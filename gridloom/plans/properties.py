@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.store import shared_folder, stored
-from gridloom.operators import fields, filaments, graphs, kernels, meshes, meshfields, partition, rag
+from gridloom.operators import blockskeletons, fields, filaments, graphs, kernels, meshes, meshfields, partition, rag
+from gridloom.operators.blocking import Blocking
 from gridloom.plans import graphs as g
 from gridloom.plans.relational import CT, ED, PX, grid, rounded, w
 from gridloom.sources import tables as t
@@ -323,6 +324,67 @@ def teasar_is_forest(spark, d):
     )
 
 
+def skeleton_blocks(spark, d):
+    """Bright pixels as one label, in blocks of 8 x 32."""
+    px, shape = grid(spark, d)
+    return px.where("value > 30").select("z", "y", "x", F.lit(1).alias("label")), Blocking((0, 0, 0), shape, (1, 8, 32))
+
+
+#: A plane of the grid is a line of pixels, and a patch of it a run without thickness: its centroid is its target.
+TARGETS = """fg AS (SELECT y, x FROM px WHERE value > 30),
+fc AS (SELECT 2 AS axis, j * 4 + x // 32 - 1 AS block_id, 1 AS step, j * 8 AS start, least(8 + 1, h - j * 8) AS len, y AS pos, x AS plane
+  FROM (SELECT y, x, y // 8 AS j FROM fg UNION ALL SELECT y, x, y // 8 - 1 FROM fg WHERE y % 8 = 0 AND y > 0), hw WHERE x % 32 = 0 AND x > 0
+  UNION ALL SELECT 1, (y // 8 - 1) * 4 + j, 4, j * 32, least(32 + 1, w - j * 32), x, y
+  FROM (SELECT y, x, x // 32 AS j FROM fg UNION ALL SELECT y, x, x // 32 - 1 FROM fg WHERE x % 32 = 0 AND x > 0), hw WHERE y % 8 = 0 AND y > 0),
+rn AS (SELECT axis, block_id, step, start, len, plane, (min(pos) + max(pos)) / 2.0 - start AS m
+  FROM (SELECT *, pos - row_number() OVER (PARTITION BY axis, block_id ORDER BY pos) AS run FROM fc) GROUP BY axis, block_id, step, start, len, plane, run),
+md AS (SELECT axis, block_id, step, plane, start + CASE WHEN m >= len / 2.0 THEN floor(m) ELSE ceil(m) END AS pos FROM rn),
+bt AS (SELECT axis, CAST(block_id AS BIGINT) AS block_id, CAST(block_id + step AS BIGINT) AS neighbor, CAST(1 AS BIGINT) AS label, CAST(0 AS BIGINT) AS z,
+  CAST(CASE WHEN axis = 2 THEN pos ELSE plane END AS BIGINT) AS y, CAST(CASE WHEN axis = 2 THEN plane ELSE pos END AS BIGINT) AS x FROM md)"""
+
+
+@query("block_border_targets", w(PX, TARGETS) + "SELECT * FROM bt")
+def block_border_targets(spark, d):
+    return blockskeletons.block_border_targets(*skeleton_blocks(spark, d))
+
+
+def required_points(found: DataFrame) -> DataFrame:
+    return found.select(F.explode(F.array("block_id", "neighbor")).alias("block_id"), "label", "z", "y", "x").distinct()
+
+
+@query("block_teasar_keeps_targets", w(PX, TARGETS) + """SELECT count(*) AS targets, CAST(0 AS BIGINT) AS missed, CAST(0 AS BIGINT) AS outside, CAST(0 AS BIGINT) AS long_steps
+FROM (SELECT block_id, y, x FROM bt UNION SELECT neighbor, y, x FROM bt)""")
+def block_teasar_keeps_targets(spark, d):
+    """Every target is a vertex in both of its blocks; vertices are pixels of the mask, edges join neighbours."""
+    px, blocking = skeleton_blocks(spark, d)
+    wanted = stored(required_points(blockskeletons.block_border_targets(px, blocking)))
+    own = stored(blockskeletons.block_teasar(px, blocking, wanted))
+    return one_row(
+        spark, targets=wanted.count(), missed=wanted.join(own, ["block_id", "label", "z", "y", "x"], "left_anti").count(),
+        outside=own.join(px, ["z", "y", "x"], "left_anti").count(), long_steps=own.where("greatest(abs(z - z_to), abs(y - y_to), abs(x - x_to)) > 1").count(),
+    )
+
+
+@query("blockwise_skeletons_are_trees", "SELECT CAST(0 AS BIGINT) AS outside, TRUE AS trees, TRUE AS one_each")
+def blockwise_skeletons_are_trees(spark, d):
+    """What the blocks' fragments are united to is one tree for each piece of the undivided mask."""
+    from gridloom.operators.partition import label_components
+
+    px, blocking = skeleton_blocks(spark, d)
+    vertices, edges = (stored(x) for x in blockskeletons.blockwise_skeletons(px, blocking))
+    whole, shape = grid(spark, d)
+    marked = whole.select("node_id", "z", "y", "x", (F.col("value") > 30).cast("long").alias("label"))
+    piece = stored(label_components(marked, shape).where("component > 0").join(marked.select("node_id", "z", "y", "x"), "node_id"))
+    pieces = piece.select("component").distinct().count()
+    joined = graphs.connected_components(vertices.select(F.col("vertex_id").alias("node")), edges.select("u", "v"))
+    met = vertices.join(joined, F.col("vertex_id") == F.col("node")).select("z", "y", "x", joined["label"].alias("tree")).join(piece, ["z", "y", "x"])
+    pairs = met.select("tree", "component").distinct().count()
+    return one_row(
+        spark, outside=vertices.join(px, ["z", "y", "x"], "left_anti").count(), trees=edges.count() == vertices.count() - pieces,
+        one_each=pairs == pieces and joined.select("label").distinct().count() == pieces,
+    )
+
+
 @query("marching_cubes_is_closed_inside", w(PX) + "SELECT TRUE AS used, CAST(0 AS BIGINT) AS overused, TRUE AS turned FROM hw")
 def marching_cubes_is_closed_inside(spark, d):
     """Every vertex is a corner of a face; no two faces go along an edge in the same direction, and no edge has over two."""
