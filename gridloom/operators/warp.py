@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.functions.grid import inside, node_id
+from gridloom.functions.grid import coordinates, inside, node_id
 from gridloom.operators.filters import gaussian_smoothing
 
 
@@ -19,11 +19,12 @@ def keys_cubic(t: Column) -> Column:
 
 
 def b_spline(t: Column, order: int) -> Column:
-    """Cardinal B-spline of an order at distance t >= 0: sum over k of (-1)^k C(n + 1, k) (t + (n + 1) / 2 - k)_+^n / n!."""
+    """Cardinal B-spline of an order at distance t >= 0: sum over k of (-1)^k C(n + 1, k) ((n + 1) / 2 - t - k)_+^n / n!. Of
+    the two mirrored forms this has the fewer terms, one near the end, where the other's cancel."""
     n = order
     terms = [
-        F.lit(float((-1) ** k * math.comb(n + 1, k)) / math.factorial(n)) * F.pow(F.greatest(t + (n + 1) / 2 - k, F.lit(0.0)), F.lit(float(n)))
-        for k in range(n + 2)
+        F.lit(float((-1) ** k * math.comb(n + 1, k)) / math.factorial(n)) * F.pow(F.greatest((n + 1) / 2 - k - t, F.lit(0.0)), F.lit(float(n)))
+        for k in range((n + 1) // 2 + 1)
     ]
     return sum(terms[1:], terms[0])
 
@@ -69,6 +70,42 @@ def affine_transform(data: DataFrame, targets: DataFrame, matrix, shape, order:
     return map_coordinates(data, targets.select("target", *(rows[n].alias(f"c{n}") for n in "zyx")), shape, order, fill_value)
 
 
+def axis_rows(matrix, axes: int) -> list[tuple[float, ...]]:
+    """The rows of a matrix that has one for each axis, or of a homogeneous one, whose last row must be 0 ... 0 1."""
+    rows = [tuple(map(float, row)) for row in matrix]
+    if {len(row) for row in rows} != {axes + 1} or len(rows) not in (axes, axes + 1):
+        raise ValueError(f"a matrix of {axes} or {axes + 1} rows of {axes + 1} numbers")
+    if any(abs(a - b) > 1e-8 for row in rows[axes:] for a, b in zip(row, [0.0] * axes + [1.0], strict=True)):
+        raise ValueError("the last row of a homogeneous matrix is 0 ... 0 1")
+    return rows[:axes]
+
+
+def to_integers(value: Column, low: int, high: int) -> Column:
+    """Nearest integer, halves away from zero, kept within the bounds; NaN is the lower one."""
+    inner = F.round(value).cast("long")
+    return F.when(F.isnan(value) | (value <= float(low)), F.lit(low)).when(value >= float(high), F.lit(high)).otherwise(inner).cast("long")
+
+
+def affine_box(data: DataFrame, matrix, shape, box=None, order: int = 1, fill_value: float = 0.0, bounds: tuple[int, int] | None = None) -> DataFrame:
+    """(target, value) of affine_transform for a box of the output frame, slices for each axis (for all three, or the last
+    two of an image; the source's extent if none); it may be larger than the source. target numbers the box in C-order.
+    ``bounds`` are those of an integer type: values are rounded and kept within them."""
+    axes = 2 if shape[0] == 1 else 3
+    sides = list(box or [slice(None)] * axes)
+    if len(sides) != axes or any(side.step is not None for side in sides):
+        raise ValueError(f"a box is {axes} slices without steps")
+    spans = [(side.start or 0, n if side.stop is None else side.stop) for side, n in zip(sides, shape[3 - axes :], strict=True)]
+    if any(a < 0 or b < a for a, b in spans):
+        raise ValueError("a box starts at 0 or later and ends no earlier than it starts")
+    spans = [(0, 1)] * (3 - axes) + spans
+    size = tuple(b - a for a, b in spans)
+    rows = data.sparkSession.range(math.prod(size)).withColumnRenamed("id", "target")
+    at = [F.col("target")] * 3 if not all(size) else coordinates(F.col("target"), size)
+    targets = rows.select("target", *((c + a).alias(n) for n, c, (a, _) in zip("zyx", at, spans, strict=True)))
+    out = affine_transform(data, targets, axis_rows(matrix, axes), shape, order, fill_value)
+    return out if bounds is None else out.withColumn("value", to_integers(F.col("value"), *bounds))
+
+
 def anti_aliasing_sigma(matrix) -> list[float]:
     """For each axis, half of what its row's length exceeds one."""
     return [max(0.0, (math.sqrt(sum(x * x for x in row[:-1])) - 1) / 2) for row in matrix]

@@ -295,6 +295,14 @@ def affine_linear(spark, d):
     return rounded(warp.affine_transform(px, warp_targets(px), MATRIX, shape, 1, -1.0), "value", digits=5)
 
 
+@query("affine_box_integers", w(PX, """tg AS (SELECT y * 115 + x AS target, 3.3e0 + (y + 2) * 0.8e0 + (x + 5) * 0.1e0 AS cy, 20.7e0 + (y + 2) * -0.2e0 + (x + 5) * 0.9e0 AS cx
+  FROM hw, generate_series(0, h + 4) r(y), generate_series(0, 114) c(x))""") + """SELECT target, CAST(greatest(10, least(60, round(coalesce(value, -1)))) AS BIGINT) AS value FROM tg
+LEFT JOIN px ON px.y = floor(cy + 0.5) AND px.x = floor(cx + 0.5)""")
+def affine_box_integers(spark, d):
+    px, shape = grid(spark, d)
+    return warp.affine_box(px, [*MATRIX, (0.0, 0.0, 1.0)], shape, (slice(2, shape[1] + 7), slice(5, 120)), 0, -1.0, (10, 60))
+
+
 @query("map_coordinates", w(PX, "tg AS (SELECT node_id, y + value / 100 AS cy, x - value / 90 AS cx FROM px)") + LINEAR)
 def map_coordinates(spark, d):
     px, shape = grid(spark, d)
