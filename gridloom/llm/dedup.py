@@ -365,7 +365,8 @@ def grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
         "dedup-nodes",
     )
     buckets = keyed(nodes).groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    stars = saved(keyed(nodes).join(buckets, "key").where("node != hub"), "dedup-stars")
+    # Spark takes keys and cells for as few as the rows they are made of: their joins are not chosen by size.
+    stars = saved(keyed(nodes).join(buckets.hint("merge"), "key").where("node != hub"), "dedup-stars")
     sig = nodes.select("node", "sig")
     pairs = stars.select("node", "hub").distinct()
     pairs = pairs.join(sig, "node").join(sig.select(F.col("node").alias("hub"), F.col("sig").alias("hub_sig")), "hub")
@@ -402,7 +403,7 @@ def grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
     members = saved(members.select("main", "node", "comp").distinct(), "dedup-members")
     # One table with all that a cell needs of a node, so that its rows are joined once.
     known = saved(sets.join(sig, "node"), "dedup-known")
-    met = cells(members).join(known, "node")
+    met = cells(members).join(known.hint("merge"), "node")
     links = links.unionByName(links_in_cells(met, percent))
     comps = components(links)
 

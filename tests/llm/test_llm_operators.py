@@ -470,6 +470,23 @@ def test_one_row_of_each_group_where_doc_ids_are_shared(spark):
     assert sorted(r["text"] for r in kept if r not in group) == ["", "one more text without an id", "quite another text of some words"]
 
 
+def test_keys_and_cells_are_never_sent_to_all_tasks(spark, monkeypatch):
+    """Spark takes them for as few as the rows they are made of, so by size it would broadcast them."""
+    rows = [(k, " ".join(f"w{x}" for x in range(100) if x % 17 or k % 3) + f" {k}") for k in range(9)]
+    plans = {}
+    written, compared = dedup.saved, dedup.links_in_cells
+
+    def seen(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return df
+
+    monkeypatch.setattr(dedup, "saved", lambda df, name: written(seen(df, name), name))
+    monkeypatch.setattr(dedup, "links_in_cells", lambda df, percent: compared(seen(df, "cells"), percent))
+    dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    for name in ("dedup-stars", "cells"):
+        assert "SortMergeJoin" in plans[name] and "Broadcast" not in plans[name]
+
+
 def test_pigeonhole():
     rng = np.random.default_rng(4)
     a = rng.integers(0, 1 << 16, (200, dedup.HASHES)).astype(np.uint16)
