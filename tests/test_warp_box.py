@@ -40,3 +40,12 @@ def test_rounding_and_clamping(spark):
     assert got == [1, 2, -1, -2, 2, 127, -128, -128, 127, -128]
     wide = df.where("k = 8").select(warp.to_integers(F.col("v"), -(2**63), 2**63 - 1)).first()[0]
     assert wide == 2**63 - 1
+
+
+def test_taps_outside_are_spread(spark):
+    """All outside: as one key they would be one task's, and they meet no pixel."""
+    data = spark.range(4).select(F.col("id").alias("node_id"), F.col("id").cast("double").alias("value"))
+    away = spark.range(50).select(F.col("id").alias("target"), F.lit(0.0).alias("cz"), F.lit(90.0).alias("cy"), F.lit(90.0).alias("cx"))
+    assert {r["value"] for r in warp.map_coordinates(data, away, (1, 2, 2), 1, -1.0).collect()} == {-1.0}
+    keys = {r["k"] for r in away.select(warp.no_pixel(F.col("target")).alias("k")).collect()}
+    assert len(keys) == 50 and max(keys) < 0
