@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.operators import fields
+from gridloom.operators import fields, meshfields
 from gridloom.plans import fronts
 
 
@@ -61,3 +61,20 @@ def test_fronts_through_blocks(case, monkeypatch):
     monkeypatch.setattr(fronts, "SIZE", 20)
     assert field() == whole and between() == all_pairs
     assert len({d for d in all_pairs.values() if np.isfinite(d)}) > 2
+
+
+def test_fronts_through_blocks_of_a_mesh(spark, monkeypatch):
+    """As from one block, whatever the order of the ids."""
+    rng = np.random.default_rng(2)
+    name = rng.permutation(42).reshape(7, 6)
+    v = spark.createDataFrame(
+        [(int(name[y, x]), float(rng.random()), float(y), float(x), y + x == 0, float(rng.random() + 0.5), y % 3 == 0 and x == 5) for y in range(7) for x in range(6)],
+        "vertex_id long, z double, y double, x double, source boolean, speed double, asked boolean",
+    )
+    faces = [t for y in range(6) for x in range(5) for t in ((name[y, x], name[y, x + 1], name[y + 1, x]), (name[y, x + 1], name[y + 1, x], name[y + 1, x + 1]))]
+    f = spark.createDataFrame([tuple(map(int, t)) for t in faces], "a long, b long, c long")
+    field = lambda: {r["vertex_id"]: r["distance"] for r in meshfields.geodesic_distance_field_mesh(v, f).collect()}
+    between = lambda: {(r["a"], r["b"]): r["distance"] for r in meshfields.geodesic_distances_mesh(v, f, v.where("asked").select("vertex_id")).collect()}
+    whole, pairs = field(), between()
+    monkeypatch.setattr(fronts, "SIZE", 15)
+    assert field() == pytest.approx(whole, abs=1e-12) and between() == pytest.approx(pairs, abs=1e-12) and len(pairs) == 9
