@@ -89,11 +89,12 @@ def non_maximum_suppression(points: DataFrame) -> DataFrame:
         "point_id", "z", "y", "x", "radius", "scale",
         (cell("z") + F.col("o.a")).alias("cz"), (cell("y") + F.col("o.b")).alias("cy"), (cell("x") + F.col("o.c")).alias("cx"),
     )
-    met = asks.join(kept, ["scale", "cz", "cy", "cx"])
+    # Spark takes rows that are made here for as few as the file's: without a hint it would broadcast them.
+    met = asks.join(kept.hint("merge"), ["scale", "cz", "cy", "cx"])
     d2 = sum(((F.col(n) - F.col(f"o{n}")).cast("double") ** 2 for n in "zyx"), F.lit(0.0))
     near = met.where(F.sqrt(d2).cast("float") <= F.col("radius").cast("float"))
     best = near.groupBy("point_id").agg(F.max_by("other", F.struct("oradius", -F.col("other"))).alias("best"))
-    return best.select(F.col("best").alias("point_id")).distinct().join(points, "point_id")
+    return best.select(F.col("best").alias("point_id")).distinct().join(points.hint("merge"), "point_id")
 
 
 def dijkstra(n: int, moves, free: bytearray, cost: list[float], seeds) -> tuple[list[float], list[int], list[int]]:

@@ -26,6 +26,12 @@ def test_point_nms(spark, px):
     assert sorted(got) == sorted(want)
 
 
+def test_point_nms_broadcasts_no_points(spark):
+    """Only the scales, a row each, are sent to all tasks, by the driver."""
+    plan = registry.QUERIES["point_nms"](spark, SF)._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_draw_instances(spark, px):
     h = int(px.y.max()) + 1
     drawn = {}
